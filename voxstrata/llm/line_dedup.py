@@ -11,7 +11,6 @@ their lines and count for none.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import byte_batches, checkpointed, table, text_bytes
+from .common import checkpointed, table, text_bytes
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -195,11 +194,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the repeated lines taken out of their texts; n_chars follows."""
     columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    out = apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text")), others).withColumn("text", F.col("kept").cast("string"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row")  # whatever the columns are called
+    out = apply_bitmaps(docs.select("doc_id", "text", row), keep_bitmaps(docs.select("doc_id", "text")), ["doc_id", "__row"])
+    text = F.col("kept").cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*(new.get(c, F.col("__row").getField(c)).alias(c) for c in columns))
 
 
 OP4_SQL = """

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
