@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .near_dup import op3_near_dup
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op3_near_dup": op3_near_dup, "op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
