@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op3_near_dup
+from .token_counts import op5_token_counts
 
-QUERIES = {"op3_near_dup": op3_near_dup, "op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op3_near_dup": op3_near_dup, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_bpe": op6_bpe, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
