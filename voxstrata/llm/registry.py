@@ -6,7 +6,19 @@ from .bpe import op6_bpe
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op3_near_dup
+from .quality import op10_quality
 from .token_counts import op5_token_counts
+from .toxicity import op1_toxicity
+from .vector_search import OP2_SQL, op2_topk
 
-QUERIES = {"op3_near_dup": op3_near_dup, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_bpe": op6_bpe, "op8_decontaminate": op8_decontaminate}
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
+    "op3_near_dup": op3_near_dup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_bpe": op6_bpe,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_quality": op10_quality,
+}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL}
