@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op3_near_dup
+from .pii import op7_pii
 from .quality import op10_quality
 from .token_counts import op5_token_counts
 from .toxicity import op1_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_bpe": op6_bpe,
+    "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality": op10_quality,
 }
