@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .lm_score import op9_lm_score
 from .near_dup import op3_near_dup
 from .pii import op7_pii
 from .quality import op10_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
+    "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL}
