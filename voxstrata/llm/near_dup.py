@@ -108,6 +108,62 @@ def _keys(hashes: int, bits: int, distance: int, chunks: int):
     return scan
 
 
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each id under a key, linked to the key's first id in this partition. Rows come sorted by (key, id).
+
+    The first and the last key may go on in other partitions: their first ids come out as well, with the key.
+    """
+    key, first, rows = None, 0, 0
+    ends: dict[int, int] = {}
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys, ids = frame["key"].to_numpy(), frame["id"].to_numpy()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        new[0] = keys[0] != key
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        firsts = np.where(run >= 0, ids[begin][np.maximum(run, 0)] if len(begin) else first, first)
+        if not rows:
+            ends[int(keys[0])] = int(ids[0])
+        rows += len(keys)
+        star = ids != firsts
+        if star.any():
+            yield pd.DataFrame({"u": ids[star], "v": firsts[star], "key": np.full(star.sum(), np.nan)}).astype({"key": "Int64"})
+        key, first = int(keys[-1]), int(firsts[-1])
+    if rows:
+        ends[key] = first
+        yield pd.DataFrame({"u": list(ends.values()), "v": list(ends.values()), "key": list(ends)}).astype({"key": "Int64"})
+
+
+def stars(reps: DataFrame, scratch: Scratch, hashes: int = HASHES, bits: int = BITS, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+    """(u, v): links that join all documents under a key. reps: (doc_id, sig).
+
+    Keys are range-partitioned together with the ids, so a key that very many documents share is spread over partitions.
+    """
+    keys = reps.mapInPandas(_keys(hashes, bits, distance, chunks), "key long, id long")
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.write(keys.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInPandas(_stars, "u long, v long, key long"))
+    ends = found.where("key IS NOT NULL")
+    least = ends.groupBy("key").agg(F.min("u").alias("v"))
+    across = ends.select("u", "key").join(least, "key").select("u", "v")
+    return found.where("key IS NULL").select("u", "v").unionAll(across).where("u <> v")
+
+
+#: Bits of the filter that spares documents outside all candidate groups the shuffle (4 MB; a false positive costs a row).
+FILTER_BITS = 1 << 25
+
+
+def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose id may be among ids: a superset, by a bitmap of fixed size that is broadcast."""
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__bucket", "__map")
+
+
 def _links(similar: int, distance: int, bits: int):
     """Within a pair of blocks: signatures in the distance, confirmed on the sets; a spanning forest of the links."""
     kind = np.uint16 if bits <= 16 else np.uint32
@@ -154,10 +210,12 @@ def _links(similar: int, distance: int, bits: int):
     return work
 
 
-def _sets(width: int):
+def _sets(width: int, hashes: int, bits: int):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(hashes, bits)
         for frame in byte_batches(frames):
-            yield pd.DataFrame({"id": frame["id"].to_numpy(), "cluster": frame["cluster"].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(frame["text"].tolist(), width)]})
+            sets = list(shingle_sets(frame["text"].tolist(), width))
+            yield pd.DataFrame({"id": frame["id"].to_numpy(), "sig": [signer(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     return scan
 
@@ -168,20 +226,14 @@ def near_duplicates(docs: DataFrame, similar: int = 85, width: int = WIDTH, hash
     scratch = Scratch(spark, "near-dup")
     signed = scratch.write(signatures(docs, width, hashes, bits))
     # one representative of each set
-    sets = scratch.write(signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("copies")))
-    reps = sets.groupBy(F.col("rep").alias("doc_id")).agg(F.min("sig").alias("sig"))  # a repeated doc_id may stand for several texts
-    keys = scratch.write(reps.mapInPandas(_keys(hashes, bits, distance, chunks), "key long, id long"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    stars = keys.join(shared, "key").where("id > first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    clusters = components(stars, scratch)
-    scratch.drop(keys)
-    clusters = scratch.write(clusters)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(clusters.withColumnRenamed("component", "cluster"), "id")
-    sized = texts.mapInPandas(_sets(width), "id long, cluster long, shingles binary").join(reps.withColumnRenamed("doc_id", "id"), "id")
-    sized = scratch.write(sized)
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "sig", "shingles")
+    sets = scratch.write(signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
+    reps = sets.groupBy(F.col("rep").alias("doc_id"), "sig").agg(F.count("*").alias("sets"))  # a repeated doc_id may stand for several texts
+    clusters = scratch.write(components(stars(reps.select("doc_id", "sig"), scratch, hashes, bits, distance, chunks), scratch).withColumnRenamed("component", "cluster"))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = only(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")), clusters)
+    full = texts.mapInPandas(_sets(width, hashes, bits), "id long, sig binary, shingles binary").where("octet_length(shingles) > 0").join(placed, "id")
+    paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "sig", "shingles")
     links = paired.groupBy("cluster", "i", "j").applyInPandas(_links(similar, distance, bits), "u long, v long")
     linked = components(links, scratch)
     # a repeated doc_id with several texts ties the sets of its texts together
