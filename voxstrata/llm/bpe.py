@@ -29,7 +29,7 @@ from .common import table
 MASK = (1 << 64) - 1
 SPREAD, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 #: Entries of the table of pre-tokens that a task keeps, and the longest pre-token in it.
-KNOWN, KNOWN_CHARS = 600_000, 48
+KNOWN, KNOWN_CHARS = 300_000, 48
 
 
 class PerfectHash:
