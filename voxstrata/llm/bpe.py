@@ -262,12 +262,25 @@ def public_vocabulary(name: str) -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, bytes) of each row: packed ids, and what they decode to. One Python worker a task does both."""
+    words = sent(docs.sparkSession, vocabulary)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = coder_of(words)
+        for frame in frames:
+            ids = [coder.encode(t) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": ids, "bytes": [coder.decode(x) for x in ids]})
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scan, "doc_id long, ids binary, bytes binary")
+
+
+N_TOKENS = "octet_length(ids) div 4"
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    words = sent(docs.sparkSession, vocabulary)
-    ids = docs.select("doc_id", encoded(F.col("text"), words).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), words).alias("bytes"))
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return round_trip(docs, vocabulary).select("doc_id", F.expr(N_TOKENS).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +290,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: each document's ids, packed as little-endian 32-bit integers, with their number and digests."""
-    words = sent(spark, public_vocabulary("byte_bpe_multi_50k.tiktoken"))
-    ids = docs.select("doc_id", encoded(F.col("text"), words).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), words).alias("bytes"))
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    coded = round_trip(docs, public_vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return coded.select("doc_id", F.expr(N_TOKENS).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

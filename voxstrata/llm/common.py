@@ -12,16 +12,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time; a longer document is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
+#: Bytes of an Arrow batch between the JVM and Python, so that long texts don't add up.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by size rather than by 10,000 rows: texts differ too much in length for a number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read through Spark so that any file system it knows will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    small_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.conf.get("voxstrata.shared.dir", None)

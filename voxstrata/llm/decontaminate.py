@@ -29,6 +29,8 @@ from .words import ALNUM, Words
 DEPTH = 16
 #: Benchmark words that are broadcast at once (8 bytes a word).
 BENCH_WORDS = 4_000_000
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
@@ -176,7 +178,7 @@ def _scan(bench: Suffixes):
     """Adds what one slice of the benchmark finds to the state of each document."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in byte_batches(frames):
+        for frame in byte_batches(frames, limit=SHARD_BYTES):
             words = Words(frame["text"].tolist(), ALNUM)
             shard, window, at, longest = _search(words, bench)
             edges = np.zeros(len(shard.doc) + 1, np.int64)
@@ -243,7 +245,7 @@ def _clean_rows(bench: Suffixes, text: int):
         for batch in batches:
             raw = [x.encode() if x else b"" for x in batch.column(text).to_pylist()]
             bad = np.zeros(len(raw), bool)
-            for part in byte_batches([pd.DataFrame({"text": raw})]):
+            for part in byte_batches([pd.DataFrame({"text": raw})], limit=SHARD_BYTES):
                 shard, _, at, _ = _search(Words(part["text"].tolist(), ALNUM), bench)
                 bad[part.index.to_numpy()[shard.doc[at]]] = True
             yield batch.filter(pa.array(~bad))
