@@ -97,3 +97,16 @@ def byte_batches(frames: Iterator[pd.DataFrame], column: str = "text", limit: in
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n: the folds that the labels are split by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Bits of the filter that spares rows a shuffle (4 MB; a false positive costs a row).
+FILTER_BITS = 1 << 25
+
+
+def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose id may be among ids: a superset, by a bitmap of fixed size that is broadcast."""
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__bucket", "__map")

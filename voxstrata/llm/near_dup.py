@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_batches, table, text_bytes
+from .common import Scratch, byte_batches, only, table, text_bytes
 from .graph import components
 from .words import PLAIN, U, Words, splitmix, windows
 
@@ -151,19 +151,6 @@ def stars(reps: DataFrame, scratch: Scratch, hashes: int = HASHES, bits: int = B
     return found.where("key IS NULL").select("u", "v").unionAll(across).where("u <> v")
 
 
-#: Bits of the filter that spares documents outside all candidate groups the shuffle (4 MB; a false positive costs a row).
-FILTER_BITS = 1 << 25
-
-
-def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs whose id may be among ids: a superset, by a bitmap of fixed size that is broadcast."""
-    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__bucket", "__map")
-
-
 def _links(similar: int, distance: int, bits: int):
     """Within a pair of blocks: signatures in the distance, confirmed on the sets; a spanning forest of the links."""
     kind = np.uint16 if bits <= 16 else np.uint32
