@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, public_vocabulary, sent, token_count
-from .common import table
+from .common import Scratch, table
 
 #: Lengths in a span.
 SPAN = 4096
 
 
 def length_histogram(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(length, n_docs), exact."""
+    """(length, n_docs), exact; written to the shared folder, so that texts are encoded once however often it is read."""
     words = sent(docs.sparkSession, vocabulary)
-    return docs.select(token_count(F.col("text"), words).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return Scratch(docs.sparkSession, "token-counts").write(docs.select(token_count(F.col("text"), words).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs")))
 
 
 def limits(histogram: DataFrame, span: int = SPAN) -> DataFrame:
