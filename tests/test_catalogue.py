@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxstrata.operators import statistics
+from voxstrata.plans import features  # noqa: F401
 from voxstrata.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def rows(frame, columns):
     return sorted(tuple(map(cell, r)) for r in frame[columns].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, con, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
     columns = sorted(ours.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,85 @@ def to_pcm(x: Column, bits: int = 16) -> Column:
 
 def from_pcm(x: Column, bits: int = 16) -> Column:
     return F.transform(x, lambda v: v / F.lit(float(2 ** (bits - 1) - 1)))
+
+
+def dft_magnitude(x: Column, n: int) -> Column:
+    """Magnitudes of the first n/2 + 1 Fourier coefficients of arrays of length n; the twiddle factors are constants."""
+    turn = 2 * math.pi / n
+    parts = []
+    for k in range(n // 2 + 1):
+        cos, sin = (F.array(*(F.lit(f(turn * (k * i % n))) for i in range(n))) for f in (math.cos, math.sin))
+        re, im = dot(x, cos), dot(x, sin)
+        parts.append(F.sqrt(re * re + im * im))
+    return F.array(*parts)
+
+
+def dct(x: Column, n: int, kept: int) -> Column:
+    """The first ``kept`` coefficients of the orthonormal cosine transform (type 2) of arrays of length n."""
+    row = lambda k: F.array(*(F.lit(math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * i + 1) / (2 * n))) for i in range(n)))
+    return F.array(*(dot(x, row(k)) for k in range(kept)))
+
+
+def octave_bins(freqs: list[float], least: float, bands: int) -> list[tuple[int, int]]:
+    """First bin and number of bins of each octave band: one bin below is added, and the last is left to the next band."""
+    edges = [0.0, *(least * 2**k for k in range(bands + 1))]
+    out = []
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        inside = [i for i, f in enumerate(freqs) if lo <= f <= hi]
+        if not inside:
+            continue
+        first, last = max(inside[0] - (k > 0), 0), inside[-1]
+        last = len(freqs) - 1 if k == bands else last - 1
+        if last >= first:
+            out.append((first, last - first + 1))
+    return out
+
+
+def contrast(s: Column, bins: list[tuple[int, int]], share: float = 0.02) -> Column:
+    """Decibels between the mean of the largest and of the smallest values in each band."""
+    out = []
+    for first, n in bins:
+        few = max(1, round(share * n))
+        band = F.array_sort(F.slice(s, first + 1, n))
+        out.append(power_db(total(F.slice(band, n - few + 1, few)) / few) - power_db(total(F.slice(band, 1, few)) / few))
+    return F.array(*out)
+
+
+def shares(s: Column) -> Column:
+    """Values over their sum."""
+    whole = total(s)
+    return F.transform(s, lambda v: F.try_divide(v, whole))
+
+
+def flux(s: Column, before: Column) -> Column:
+    """Euclidean distance of two spectra, each over its sum."""
+    d = F.zip_with(shares(s), shares(before), lambda a, b: a - b)
+    return F.sqrt(dot(d, d))
+
+
+def log_spectral_distance(s: Column, before: Column) -> Column:
+    """Root of the summed squared decibels between two spectra, each over its sum, by their length."""
+    d = F.zip_with(shares(s), shares(before), lambda a, b: power_db(a * a) - power_db(b * b))
+    return F.sqrt(dot(d, d)) / F.size(s)
+
+
+def xlogx(x: Column, base: float = 2.0) -> Column:
+    """x log x; 0 at 0 and null below."""
+    return F.when(x > 0, x * F.log(base, x)).when(x == 0, 0.0)
+
+
+def autocorrelation(x: Column, lags: int) -> Column:
+    """Products of the array with itself at lags 0 to ``lags``, not normalised."""
+    return F.transform(F.sequence(F.lit(0), F.lit(lags)), lambda k: total(F.transform(x, lambda v, i: v * F.coalesce(F.try_element_at(x, (i + k + 1).cast("int")), F.lit(0.0)))))
+
+
+def low_high_db(s: Column, split: int) -> Column:
+    """Decibels of the power below a bin over that from it on."""
+    power = F.transform(s, lambda v: v * v)
+    return power_db(total(F.slice(power, 1, split))) - power_db(total(F.slice(power, split + 1, F.size(s))))
+
+
+def clock(seconds: Column) -> Column:
+    """H:MM:SS."""
+    t = seconds.cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(t / 3600), F.floor(t % 3600 / 60), t % 60)

@@ -87,3 +87,44 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: Column,
 def latest(df: DataFrame, keys: list[str], version: Column, value: str) -> DataFrame:
     """The value of the newest version under each key; unparsable versions come last."""
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(F.coalesce(version, F.to_timestamp(F.lit("1900-01-01"))), F.col(value))).alias(value))
+
+
+def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls take their column's mean; the one row of means is broadcast."""
+    means = df.agg(*(F.avg(c).alias(f"__{c}") for c in columns))
+    return df.join(F.broadcast(means)).select(*(F.coalesce(c, f"__{c}").alias(c) if c in columns else c for c in df.columns))
+
+
+def consistency(scores: list[Column], high: float, some: float) -> Column:
+    """High where at least two scores reach ``high``, Moderate where two reach ``some``, else Low."""
+    reached = lambda t: reduce(Column.__add__, [(s >= t).cast("int") for s in scores])
+    return first_of([(reached(high) >= 2, "High"), (reached(some) >= 2, "Moderate")], "Low")
+
+
+def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The wanted rows whose keys are not yet written."""
+    return wanted.join(done.select(*keys), keys, "left_anti")
+
+
+def walk(tree: DataFrame, root: Column, depth: int) -> DataFrame:
+    """Nodes (key, name, parent) below the roots with their least depth; children have larger keys than their parents."""
+    level = tree.where(root).select("key", "name", F.lit(0).alias("depth"))
+    out = level
+    for k in range(1, depth + 1):
+        above = level.select(F.col("key").alias("__above")).distinct()
+        level = tree.join(above, (F.col("parent") == F.col("__above")) & (F.col("key") > F.col("__above"))).select("key", "name", F.lit(k).alias("depth"))
+        out = out.unionByName(level)
+    return out.groupBy("key", "name").agg(F.min("depth").alias("depth"))
+
+
+def correlated(pairs: DataFrame, variances: dict[str, float], order: list[str], limit: float = 0.95) -> list[str]:
+    """Columns to drop among pairs over the limit: of two, the one of less variance; pairs are as many as columns allow."""
+    over = {(r["a"], r["b"]) for r in pairs.where(F.abs("r") > limit).collect()}
+    dropped: set[str] = set()
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if a in dropped:
+                break
+            if b not in dropped and ((a, b) in over or (b, a) in over):
+                dropped.add(b if variances[a] >= variances[b] else a)
+    return [c for c in order if c in dropped]

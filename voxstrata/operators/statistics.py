@@ -78,3 +78,15 @@ def moving(df: DataFrame, key: str, order: list[str], x: str, reach: int = 2) ->
 def line_fit(df: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
     """Least-squares line of each key with the root mean square of its residuals."""
     return df.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.sqrt(F.greatest(F.var_pop(y) - F.try_divide(F.pow(F.covar_pop(x, y), F.lit(2)), F.var_pop(x)), F.lit(0.0))).alias("rmse"))
+
+
+def time_aggregate(df: DataFrame, keys: list[str], x: str, t: str) -> DataFrame:
+    """Fifteen statistics of each key's values; the deviations about mean and median need a second pass."""
+    v = F.col(x)
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    fit = F.sqrt(F.greatest(F.var_pop(x) - F.try_divide(F.pow(F.covar_pop(t, x), F.lit(2)), F.var_pop(t)), F.lit(0.0)))
+    first = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), q.alias("__q"), F.max(x).alias("most"), F.min(x).alias("least"), F.regr_slope(v, F.col(t)).alias("slope"), fit.alias("rmse"))
+    about = first.select(*keys, F.col("mean").alias("__mean"), F.col("__q")[1].alias("__median"))
+    second = df.join(about, keys).groupBy(*keys).agg(F.avg(F.abs(v - F.col("__mean"))).alias("mean_abs_dev"), F.median(F.abs(v - F.col("__median"))).alias("median_abs_dev"))
+    q1, median, q3 = (F.col("__q")[i] for i in range(3))
+    return first.join(second, keys).select(*keys, "mean", "sd", "skew", "kurt", "mean_abs_dev", "median_abs_dev", median.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), "most", "least", (F.col("most") - F.col("least")).alias("span"), "slope", "rmse")
