@@ -151,13 +151,12 @@ def folder_walk(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT * FROM lineitem WHERE l_linenumber <= 2)
-SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM x WHERE l_suppkey IS NOT NULL)"""
+    "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IS NOT NULL)"
 )
 def pending_keys(spark, d):
     """Keys that no written row has: what an interrupted run still has to do."""
-    done = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("s_suppkey"))
-    return R.pending(table(spark, d, "supplier").select("s_suppkey"), done, ["s_suppkey"])
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.pending(table(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import relational as R
+from ..operators import stability as V
 from ..operators import statistics as T
 from .catalogue import query, table
 
@@ -22,3 +23,11 @@ def lmm_contrasts(spark, d):
     keys = ["feature", "l_returnflag"]
     fits = M.random_intercept(M.standardised(long, keys, "value"), keys, "l_suppkey", "stage", STAGES)
     return T.adjusted(fits, "p", ["l_returnflag"]).withColumn("effect", R.effect_size(F.col("estimate")))
+
+
+@query()
+def stability_scores(spark, d):
+    """How often each numeric feature is kept when the flag is predicted, over 40 part samples and three ratios."""
+    features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], [0.5, 0.8, 1.0]
+    sample = V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"])
+    return V.scores(V.replicates(sample, features, 40, ratios, c=0.01), ratios)
