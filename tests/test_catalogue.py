@@ -46,3 +46,8 @@ def test_mid_ranks_sum(spark):
     df = spark.createDataFrame([(0, float(v), "a") for v in (1, 1, 2, 3, 3, 3)], "w int, v double, g string")
     got = statistics.value_ranks(df, ["w"], "v", "g").agg(F.sum(F.col("n") * F.col("mid"))).first()[0]
     assert got == 21
+
+
+def test_harmonic_numbers(spark):
+    got = spark.range(1, 400).select("id", statistics.harmonic(F.col("id")).alias("h")).collect()
+    assert all(abs(r["h"] - sum(1 / k for k in range(1, r["id"] + 1))) < 1e-12 for r in got)
