@@ -80,21 +80,22 @@ def from_pcm(x: Column, bits: int = 16) -> Column:
     return F.transform(x, lambda v: v / F.lit(float(2 ** (bits - 1) - 1)))
 
 
+def constant_rows(rows: list[list[float]]) -> Column:
+    """A constant matrix as an array of arrays; one expression, folded once."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in row) + ")" for row in rows) + ")")
+
+
 def dft_magnitude(x: Column, n: int) -> Column:
     """Magnitudes of the first n/2 + 1 Fourier coefficients of arrays of length n; the twiddle factors are constants."""
     turn = 2 * math.pi / n
-    parts = []
-    for k in range(n // 2 + 1):
-        cos, sin = (F.array(*(F.lit(f(turn * (k * i % n))) for i in range(n))) for f in (math.cos, math.sin))
-        re, im = dot(x, cos), dot(x, sin)
-        parts.append(F.sqrt(re * re + im * im))
-    return F.array(*parts)
+    re, im = (F.transform(constant_rows([[f(turn * (k * i % n)) for i in range(n)] for k in range(n // 2 + 1)]), lambda row: dot(x, row)) for f in (math.cos, math.sin))
+    return F.zip_with(re, im, lambda a, b: F.sqrt(a * a + b * b))
 
 
 def dct(x: Column, n: int, kept: int) -> Column:
     """The first ``kept`` coefficients of the orthonormal cosine transform (type 2) of arrays of length n."""
-    row = lambda k: F.array(*(F.lit(math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * i + 1) / (2 * n))) for i in range(n)))
-    return F.array(*(dot(x, row(k)) for k in range(kept)))
+    rows = [[math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * k * (2 * i + 1) / (2 * n)) for i in range(n)] for k in range(kept)]
+    return F.transform(constant_rows(rows), lambda row: dot(x, row))
 
 
 def octave_bins(freqs: list[float], least: float, bands: int) -> list[tuple[int, int]]:
