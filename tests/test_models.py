@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from voxstrata.functions import distributions as D
 from voxstrata.operators import models as M
 
 LEVELS = ["a", "b", "c"]
@@ -59,8 +60,8 @@ def test_balanced_has_residual_degrees_of_freedom(spark):
 
 
 def test_student():
-    assert M.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
-    assert M.t_two_sided(0.0, 3) == 1.0 and M.t_two_sided(12.706205, 1) == pytest.approx(0.05, abs=1e-6)
+    assert D.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    assert D.t_two_sided(0.0, 3) == 1.0 and D.t_two_sided(12.706205, 1) == pytest.approx(0.05, abs=1e-6)
 
 
 def test_guards(spark):

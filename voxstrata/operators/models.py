@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import f_upper, t_quantile, t_two_sided
 from ..sources.shared import checkpointed
 
 #: Trial ratios (random over residual variance), then two finer grids about the best: exponents of 10.
@@ -85,31 +86,6 @@ def _best(sums: DataFrame, keys: list[str]) -> DataFrame:
     return sums.mapInPandas(score, schema).groupBy(*keys).agg(F.min_by("theta", F.struct("deviance", "theta")).alias("best"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    out = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + top * d or tiny)
-            c = 1 + top / c or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return out
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| > |t|) under Student's distribution."""
-    if not math.isfinite(t) or not df > 0:
-        return math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0 else 0.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
 def _contrasts(rows: list, levels: list[str]) -> list[tuple]:
     """All pairs of stages, with Satterthwaite's degrees of freedom from the deviance's curvature."""
     rows = sorted(rows, key=lambda r: r["theta"])

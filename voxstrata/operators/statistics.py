@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import applied, chi_upper, rank_sum_normal, rank_sum_two_sided
+
 
 def harmonic(m: Column) -> Column:
     """1 + 1/2 + ... + 1/m: added up to 64 terms, beyond that by its expansion, whose error is below 1e-13."""
@@ -24,34 +26,94 @@ def adjusted(df: DataFrame, p: str, family: list[str], method: str = "bh") -> Da
     return ranked.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("__rank", "__m", "__raw")
 
 
-def value_ranks(df: DataFrame, within: list[str], value: str, group: str) -> DataFrame:
+def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | None = None, cuts: int = 256) -> DataFrame:
+    """Each distinct value with its count ``t`` and the count ``below`` it.
+
+    Prefix sums in two levels, cut at approximate quantiles of the distinct values: a task holds one span of one group.
+    Null values take no part.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("t"))
+    splits = counts.groupBy(*within).agg(F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 10_000).alias("__splits"))
+    placed = counts.join(splits, within).withColumn("__span", F.size(F.filter("__splits", lambda c: c < F.col(value)))).drop("__splits")
+    totals = placed.groupBy(*within, "__span").agg(F.sum("t").alias("__t"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*within, "__span", before(Window.partitionBy(*within).orderBy("__span"), "__t").alias("__start"))
+    inside = Window.partitionBy(*within, "__span").orderBy(value)
+    return placed.join(starts, [*within, "__span"]).select(*within, value, "t", (F.col("__start") + before(inside, "t")).alias("below"))
+
+
+def value_ranks(df: DataFrame, within: list[str], value: str, group: str, weight: Column | None = None) -> DataFrame:
     """Mid-ranks from counts: one row for each distinct value and group, so that ties cost nothing."""
-    counts = df.groupBy(*within, value, group).agg(F.count("*").alias("n"))
-    ties = counts.groupBy(*within, value).agg(F.sum("n").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ties.withColumn("mid", below + (F.col("t") + 1) / 2)
+    counts = df.groupBy(*within, value, group).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    ranks = cumulated(counts, within, value, F.col("n")).withColumn("mid", F.col("below") + (F.col("t") + 1) / 2).drop("below")
     return counts.join(ranks, [*within, value])
 
 
+def cubes(ranks: DataFrame, within: list[str], value: str) -> DataFrame:
+    """The sum of t^3 - t over tied values."""
+    return ranks.dropDuplicates([*within, value]).groupBy(*within).agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
+
+
 def kruskal(df: DataFrame, within: list[str], value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H with the tie correction, and its degrees of freedom."""
+    """Kruskal-Wallis H with the tie correction, its degrees of freedom and p; null H where all values are equal."""
     ranks = value_ranks(df, within, value, group)
-    by_group = ranks.groupBy(*within, group).agg(F.sum(F.col("n") * F.col("mid")).alias("r"), F.sum("n").alias("g"))
-    total = by_group.groupBy(*within).agg(F.sum(F.col("r") * F.col("r") / F.col("g")).alias("s"), F.sum("g").cast("double").alias("n"), F.count("*").alias("k"))
-    ties = ranks.dropDuplicates([*within, value]).groupBy(*within).agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
+    by_group = ranks.groupBy(*within, group).agg(F.sum(F.col("n") * F.col("mid")).alias("__r"), F.sum("n").alias("__g"))
+    total = by_group.groupBy(*within).agg(F.sum(F.col("__r") * F.col("__r") / F.col("__g")).alias("s"), F.sum("__g").cast("double").alias("n"), F.count("*").alias("k"))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return total.join(ties, within).select(*within, h.alias("h"), (F.col("k") - 1).alias("df"), n.cast("long").alias("n"))
-
-
-def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    """U of the first group for all pairs of groups a < b, from value counts."""
-    names = df.select(F.col(group)).distinct()
-    pairs = names.toDF("a").join(names.toDF("b"), F.col("a") < F.col("b"))  # a few groups
-    both = df.join(F.broadcast(pairs), (F.col(group) == F.col("a")) | (F.col(group) == F.col("b")))
-    ranks = value_ranks(both, ["a", "b"], value, group).where(F.col(group) == F.col("a"))
-    out = ranks.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("mid")).alias("r"), F.sum("n").alias("n"))
-    return out.select("a", "b", (F.col("r") - F.col("n") * (F.col("n") + 1) / 2).alias("u"), F.col("n").alias("n_a"))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
+    out = total.join(cubes(ranks, within, value), within).select(*within, h.alias("h"), (F.col("k") - 1).alias("df"), n.cast("long").alias("n"))
+    return out.withColumn("p", applied(chi_upper, F.col("h"), F.col("df").cast("double")))
+
+
+def rank_sums(df: DataFrame, value: str, group: str, within: list[str] | None = None, least: int = 1, exact: bool = False) -> DataFrame:
+    """U of the first group and its two-sided p for all pairs of groups a < b of at least ``least`` values.
+
+    Values are counted before the pairs are formed. With ``exact``, small groups without ties get their exact tail.
+    """
+    within = within or []
+    x = df.where(F.col(value).isNotNull())
+    counts = x.groupBy(*within, group, value).agg(F.count("*").alias("__n"))
+    sizes = counts.groupBy(*within, group).agg(F.sum("__n").alias("n")).where(F.col("n") >= least)
+    a, b = sizes.select(*within, F.col(group).alias("a"), F.col("n").alias("n_a")), sizes.select(*within, F.col(group).alias("b"), F.col("n").alias("n_b"))
+    pairs = (a.join(b, within) if within else a.crossJoin(b)).where("a < b")  # names of groups
+    sides = pairs.select(*within, "a", "b", F.explode(F.array("a", "b")).alias(group))
+    keys = [*within, "a", "b"]
+    ranks = value_ranks(counts.join(sides, [*within, group]), keys, value, group, F.col("__n"))
+    r = ranks.where(F.col(group) == F.col("a")).groupBy(*keys).agg(F.sum(F.col("n") * F.col("mid")).alias("r"))
+    out = pairs.join(r, keys).join(cubes(ranks, keys, value), keys)
+    out = out.select(*keys, (F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"), "n_a", "n_b", "ties")
+    return out.withColumn("p", applied(rank_sum_two_sided if exact else rank_sum_normal, "u", "n_a", "n_b", "ties")).drop("ties")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, from cumulated counts: no group is gathered."""
+    runs = cumulated(df, keys, value)
+    x = runs.join(runs.groupBy(*keys).agg(F.sum("t").alias("__n")), keys)
+    holds = lambda at: F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("t")), F.col(value)))
+    made = []
+    for name, q in shares.items():
+        h = (F.col("__n") - 1) * q
+        made += [holds(F.floor(h)).alias(f"__{name}_low"), holds(F.ceil(h)).alias(f"__{name}_high"), F.max(h - F.floor(h)).alias(f"__{name}_part")]
+    out = x.groupBy(*keys).agg(F.sum("t").alias("n"), *made)
+    low, high, part = ((lambda name, k=k: F.col(f"__{name}_{k}")) for k in ("low", "high", "part"))
+    return out.select(*keys, "n", *((low(k) + part(k) * (high(k) - low(k))).alias(k) for k in shares))
+
+
+def box_stats(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
+    """What a box plot shows: quartiles, the last values within ``reach`` times their distance, and how many lie beyond."""
+    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    low, high, v = F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1")), F.col(value)
+    x = df.where(v.isNotNull()).join(q, keys)
+    ends = x.groupBy(*keys).agg(F.min(F.when(v >= low, v)).alias("whisker_low"), F.max(F.when(v <= high, v)).alias("whisker_high"), F.count_if((v < low) | (v > high)).alias("n_outliers"))
+    return q.join(ends, keys)
+
+
+def axis_limits(df: DataFrame, outer: list[str], panel: str, value: str, marks: DataFrame) -> DataFrame:
+    """Shared limits of the panels of each outer group, with room for the brackets counted in marks (outer, panel, n_marks)."""
+    whole = df.where(F.col(value).isNotNull()).groupBy(*outer).agg(F.min(value).alias("least"), F.greatest(F.max(value) - F.min(value), F.lit(1e-9)).alias("range"))
+    tops = df.groupBy(*outer, panel).agg(F.max(value).alias("top")).join(marks, [*outer, panel], "left").join(whole, outer)
+    need = F.col("top") + F.col("range") * (0.22 + 0.25 * F.coalesce("n_marks", F.lit(0)))
+    return tops.groupBy(*outer).agg((F.min("least") - 0.05 * F.max("range")).alias("low"), F.max(need).alias("high"))
 
 
 def in_order(key: str, *order: str) -> Window:
