@@ -41,13 +41,13 @@ def test_all_equal_and_empty(spark):
     assert T.kruskal(same.limit(0), ["w"], "v", "g").count() == 0 and T.quantiles(same.limit(0), ["w"], "v", {"m": 0.5}).count() == 0
 
 
-@pytest.mark.parametrize("cuts", [2, 256])
-def test_cumulated_counts(spark, cuts):
+@pytest.mark.parametrize("root", [2, 16])
+def test_cumulated_counts(spark, root):
     v = np.random.default_rng(1).integers(0, 40, 500)
     df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(v)], "w int, v double")
-    for r in T.cumulated(df, ["w"], "v", cuts=cuts).collect():
+    for r in T.cumulated(df, ["w"], "v", root=root).collect():
         part = v[r["w"] :: 2]
-        assert r["t"] == (part == r["v"]).sum() and r["below"] == (part < r["v"]).sum()
+        assert r["t"] == (part == r["v"]).sum() and r["below"] == (part < r["v"]).sum() and r["whole"] == 250
 
 
 def test_quantiles_and_boxes(spark):

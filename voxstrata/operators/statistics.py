@@ -26,26 +26,30 @@ def adjusted(df: DataFrame, p: str, family: list[str], method: str = "bh") -> Da
     return ranked.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("__rank", "__m", "__raw")
 
 
-def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | None = None, cuts: int = 256) -> DataFrame:
-    """Each distinct value with its count ``t`` and the count ``below`` it.
+def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | None = None, root: int = 16) -> DataFrame:
+    """Each distinct value with its count ``t``, the count ``below`` it and that of its whole group.
 
-    Prefix sums in two levels, cut at approximate quantiles of the distinct values: a task holds one span of one group.
-    Null values take no part.
+    Prefix sums in two levels, cut at root * root approximate quantiles of the distinct values: a task holds one span of
+    one group. Null values take no part.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("t"))
-    splits = counts.groupBy(*within).agg(F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 10_000).alias("__splits"))
-    placed = counts.join(splits, within).withColumn("__span", F.size(F.filter("__splits", lambda c: c < F.col(value)))).drop("__splits")
+    splits = counts.groupBy(*within).agg(F.percentile_approx(value, [k / root**2 for k in range(1, root**2)], 10_000).alias("__fine"))
+    splits = splits.withColumn("__coarse", F.filter("__fine", lambda _, i: i % root == root - 1))
+    under = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    placed = counts.join(splits, within).withColumn("__c", root * under("__coarse"))
+    placed = placed.withColumn("__span", F.col("__c") + under(F.slice("__fine", F.col("__c") + 1, F.lit(root - 1)))).drop("__c", "__fine", "__coarse")
     totals = placed.groupBy(*within, "__span").agg(F.sum("t").alias("__t"))
+    group = Window.partitionBy(*within)
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(*within, "__span", before(Window.partitionBy(*within).orderBy("__span"), "__t").alias("__start"))
+    starts = totals.select(*within, "__span", before(group.orderBy("__span"), "__t").alias("__start"), F.sum("__t").over(group).alias("whole"))
     inside = Window.partitionBy(*within, "__span").orderBy(value)
-    return placed.join(starts, [*within, "__span"]).select(*within, value, "t", (F.col("__start") + before(inside, "t")).alias("below"))
+    return placed.join(starts, [*within, "__span"]).select(*within, value, "t", (F.col("__start") + before(inside, "t")).alias("below"), "whole")
 
 
 def value_ranks(df: DataFrame, within: list[str], value: str, group: str, weight: Column | None = None) -> DataFrame:
     """Mid-ranks from counts: one row for each distinct value and group, so that ties cost nothing."""
     counts = df.groupBy(*within, value, group).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
-    ranks = cumulated(counts, within, value, F.col("n")).withColumn("mid", F.col("below") + (F.col("t") + 1) / 2).drop("below")
+    ranks = cumulated(counts, within, value, F.col("n")).withColumn("mid", F.col("below") + (F.col("t") + 1) / 2).drop("below", "whole")
     return counts.join(ranks, [*within, value])
 
 
@@ -87,12 +91,11 @@ def rank_sums(df: DataFrame, value: str, group: str, within: list[str] | None =
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, from cumulated counts: no group is gathered."""
-    runs = cumulated(df, keys, value)
-    x = runs.join(runs.groupBy(*keys).agg(F.sum("t").alias("__n")), keys)
+    x = cumulated(df, keys, value)
     holds = lambda at: F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("t")), F.col(value)))
     made = []
     for name, q in shares.items():
-        h = (F.col("__n") - 1) * q
+        h = (F.col("whole") - 1) * q
         made += [holds(F.floor(h)).alias(f"__{name}_low"), holds(F.ceil(h)).alias(f"__{name}_high"), F.max(h - F.floor(h)).alias(f"__{name}_part")]
     out = x.groupBy(*keys).agg(F.sum("t").alias("n"), *made)
     low, high, part = ((lambda name, k=k: F.col(f"__{name}_{k}")) for k in ("low", "high", "part"))

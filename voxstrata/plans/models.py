@@ -31,3 +31,13 @@ def stability_scores(spark, d):
     features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], [0.5, 0.8, 1.0]
     sample = V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"])
     return V.scores(V.replicates(sample, features, 40, ratios, c=0.01), ratios)
+
+
+@query()
+def lmm_interaction(spark, d):
+    """Stage by flag models of two features, suppliers as subjects: terms, means, contrasts and figures of the fit."""
+    quarter = F.quarter("l_shipdate")
+    stage = R.first_of([(quarter == i + 1, s) for i, s in enumerate(STAGES[:3])], STAGES[3])
+    x = table(spark, d, "lineitem").where("l_returnflag != 'N'").select("l_returnflag", "l_suppkey", stage.alias("at"), "l_quantity", "l_discount")
+    long = R.unpivot_long(x, ["l_returnflag", "l_suppkey", "at"], ["l_quantity", "l_discount"])
+    return M.interaction(long, ["feature"], "l_suppkey", "at", STAGES, "l_returnflag", ["A", "R"])

@@ -36,18 +36,18 @@ def box_stats(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT month(ts)::INT AS month, event_type, round(value, 0) AS value FROM events WHERE value IS NOT NULL),
-m AS (SELECT *, rank() OVER (PARTITION BY month ORDER BY value) + (count(*) OVER (PARTITION BY month, value) - 1) / 2.0::DOUBLE AS mid FROM v),
-g AS (SELECT month, event_type, sum(mid) AS r, count(*) AS g FROM m GROUP BY ALL), t AS (SELECT month, sum(c::DOUBLE ** 3 - c) AS ties FROM (SELECT month, count(*) AS c FROM v GROUP BY month, value) GROUP BY month),
-s AS (SELECT month, sum(r * r / g) AS s, sum(g)::DOUBLE AS n, count(*) AS k FROM g GROUP BY month),
-h AS (SELECT month, k - 1 AS df, n, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h FROM s JOIN t USING (month)),
+    """WITH v AS (SELECT day(ts)::INT AS day, event_type, round(value, 0) AS value FROM events WHERE value IS NOT NULL),
+m AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY value) + (count(*) OVER (PARTITION BY day, value) - 1) / 2.0::DOUBLE AS mid FROM v),
+g AS (SELECT day, event_type, sum(mid) AS r, count(*) AS g FROM m GROUP BY ALL), t AS (SELECT day, sum(c::DOUBLE ** 3 - c) AS ties FROM (SELECT day, count(*) AS c FROM v GROUP BY day, value) GROUP BY day),
+s AS (SELECT day, sum(r * r / g) AS s, sum(g)::DOUBLE AS n, count(*) AS k FROM g GROUP BY day),
+h AS (SELECT day, k - 1 AS df, n, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h FROM s JOIN t USING (day)),
 p AS (SELECT *, exp(-h / 2) * (1 + h / 2) AS p FROM h WHERE df = 4), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS i, count(*) OVER () AS m FROM p)
-SELECT month, round(h, 4) AS h, round(p, 4) AS p, round(least(1, min(p * m / i) OVER (ORDER BY i DESC)), 4) AS p_adjusted FROM r"""
+SELECT day, round(h, 4) AS h, round(p, 4) AS p, round(least(1, min(p * m / i) OVER (ORDER BY i DESC)), 4) AS p_adjusted FROM r"""
 )
 def kruskal_tests(spark, d):
-    """Kruskal-Wallis tests of event values by type in each month that has all five types, adjusted over the months."""
-    out = T.kruskal(rounded(spark, d, F.month("ts").alias("month")), ["month"], "value", "event_type").where("df = 4").drop("n", "df").withColumn("all", F.lit(0))
-    return T.adjusted(out, "p", ["all"]).select("month", r4("h").alias("h"), r4("p").alias("p"), r4("adjusted").alias("p_adjusted"))
+    """Kruskal-Wallis tests of event values by type on each day of the month that has all five types, adjusted over the days."""
+    out = T.kruskal(rounded(spark, d, F.dayofmonth("ts").alias("day")), ["day"], "value", "event_type").where("df = 4").drop("n", "df").withColumn("all", F.lit(0))
+    return T.adjusted(out, "p", ["all"]).select("day", r4("h").alias("h"), r4("p").alias("p"), r4("adjusted").alias("p_adjusted"))
 
 
 #: The error function's power series: terms up to 90 give the tail to nine places below 5.6 standard deviations.
