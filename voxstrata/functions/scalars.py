@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -161,3 +162,46 @@ def clock(seconds: Column) -> Column:
     """H:MM:SS."""
     t = seconds.cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(t / 3600), F.floor(t % 3600 / 60), t % 60)
+
+
+def hz_of_mel(m: Column) -> Column:
+    return 700 * (F.pow(F.lit(10.0), m / 2595) - 1)
+
+
+def hz_of_bark(z: Column) -> Column:
+    return 600 * F.sinh(z / 6)
+
+
+def near(x: Column, i: Column, j: Column, m: int, r: Column) -> Column:
+    """Whether m values from i on are within r of those from j on, one by one."""
+    return reduce(lambda a, b: a & b, [F.abs(F.get(x, i + k) - F.get(x, j + k)) <= r for k in range(m)])
+
+
+def near_pairs(x: Column, m: int, r: Column, last: Column) -> Column:
+    """Pairs of places i < j <= last that are near over m values."""
+    of = lambda i: F.size(F.filter(F.sequence(i + 1, last), lambda j: near(x, i, j, m, r)))
+    return F.when(last > 0, F.aggregate(F.sequence(F.lit(0), last - 1), F.lit(0), lambda a, i: a + of(i))).otherwise(0)
+
+
+def deviation(x: Column) -> Column:
+    """Population standard deviation of an array."""
+    mean = total(x) / F.size(x)
+    return F.sqrt(total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x))
+
+
+def sample_entropy(x: Column, r: Column, m: int = 2) -> Column:
+    """-ln of the share of pairs near over m values that stay so over m + 1; null where no pair is or none stays."""
+    last = F.size(x) - m - 1
+    stay, all_ = near_pairs(x, m + 1, r, last), near_pairs(x, m, r, last)
+    return F.when(stay > 0, -F.log(stay / all_))
+
+
+def approximate_entropy(x: Column, r: Column, m: int = 2) -> Column:
+    """The drop from m to m + 1 values of the mean log share of near places, a place itself included."""
+
+    def phi(k: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(x) - k)
+        n = F.size(x) - k + 1
+        return total(F.transform(places, lambda i: F.log(F.size(F.filter(places, lambda j: near(x, i, j, k, r))) / n))) / n
+
+    return F.when(F.size(x) > m, phi(m) - phi(m + 1))

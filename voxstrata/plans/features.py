@@ -168,3 +168,20 @@ def autocorrelation(spark, d):
     """Products of each vector with itself at lags 0 to 4."""
     x = vectors(spark, d).select("vec_id", F.posexplode(S.autocorrelation(F.col("e"), 4)).alias("lag", "r"))
     return x.select("vec_id", F.col("lag").cast("long").alias("lag"), r4("r").alias("r"))
+
+
+def _near(m: int) -> str:
+    return " AND ".join(f"abs(e[i + {k}] - e[j + {k}]) <= r" for k in range(1, m + 1))
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), e AS (SELECT *, 0.2::DOUBLE * sqrt(list_sum(list_transform(e, lambda x: (x - list_sum(e) / len(e)) ** 2)) / len(e)) AS r FROM v),
+p AS (SELECT vec_id, count(*) FILTER ({_near(2)}) AS b, count(*) FILTER ({_near(3)}) AS a FROM e, range(0, {N - 2}) x(i), range(0, {N - 2}) y(j) WHERE i < j GROUP BY 1)
+SELECT vec_id, b AS n_near, a AS n_stay, round(CASE WHEN a > 0 THEN -ln(a / b::DOUBLE) END, 4) AS entropy FROM p"""
+)
+def sample_entropy(spark, d):
+    """Sample entropy of each vector's components in order, within a fifth of their deviation."""
+    x = vectors(spark, d).withColumn("r", 0.2 * S.deviation(F.col("e")))
+    e, r, last = F.col("e"), F.col("r"), F.lit(N - 3)
+    x = x.select("vec_id", S.near_pairs(e, 2, r, last).cast("long").alias("n_near"), S.near_pairs(e, 3, r, last).cast("long").alias("n_stay"))
+    return x.withColumn("entropy", F.when(F.col("n_stay") > 0, r4(-F.log(F.col("n_stay") / F.col("n_near")))))
