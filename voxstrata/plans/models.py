@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import layout as L
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators import stability as V
@@ -41,3 +42,19 @@ def lmm_interaction(spark, d):
     x = table(spark, d, "lineitem").where("l_returnflag != 'N'").select("l_returnflag", "l_suppkey", stage.alias("at"), "l_quantity", "l_discount")
     long = R.unpivot_long(x, ["l_returnflag", "l_suppkey", "at"], ["l_quantity", "l_discount"])
     return M.interaction(long, ["feature"], "l_suppkey", "at", STAGES, "l_returnflag", ["A", "R"])
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM p)
+SELECT vec_id, rank::INT AS rank, neighbour, round(d, 4) AS distance FROM r WHERE rank <= 15"""
+)
+def knn_topk(spark, d):
+    """The 15 nearest neighbours of each vector, which a layout starts from; all rows of these tables are landmarks."""
+    return L.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 4))
+
+
+@query()
+def umap_layouts(spark, d):
+    """Layouts of all vectors under three settings."""
+    return L.layouts(table(spark, d, "embeddings"), "vec_id", "embedding", [(5, 0.1), (15, 0.1), (30, 0.5)])
