@@ -51,3 +51,35 @@ def test_fit_is_optimal():
 def test_correlated_columns(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(20)], "a double, b double, c double")
     assert R.correlated(R.correlations(df, ["a", "b", "c"]), {"a": 1.0, "b": 4.0, "c": 2.0}, ["a", "b", "c"]) == ["a"]
+
+
+def clustered(spark):
+    """good tells classes apart everywhere, own only within one subject that has most rows."""
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(600):
+        k, big = i % 3, i >= 150
+        s = "big" if big else f"s{i % 10}"
+        data.append((i, s, "abc"[k], float(0.8 * k + rng.normal()), float((0.9 * k if big else 0) + rng.normal()), float(rng.normal())))
+    return spark.createDataFrame(data, "id int, s string, y string, good double, own double, noise double")
+
+
+def test_strength_cap_and_decisions(spark):
+    features = ["good", "own", "noise"]
+    sample = V.class_sample(clustered(spark), "y", ["a", "b", "c"], features, ["id"], subject="s")
+    strength = {r["ratio"]: r["c"] for r in V.chosen_strength(sample, features, [0.5, 1.0], (1e-3, 1e-2, 0.1, 1.0)).collect()}
+    assert set(strength) == {0.5, 1.0} and all(1e-3 < c <= 1 for c in strength.values())
+    y, s = np.array([0, 1] * 50), np.array(["x"] * 80 + [f"z{i}" for i in range(20)])
+    rows = V.drawn(y, s, 2, 0.7, 15, np.random.default_rng(1))
+    assert len(rows) == 50 and len(set(rows)) == 50
+    free, held = (V.scores(V.replicates(sample, features, 8, [0.5, 1.0], strength, cap=cap), [0.5, 1.0]) for cap in (None, 15))
+    got = {r["feature"]: r for r in V.decisions(free, held).collect()}
+    assert got["good"]["decision"] == "Strong" and got["good"]["capping"] == "Stable"
+    assert got["own"]["held"] <= got["own"]["free"]
+
+
+def test_decision_rules(spark):
+    free = spark.createDataFrame([("a", 0.9, "High"), ("b", 0.6, "Moderate"), ("c", 0.9, "High"), ("d", 0.2, "Low")], "feature string, mean_pi double, label string")
+    held = spark.createDataFrame([("a", 0.8), ("b", 0.45), ("c", 0.3), ("e", 0.9)], "feature string, mean_pi double")
+    got = {r["feature"]: (r["capping"], r["decision"]) for r in V.decisions(free, held).collect()}
+    assert got == {"a": ("Stable", "Strong"), "b": ("Stable", "Moderate"), "c": ("Subject-dominated", "Exploratory"), "d": ("Stable", "Exclude"), "e": ("Stable", "Exclude")}

@@ -26,15 +26,21 @@ MOST = 2000
 KEPT = 1e-8
 
 
-def class_sample(df: DataFrame, label: str, classes: list[str], features: list[str], key: list[str], most: int = MOST, seed: int = 0) -> DataFrame:
+def class_sample(df: DataFrame, label: str, classes: list[str], features: list[str], key: list[str], most: int = MOST, seed: int = 0, subject: str | None = None) -> DataFrame:
     """The first rows of each class by a hash of the key: a partial top-k in each task, no sort of a whole class."""
-    x = df.select(F.col(label).cast("string").alias("__class"), *(F.col(f).cast("double").alias(f) for f in features), F.xxhash64(F.lit(seed), *key).alias("__order")).dropna()
+    who = [F.col(subject).cast("string").alias("__subject")] if subject else []
+    x = df.select(F.col(label).cast("string").alias("__class"), *who, *(F.col(f).cast("double").alias(f) for f in features), F.xxhash64(F.lit(seed), *key).alias("__order")).dropna()
     parts = [x.where(F.col("__class") == c).orderBy("__order", *features).limit(most) for c in classes]
     return reduce(DataFrame.unionByName, parts).drop("__order")
 
 
 def elastic_net(x: np.ndarray, y: np.ndarray, classes: int, c: float, ratio: float, steps: int = 300) -> np.ndarray:
-    """Coefficients (features, classes) of a class-balanced multinomial model, by accelerated proximal gradient steps."""
+    """Coefficients (features, classes) of a class-balanced multinomial model."""
+    return with_shift(x, y, classes, c, ratio, steps)[:-1]
+
+
+def with_shift(x: np.ndarray, y: np.ndarray, classes: int, c: float, ratio: float, steps: int = 300) -> np.ndarray:
+    """The same with the classes' shifts as last row, by accelerated proximal gradient steps."""
     n, k = x.shape
     counts = np.bincount(y, minlength=classes)
     w = (n / (np.maximum(counts, 1) * (counts > 0).sum()))[y] / n
@@ -58,33 +64,96 @@ def elastic_net(x: np.ndarray, y: np.ndarray, classes: int, c: float, ratio: flo
             b = new
             break
         b = new
-    return b[:k]
+    return b
+
+
+def scaled(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations of columns; constant ones have deviation 1."""
+    spread = part.std(0)
+    return part.mean(0), np.where(spread > 0, spread, 1)
+
+
+def drawn(y: np.ndarray, subjects: np.ndarray | None, classes: int, share: float, cap: int | None, rng: np.random.Generator) -> np.ndarray:
+    """A share of each class; with ``cap``, at most so many rows of each subject and class instead."""
+    order = rng.permutation(len(y))
+    if cap is None:
+        return np.concatenate([order[y[order] == k][: max(1, round(share * (y == k).sum()))] for k in range(classes)])
+    pick = pd.DataFrame({"y": y[order], "s": subjects[order]}).groupby(["y", "s"]).cumcount().to_numpy()
+    return order[pick < cap]
 
 
-def replicates(sample: DataFrame, features: list[str], count: int, ratios: list[float], c: float, share: float = 0.7, seed: int = 0) -> DataFrame:
-    """(replicate, ratio, feature, kept, size) of every fit."""
+def _jobs(sample: DataFrame, features: list[str], rows: DataFrame, on: list[str], schema: str, fit) -> DataFrame:
+    """``fit`` of each row of ``rows`` and the sample, which goes to all tasks; nothing where classes or rows are too few."""
     spark = sample.sparkSession
     held = sample.toPandas()  # bounded by class_sample
     names, y = np.unique(held["__class"].to_numpy(str), return_inverse=True)
-    schema = "replicate long, ratio double, feature string, kept boolean, size double"
     if len(names) < 2 or np.bincount(y).min() < 5:
         return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast((held[features].to_numpy(float), y, len(names)))
+    subjects = held["__subject"].to_numpy(str) if "__subject" in held else None
+    sent = spark.sparkContext.broadcast((held[features].to_numpy(float), y, subjects, len(names)))
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, classes = sent.value
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for replicate, ratio in zip(frame["id"], frame["ratio"]):
-                rng = np.random.default_rng([seed, int(replicate)])
-                rows = np.concatenate([rng.permutation(np.flatnonzero(y == k))[: max(1, round(share * (y == k).sum()))] for k in range(classes)])
-                part = x[rows] - x[rows].mean(0)
-                scale = part.std(0)
-                b = elastic_net(part / np.where(scale > 0, scale, 1), y[rows], classes, c, ratio)
-                yield pd.DataFrame({"replicate": replicate, "ratio": ratio, "feature": features, "kept": (np.abs(b) > KEPT).any(1), "size": np.abs(b).mean(1)})
-
-    tasks = max(1, min(count * len(ratios), 4 * spark.sparkContext.defaultParallelism))
-    jobs = spark.range(count).select("id", F.explode(F.array(*map(F.lit, map(float, ratios)))).alias("ratio")).repartition(tasks, "id", "ratio")
-    return jobs.mapInPandas(fit, schema)
+            for row in frame.to_dict("records"):
+                yield fit(*sent.value, row)
+
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, *on).mapInPandas(run, schema)
+
+
+def replicates(sample: DataFrame, features: list[str], count: int, ratios: list[float], c: float | dict[float, float], share: float = 0.7, seed: int = 0, cap: int | None = None) -> DataFrame:
+    """(replicate, ratio, feature, kept, size) of every fit; ``c`` may differ by ratio. ``cap`` needs a sample with subjects.
+
+    A capped replicate is skipped where a class is down to fewer than two rows.
+    """
+    schema = "replicate long, ratio double, feature string, kept boolean, size double"
+    strength = c if isinstance(c, dict) else dict.fromkeys(map(float, ratios), c)
+
+    def fit(x: np.ndarray, y: np.ndarray, subjects: np.ndarray | None, classes: int, row: dict) -> pd.DataFrame:
+        rows = drawn(y, subjects, classes, share, cap, np.random.default_rng([seed, int(row["id"])]))
+        if cap is not None and np.bincount(y[rows], minlength=classes).min() < 2:
+            return pd.DataFrame({"replicate": [], "ratio": [], "feature": [], "kept": [], "size": []})
+        mean, spread = scaled(x[rows])
+        b = elastic_net((x[rows] - mean) / spread, y[rows], classes, strength[row["ratio"]], row["ratio"])
+        return pd.DataFrame({"replicate": row["id"], "ratio": row["ratio"], "feature": features, "kept": (np.abs(b) > KEPT).any(1), "size": np.abs(b).mean(1)})
+
+    jobs = sample.sparkSession.range(count).select("id", F.explode(F.array(*map(F.lit, map(float, ratios)))).alias("ratio"))
+    return _jobs(sample, features, jobs, ["id", "ratio"], schema, fit)
+
+
+#: Trial strengths: thirty from 1e-3 to 1e2 in even steps of the logarithm.
+STRENGTHS = tuple(float(c) for c in np.logspace(-3, 2, 30))
+
+
+def chosen_strength(sample: DataFrame, features: list[str], ratios: list[float], strengths: tuple[float, ...] = STRENGTHS, folds: int = 5, seed: int = 0) -> DataFrame:
+    """(ratio, c): the smallest strength whose balanced accuracy, over stratified folds, is within one error of the best."""
+
+    def fit(x: np.ndarray, y: np.ndarray, subjects: np.ndarray | None, classes: int, row: dict) -> pd.DataFrame:
+        order = np.random.default_rng(seed).permutation(len(y))
+        fold = np.empty(len(y), int)
+        fold[order] = pd.Series(y[order]).groupby(y[order]).cumcount().to_numpy() % folds
+        fitted, held = fold != row["fold"], fold == row["fold"]
+        mean, spread = scaled(x[fitted])
+        b = with_shift((x[fitted] - mean) / spread, y[fitted], classes, row["c"], row["ratio"])
+        guess = ((x[held] - mean) / spread @ b[:-1] + b[-1]).argmax(1)
+        right = [(guess[y[held] == k] == k).mean() for k in range(classes) if (y[held] == k).any()]
+        return pd.DataFrame({"ratio": [row["ratio"]], "c": [row["c"]], "accuracy": [float(np.mean(right))]})
+
+    one = lambda values: F.explode(F.array(*map(F.lit, map(float, values))))
+    jobs = sample.sparkSession.range(folds).toDF("fold").withColumn("ratio", one(ratios)).withColumn("c", one(strengths))
+    by = _jobs(sample, features, jobs, ["fold", "ratio", "c"], "ratio double, c double, accuracy double", fit)
+    by = by.groupBy("ratio", "c").agg(F.avg("accuracy").alias("mean"), (F.stddev_pop("accuracy") / float(np.sqrt(folds))).alias("error"))
+    best = by.groupBy("ratio").agg(F.max_by(F.col("mean") - F.col("error"), F.struct("mean", -F.col("c"))).alias("least"))
+    return by.join(best, "ratio").where("mean >= least").groupBy("ratio").agg(F.min("c").alias("c"))
+
+
+def decisions(uncapped: DataFrame, capped: DataFrame) -> DataFrame:
+    """Scores with and without the cap on subjects, what the cap changes, and the decision that follows."""
+    both = R.compare_outer(uncapped.select("feature", F.col("mean_pi").alias("free")), capped.select("feature", F.col("mean_pi").alias("held")), "feature", "free", "held")
+    role = R.first_of([(F.col("delta") <= 0.2, "Stable"), (F.col("delta") > 0.35, "Subject-dominated")], "Reduced")
+    x = both.join(uncapped.select("feature", "label"), "feature", "left").withColumn("capping", role)
+    flagged = F.col("capping") == "Subject-dominated"
+    rules = [((F.col("label") == "High") & (F.col("held") >= 0.5) & ~flagged, "Strong"), (F.col("label").isin("High", "Moderate") & (F.col("held") >= 0.4) & ~flagged, "Moderate"), (flagged, "Exploratory")]
+    return x.withColumn("decision", R.first_of(rules, "Exclude"))
 
 
 def scores(fits: DataFrame, ratios: list[float], high: float = 0.7, some: float = 0.5) -> DataFrame:

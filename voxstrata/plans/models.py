@@ -9,6 +9,7 @@ from ..operators import models as M
 from ..operators import relational as R
 from ..operators import stability as V
 from ..operators import statistics as T
+from ..sources.shared import checkpointed
 from .catalogue import query, table
 
 STAGES = ["Pre", "Early Post", "Mid Post", "Late Post"]
@@ -58,3 +59,13 @@ def knn_topk(spark, d):
 def umap_layouts(spark, d):
     """Layouts of all vectors under three settings."""
     return L.layouts(table(spark, d, "embeddings"), "vec_id", "embedding", [(5, 0.1), (15, 0.1), (30, 0.5)])
+
+
+@query()
+def stability_decisions(spark, d):
+    """Strengths by the one-error rule, then scores with and without a cap on the rows of a supplier, and decisions."""
+    features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [0.5, 1.0]
+    sample = checkpointed(V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"], subject="l_suppkey"))
+    strength = {r["ratio"]: r["c"] for r in V.chosen_strength(sample, features, ratios, V.STRENGTHS[::5]).collect()}  # a row for each ratio
+    free, held = (V.scores(V.replicates(sample, features, 20, ratios, strength, cap=cap), ratios) for cap in (None, 15))
+    return V.decisions(free, held)
