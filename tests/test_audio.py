@@ -77,3 +77,23 @@ def test_filters_and_floors():
     assert G.mel_bank(40, 1024, RATE).sum(1) == pytest.approx(1)
     with pytest.raises(ValueError):
         G.framed(np.zeros(3), 4, 2)
+
+
+def test_written_recordings_read_back(spark, folder, tmp_path):
+    clips = A.read_clips(spark, folder)
+    A.encoded_clips(clips).write.parquet(f"{tmp_path}/clips")
+    old = {r["path"]: r for r in clips.collect()}
+    for r in A.clips_of(spark.read.parquet(f"{tmp_path}/clips")).collect():
+        if old[r["path"]]["samples"] is None:
+            assert r["error"] == "no content"
+        else:
+            assert r["samples"] == pytest.approx(old[r["path"]]["samples"], abs=1e-9) and r["sampling_rate"] == RATE and r["clip"] == old[r["path"]]["clip"]
+    cycles = A.read_cycles(spark, folder)
+    row = A.encoded_cycles(cycles).first()
+    assert bytes(row["content"]) == A.cycle_bytes(cycles.first()["cycles"]) and len(row["content"]) == 8 + 8 * 3
+
+
+def test_wide_features(spark, folder):
+    order = [("temporal", "rms"), ("pitch", "f0")]
+    got = {r["clip"]: r for r in A.wide(G.extract(A.read_clips(spark, folder), ["temporal", "pitch"]), "clip", order).collect()}
+    assert got["a"]["temporal_rms"] == pytest.approx(0.5 / np.sqrt(2), rel=1e-3) and got["bad"]["pitch_f0"] is None

@@ -88,3 +88,10 @@ def test_entropies(spark):
         s, a = brute(xs[i], 0.5 * np.std(xs[i]), 2)
         assert (got[i]["s"] == pytest.approx(s) if s is not None else got[i]["s"] is None) and got[i]["a"] == pytest.approx(a)
     assert got[2]["s"] is None and got[2]["a"] is None
+
+
+def test_spread_and_density():
+    assert V.spread_cycles(np.array([[1, 2], [3, 4]]), np.array([5.0, 7.0]), 6).tolist() == [7, 5, 5, 7, 7, 7]
+    at = np.linspace(-8, 8, 400)
+    d = V.density(np.random.default_rng(4).normal(size=5000), at)
+    assert d.sum() * (at[1] - at[0]) == pytest.approx(1, abs=1e-3) and d.max() == pytest.approx(0.3989, abs=0.03)

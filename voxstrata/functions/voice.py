@@ -236,3 +236,21 @@ def prediction_response(a: np.ndarray, error: np.ndarray, size: int) -> np.ndarr
     """Power spectra of prediction models."""
     return error[:, None] / np.maximum(np.abs(np.fft.rfft(a, size, axis=1)) ** 2, FLOOR)
 
+
+
+def spread_cycles(cycles: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """A step function of n samples from a value for each cycle; outside all cycles it has the last one."""
+    out = np.full(n, values[-1] if len(values) else np.nan, float)
+    for (first, last), v in zip(cycles, values):
+        out[first : last + 1] = v
+    return out
+
+
+def density(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Gaussian kernel density with Silverman's width."""
+    iqr = np.subtract(*np.quantile(x, [0.75, 0.25]))
+    width = max(0.9 * min(x.std(ddof=1), iqr / 1.34) * len(x) ** -0.2, FLOOR)
+    out = np.zeros(len(at))
+    for first in range(0, len(x), 4096):
+        out += np.exp(-0.5 * ((at[:, None] - x[first : first + 4096]) / width) ** 2).sum(1)
+    return out / (len(x) * width * np.sqrt(2 * np.pi))

@@ -57,6 +57,8 @@ def _decoded(scan: DataFrame, schema: str, decode) -> DataFrame:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
+                    if content is None:
+                        raise ValueError("no content")
                     rows.append((path, *decode(content), None))
                 except (ValueError, struct.error) as fault:
                     rows.append((path, *[None] * (len(names) - 1), str(fault)))
@@ -77,6 +79,11 @@ def path_fields(path: Column) -> list[Column]:
 
 def read_clips(spark: SparkSession, root: str, rate: int | None = None) -> DataFrame:
     """One row for each .wav file below root; other rates than ``rate`` are an error."""
+    return clips_of(files(spark, root, "*.[wW][aA][vV]").where(~F.col("path").rlike(r"/\._[^/]*$")), rate)
+
+
+def clips_of(scan: DataFrame, rate: int | None = None) -> DataFrame:
+    """The same from (path, content) rows of any table."""
 
     def decode(content: bytes) -> tuple:
         head = riff(content)
@@ -84,7 +91,6 @@ def read_clips(spark: SparkSession, root: str, rate: int | None = None) -> DataF
             raise ValueError(f"sampling rate {head['sampling_rate']}")
         return head["sampling_rate"], head["channels"], head["bits"], head["duration"], samples_of(content, head)
 
-    scan = files(spark, root, "*.[wW][aA][vV]").where(~F.col("path").rlike(r"/\._[^/]*$"))
     clips = _decoded(scan, CLIP, decode)
     return clips.select(*path_fields(F.col("path")), *clips.columns)
 
@@ -123,3 +129,41 @@ def cycle_measures(clips: DataFrame) -> DataFrame:
     period = F.size("x") / F.col("sampling_rate")
     energy = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     return x.select("treatment", "week", "subject", "clip", "cycle", period.alias("period"), (F.array_max("x") - F.array_min("x")).alias("amplitude"), F.try_divide(energy, period).alias("energy"), "gap")
+
+
+def wave_bytes(x: np.ndarray, rate: int) -> bytes:
+    """A RIFF file of one channel of 16 bits; samples beyond -1 and 1 are clipped."""
+    data = np.clip(np.rint(np.asarray(x, float) * 32767), -32767, 32767).astype("<i2").tobytes()
+    form = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", len(data)) + data
+
+
+def cycle_bytes(cycles) -> bytes:
+    """A cycle file of (start, end) pairs."""
+    pairs = np.array([(c["start"], c["end"]) for c in cycles], "<u4").reshape(-1, 2)
+    return struct.pack("<II", len(pairs), 2) + pairs.tobytes()
+
+
+def _encoded(df: DataFrame, encode, *columns: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [None if any(v is None or (np.isscalar(v) and pd.isna(v)) for v in row) else encode(*row) for row in zip(*(frame[c] for c in columns))]
+            yield pd.DataFrame({"path": frame["path"], "content": made})
+
+    return df.select("path", *columns).mapInPandas(run, "path string, content binary")
+
+
+def encoded_clips(clips: DataFrame) -> DataFrame:
+    """(path, content) of recordings, for a table that ``clips_of`` reads; null samples give null content."""
+    return _encoded(clips, lambda x, rate: wave_bytes(x, int(rate)), "samples", "sampling_rate")
+
+
+def encoded_cycles(cycles: DataFrame) -> DataFrame:
+    """(path, content) of cycle files; null cycles give null content."""
+    return _encoded(cycles, cycle_bytes, "cycles")
+
+
+def wide(features: DataFrame, key: str, order: list[tuple[str, str]]) -> DataFrame:
+    """One row for each clip with a column ``family_feature`` for each pair in ``order``: no column list is collected."""
+    cell = [F.max(F.when((F.col("family") == family) & (F.col("feature") == name), F.col("value"))).alias(f"{family}_{name}") for family, name in order]
+    return features.groupBy(key).agg(*cell)
