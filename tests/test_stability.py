@@ -83,3 +83,17 @@ def test_decision_rules(spark):
     held = spark.createDataFrame([("a", 0.8), ("b", 0.45), ("c", 0.3), ("e", 0.9)], "feature string, mean_pi double")
     got = {r["feature"]: (r["capping"], r["decision"]) for r in V.decisions(free, held).collect()}
     assert got == {"a": ("Stable", "Strong"), "b": ("Stable", "Moderate"), "c": ("Subject-dominated", "Exploratory"), "d": ("Stable", "Exclude"), "e": ("Stable", "Exclude")}
+
+
+def test_shadow_forest(spark):
+    from voxstrata.operators import shadows as H
+
+    features = ["good", "noise", "constant"]
+    rng = np.random.default_rng(6)
+    data = [(i, "ab"[i % 2], float(i % 2 + 0.5 * rng.normal()), float(rng.normal()), 1.0) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, y string, good double, noise double, constant double")
+    got = {r["feature"]: r for r in H.shadow_forest(V.class_sample(df, "y", ["a", "b"], features, ["id"]), features, rounds=10, trees=15).collect()}
+    assert got["good"]["decision"] == "Confirmed" and got["good"]["hits"] == 10
+    assert got["constant"]["decision"] == "Rejected" and got["noise"]["decision"] != "Confirmed"
+    assert H.shadow_forest(V.class_sample(df, "y", ["a"], features, ["id"]), features).count() == 0
+    assert H.at_least(0, 5) == 1 and H.at_least(5, 5) == 1 / 32

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import layout as L
 from ..operators import models as M
 from ..operators import relational as R
+from ..operators import shadows as H
 from ..operators import stability as V
 from ..operators import statistics as T
 from ..sources.shared import checkpointed
@@ -69,3 +70,11 @@ def stability_decisions(spark, d):
     strength = {r["ratio"]: r["c"] for r in V.chosen_strength(sample, features, ratios, V.STRENGTHS[::5]).collect()}  # a row for each ratio
     free, held = (V.scores(V.replicates(sample, features, 20, ratios, strength, cap=cap), ratios) for cap in (None, 15))
     return V.decisions(free, held)
+
+
+@query()
+def shadow_features(spark, d):
+    """Which numeric features tell the flag apart better than permuted copies, over eight forests."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    sample = V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"])
+    return H.shadow_forest(sample, features, rounds=8, trees=20)
