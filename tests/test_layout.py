@@ -49,3 +49,19 @@ def test_clusters_stay_apart(spark, most):
     d = ((z[:, None] - z[None]) ** 2).sum(2) + np.diag(np.full(240, np.inf))
     near = np.argsort(d, axis=1)[:, :5]
     assert (label[near] == label[:, None]).mean() > 0.97
+
+
+def test_neighbours_beyond_the_landmarks(spark):
+    """All rows are looked at: more rows than landmarks, in clusters, with copies, a repeated key and blocks of every size."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(5000, 6)) + 8 * rng.integers(0, 3, (5000, 1)), 1)
+    x[:300] = x[0]
+    got = {}
+    for r in L.neighbours(frame(spark, x), "id", "e", 7, block=400).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    assert len(got) == 5000
+    for i in range(0, 5000, 7):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = [j for j in np.lexsort((np.arange(5000), d)) if j != i][:7]
+        mine = sorted(got[i])
+        assert [m[2] for m in mine] == pytest.approx(d[want]) and [m[1] for m in mine] == want

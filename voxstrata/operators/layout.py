@@ -1,11 +1,16 @@
 """Nearest neighbours and two-dimensional layouts of vectors by uniform manifold approximation (McInnes, Healy, Melville).
 
-A layout is a fitted model: it sees at most ``most`` landmarks, taken by the order of a hash over all rows, and every row,
-landmark or not, is then placed among its nearest landmarks. Landmarks are what is broadcast, bounded by most * length;
-work grows in step with the rows. Tables of up to ``most`` rows are their own landmarks, and neighbours are then exact.
+Neighbours are exact over all rows. Rows are dealt to the cells of pivots, cells to blocks of about ``block`` rows; each
+block is searched by itself first, which bounds a row's k-th distance, and the row then visits the blocks that the triangle
+inequality leaves open. Pivots only route: they change what is looked at, never what is found. Blocks meet in pairs, so a
+task holds two of them.
 
-Defined cases: vectors that are null, of another length than most landmarks have, or hold null or non-finite components take
-no part; repeated rows are neighbours at distance 0; fewer landmarks than asked for give as many neighbours as there are.
+A layout, by contrast, is still a fit of at most ``most`` landmarks, taken by the order of a hash over all rows; every other
+row is placed among its nearest landmarks, so beyond ``most`` rows the graph behind a layout is not that of all rows.
+
+Defined cases: vectors that are null, of another length than most rows have, or hold null or non-finite components take
+no part; repeated rows are neighbours at distance 0, but never those of one key; fewer rows than asked for give as many
+neighbours as there are.
 """
 
 from __future__ import annotations
@@ -17,8 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 MOST = 4096
-BLOCK = 512
+#: Rows whose distances to a block are held at a time, rows of a block, and pivots at most (they go to all tasks).
+BLOCK, SIDE, PIVOTS = 512, 2048, 1024
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -38,12 +46,27 @@ def landmarks(df: DataFrame, key: str, vector: str, most: int = MOST, seed: int
     return held["key"].to_numpy(np.int64), np.vstack(held["v"].to_numpy())
 
 
+def numbered(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(row, key, v) of the rows that take part, each with a number of its own."""
+    x = usable(df, key, vector)
+    usual = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return checkpointed(x.where(F.size("v") == (usual["n"] if usual else 0)).withColumn("row", F.monotonically_increasing_id()))
+
+
+def some_rows(rows: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, keys and vectors of at most ``most`` rows, by key."""
+    held = rows.orderBy(F.xxhash64(F.lit(seed), "key"), "key", "v").limit(most).toPandas().sort_values("key", kind="stable")
+    v = np.vstack(held["v"].to_numpy()) if len(held) else np.zeros((0, 0))
+    return held["row"].to_numpy(np.int64), held["key"].to_numpy(np.int64), v
+
+
 def nearest_of(keys: np.ndarray, x: np.ndarray, at: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows of y to each row of x, itself left out; ties go to the smaller key.
+    """Places and distances of the k nearest rows of y to each row of x, its own key left out; ties go to the smaller key.
 
     The product form picks candidates, with all that lie within its error of the k-th; differences give the distances.
+    Where there are fewer, distances are not numbers.
     """
-    k = max(0, min(k, len(at) - int(len(at) > 0 and np.isin(keys, at).any())))
+    k = min(k, len(at))
     places, distances = np.zeros((len(x), k), int), np.full((len(x), k), np.nan)
     if not k:
         return places, distances
@@ -55,29 +78,91 @@ def nearest_of(keys: np.ndarray, x: np.ndarray, at: np.ndarray, y: np.ndarray, k
         rough[keys[first : first + BLOCK, None] == at] = np.inf
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (xx[:, 0] + yy.max())
         for i, row in enumerate(rough):
-            some = np.flatnonzero(row <= limit[i])
+            some = np.flatnonzero((row <= limit[i]) & (row < np.inf))
             d = np.sqrt(((y[some] - part[i]) ** 2).sum(1))
             order = np.lexsort((at[some], d))[:k]
             places[first + i, : len(order)], distances[first + i, : len(order)] = some[order], d[order]
     return places, distances
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int, most: int = MOST, seed: int = 0) -> DataFrame:
-    """(key, rank, neighbour, distance): the nearest landmarks of every row, by Euclidean distance."""
-    at, y = landmarks(df, key, vector, most, seed)
-    sent = df.sparkSession.sparkContext.broadcast((at, y))
+FOUND = "row long, key long, other long, neighbour long, distance double"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, y = sent.value
+
+def _found(q: pd.DataFrame, other: np.ndarray, at: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    keys = q["key"].to_numpy(np.int64)
+    places, d = nearest_of(keys, np.vstack(q["v"].to_numpy()), at, y, k)
+    flat, wide = places.ravel(), places.shape[1]
+    made = pd.DataFrame({"row": np.repeat(q["row"].to_numpy(), wide), "key": np.repeat(keys, wide), "other": other[flat], "neighbour": at[flat], "distance": d.ravel()})
+    if "bound" in q:
+        made = made[made["distance"] <= np.repeat(q["bound"].to_numpy(), wide)]
+    return made[made["distance"].notna()]
+
+
+def _searched(k: int):
+    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({n: [] for n in ("row", "key", "other", "neighbour", "distance")})
+        return _found(q, c["row"].to_numpy(np.int64), c["key"].to_numpy(np.int64), np.vstack(c["v"].to_numpy()), k)
+
+    return work
+
+
+def nearest(rows: DataFrame, k: int, block: int = SIDE) -> DataFrame:
+    """(row, key, rank, other, neighbour, distance): the nearest of all rows to every row. rows: as ``numbered`` makes them."""
+    spark = rows.sparkSession
+    n = rows.count()
+    _, _, pivots = some_rows(rows, max(1, min(PIVOTS, -(-n // block))), 1)
+    pivots = np.unique(pivots, axis=0) if len(pivots) else pivots
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def away(frame: pd.DataFrame) -> np.ndarray:
+        v = np.vstack(frame["v"].to_numpy())
+        return np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in sent.value], 1)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[f["v"].map(len) == y.shape[1]]
             if len(f):
-                places, d = nearest_of(f["key"].to_numpy(np.int64), np.vstack(f["v"].to_numpy()), at, y, k)
-                rank = np.tile(np.arange(1, places.shape[1] + 1), len(f))
-                made = pd.DataFrame({"key": np.repeat(f["key"].to_numpy(), places.shape[1]), "rank": rank, "neighbour": at[places.ravel()], "distance": d.ravel()})
-                yield made[made["distance"].notna()]
+                d = away(f)
+                cell = d.argmin(1)
+                yield f[["row", "key", "v"]].assign(cell=cell.astype(np.int32), radius=d[np.arange(len(f)), cell])
+
+    dealt = checkpointed(rows.select("row", "key", "v").mapInPandas(deal, "row long, key long, v array<double>, cell int, radius double"))
+    # a row for each cell; cells beyond a block are cut by a hash
+    cells = [(r["cell"], r["low"], r["high"], max(1, -(-r["n"] // block))) for r in dealt.groupBy("cell").agg(F.min("radius").alias("low"), F.max("radius").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()]
+    first, total = [], 0
+    for _, _, _, parts in cells:
+        first.append(total)
+        total += parts
+    begin = spark.createDataFrame([(c[0], b, c[3]) for c, b in zip(cells, first)], "cell int, begin long, parts long")
+    dealt = checkpointed(dealt.join(F.broadcast(begin), "cell").select("row", "key", "v", (F.col("begin") + F.pmod(F.xxhash64("row"), "parts")).alias("block")))
+
+    own = checkpointed(dealt.groupBy("block").applyInPandas(lambda f: _searched(k)(f, f), FOUND))
+    bounds = own.groupBy("row").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+    asked = dealt.join(bounds, "row", "left").select("row", "key", "v", F.col("block").alias("home"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    table = spark.sparkContext.broadcast(([c[0] for c in cells], np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), np.array(first), np.array([c[3] for c in cells])))
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, low, high, begin, parts = table.value
+        for f in frames:
+            if len(f):
+                d = away(f)[:, cell]
+                # no row of the cell is nearer than this
+                least = np.maximum(d - high, low - d) - 1e-9 * (1 + d + high)
+                open_ = least <= f["bound"].to_numpy()[:, None]
+                blocks = [np.concatenate([np.arange(b, b + p) for b, p in zip(begin[o], parts[o])]) if o.any() else np.empty(0, int) for o in open_]
+                yield f.assign(blocks=[b[b != h] for b, h in zip(blocks, f["home"])])
+
+    asked = checkpointed(asked.mapInPandas(visit, "row long, key long, v array<double>, home long, bound double, blocks array<long>"))
+    pairs = asked.select(F.col("home").alias("asker"), F.explode("blocks").alias("target")).distinct()
+    left = asked.select("row", "key", "v", "home", "bound", F.explode("blocks").alias("block"))
+    rest = left.groupBy("home", "block").cogroup(dealt.join(pairs, F.col("block") == F.col("target")).select("row", "key", "v", "asker", "target").groupBy("asker", "target")).applyInPandas(_searched(k), FOUND)
+    best = Window.partitionBy("row").orderBy("distance", "neighbour", "other")
+    return own.unionAll(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("row", "key", "rank", "other", "neighbour", "distance")
 
-    return usable(df, key, vector).mapInPandas(run, "key long, rank int, neighbour long, distance double").withColumnRenamed("key", key)
+
+def neighbours(df: DataFrame, key: str, vector: str, k: int, block: int = SIDE) -> DataFrame:
+    """(key, rank, neighbour, distance): the nearest of all rows to every row, by Euclidean distance."""
+    return nearest(numbered(df, key, vector), k, block).select(F.col("key").alias(key), "rank", "neighbour", "distance")
 
 
 def memberships(d: np.ndarray) -> np.ndarray:
@@ -112,7 +197,7 @@ def fitted(at: np.ndarray, y: np.ndarray, k: int, least: float, epochs: int, see
     n = len(at)
     if n < 3:
         return np.zeros((n, 2))
-    places, d = nearest_of(at, y, at, y, k)
+    places, d = nearest_of(at, y, at, y, min(k, n - 1))
     fine = ~np.isnan(d)
     w = np.zeros((n, n), np.float32)  # bounded by the number of landmarks
     np.put_along_axis(w, np.where(fine, places, np.arange(n)[:, None]), np.where(fine, memberships(np.nan_to_num(d)), 0), 1)
@@ -144,6 +229,24 @@ def fitted(at: np.ndarray, y: np.ndarray, k: int, least: float, epochs: int, see
     return z
 
 
+def near_landmarks(df: DataFrame, key: str, vector: str, k: int, most: int = MOST, seed: int = 0) -> DataFrame:
+    """(key, rank, neighbour, distance): the nearest landmarks of every row, by Euclidean distance."""
+    at, y = landmarks(df, key, vector, most, seed)
+    sent = df.sparkSession.sparkContext.broadcast((at, y))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, y = sent.value
+        for f in frames:
+            f = f[f["v"].map(len) == y.shape[1]]
+            if len(f):
+                places, d = nearest_of(f["key"].to_numpy(np.int64), np.vstack(f["v"].to_numpy()), at, y, k)
+                rank = np.tile(np.arange(1, places.shape[1] + 1), len(f))
+                made = pd.DataFrame({"key": np.repeat(f["key"].to_numpy(), places.shape[1]), "rank": rank, "neighbour": at[places.ravel()], "distance": d.ravel()})
+                yield made[made["distance"].notna()]
+
+    return usable(df, key, vector).mapInPandas(run, "key long, rank int, neighbour long, distance double").withColumnRenamed("key", key)
+
+
 def layouts(df: DataFrame, key: str, vector: str, settings: list[tuple[int, float]], epochs: int = 200, most: int = MOST, seed: int = 42) -> DataFrame:
     """(key, n_neighbours, min_dist, x, y) of every row under each setting; the settings are fitted in tasks of their own."""
     spark = df.sparkSession
@@ -161,7 +264,7 @@ def layouts(df: DataFrame, key: str, vector: str, settings: list[tuple[int, floa
     placed = jobs.mapInPandas(fit, "n_neighbours int, min_dist double, neighbour long, x double, y double")
     own = placed.withColumnRenamed("neighbour", key)
     # rows that are no landmarks: the mean place of their nearest landmarks, by membership
-    near = neighbours(df, key, vector, max(k for k, _ in settings), most, seed).join(F.broadcast(spark.createDataFrame(pd.DataFrame({key: at}), f"{key} long")), key, "left_anti")
+    near = near_landmarks(df, key, vector, max(k for k, _ in settings), most, seed).join(F.broadcast(spark.createDataFrame(pd.DataFrame({key: at}), f"{key} long")), key, "left_anti")
     near = near.withColumn("__least", F.min("distance").over(Window.partitionBy(key))).withColumn("__mean", F.avg("distance").over(Window.partitionBy(key)))
     pulled = near.join(F.broadcast(placed), "neighbour").where(F.col("rank") <= F.col("n_neighbours"))  # landmarks times settings
     weight = F.exp(-(F.col("distance") - F.col("__least")) / F.greatest(F.col("__mean") - F.col("__least"), F.lit(1e-12)))

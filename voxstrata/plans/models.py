@@ -52,7 +52,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS
 SELECT vec_id, rank::INT AS rank, neighbour, round(d, 4) AS distance FROM r WHERE rank <= 15"""
 )
 def knn_topk(spark, d):
-    """The 15 nearest neighbours of each vector, which a layout starts from; all rows of these tables are landmarks."""
+    """The 15 nearest neighbours of each vector, among all vectors, which a layout starts from."""
     return L.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 4))
 
 
