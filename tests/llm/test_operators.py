@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -260,6 +261,29 @@ def test_lm_score(spark, make):
         assert size == 51
 
 
+def test_lm_score_counts_every_word(spark, make):
+    """Words far beyond the 2,047 most frequent are told apart, whether their bigrams are broadcast or joined."""
+    common = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(common[i : i + 100] * 3) for i in range(0, 3000, 100)] + ["alpha rare1 beta", "alpha rare2 beta", "alpha rare1 beta"]
+    good = spark.createDataFrame([(30,)], "doc_id long")
+    seq = [t.split() for t in texts]
+    grams = lambda docs: [(a, b) for i in docs for a, b in zip(["^", *seq[i]], seq[i])]
+    size = len({w for t in seq for w in t}) + 1
+
+    def loss(docs, i):
+        pairs = grams(docs)
+        pair, hist, uni = Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+        p = lambda a, b: (pair[a, b] + 50 * (uni[b] + 1) / (len(pairs) + size)) / (hist[a] + 50)
+        return np.mean([-np.log(p(a, b)) for a, b in grams([i])])
+
+    for head in (0, 5, 10**6):
+        got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(make(texts), good, head=head).collect()}
+        assert len(got) == len(texts) and got[31]["difference"] > got[32]["difference"]
+        for i in (0, 29, 30, 31, 32):
+            assert got[i]["target_loss"] == pytest.approx(loss([30], i))
+            assert got[i]["background_loss"] == pytest.approx(loss([x for x in range(33) if x != 30], i))
+
+
 def test_digest_of_kept_text(spark, make):
     docs = make(["a\nb"])
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), ["doc_id"]).select(F.sha2("kept", 256)).first()[0]

@@ -4,10 +4,10 @@ Two bigram models of the same order, smoothing and vocabulary are counted over t
 the documents labelled good, the background model over all others. A document's score is its mean loss per token under the
 target less that under the background: the lower, the more it reads like the target.
 
-The vocabulary is the ``words`` most frequent words of all documents; every other word is the one unknown word. So the
-bigram tables have at most (words + 1) ** 2 entries whatever the corpus, which is what bounds the broadcast; the counts
-behind them are exact and cover every token of every document. Each task counts into a table of that size and only the
-table's filled entries are shuffled.
+The vocabulary is every word of the corpus, or, where ``words`` is given, that many of the most frequent words with the rest
+as one unknown word. Tasks count bigrams of some million tokens before they hand them on; the counts of all bigrams and the
+losses that follow are written tables. A document's bigrams look up their losses in a head of at most ``HEAD`` frequent
+bigrams, which is broadcast, and else in the table by a join: what is joined is rare, so no key of it is hot.
 
 Defined cases: null and empty texts have no tokens and get losses of 0; without target documents the target model is the
 smoothing alone; several labels of one document count as good if any is; repeated rows are counted and scored each; rows
@@ -17,7 +17,6 @@ without a doc_id belong to the background.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_batches, only, table, text_bytes
-from .words import ALNUM, U, Words
+from .words import ALNUM, U, Words, splitmix
 
-#: Words in the vocabulary, and the weight of the unigram model in tokens.
-WORDS, WEIGHT = 2047, 50.0
+#: Weight of the unigram model in tokens, bigrams that are broadcast at most, tokens counted at a time.
+WEIGHT, HEAD, TOKENS = 50.0, 500_000, 1_000_000
+#: What stands for a word outside a given vocabulary, and before a first word.
+UNKNOWN, START = U(0), U(1)
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 1_000_000
 
@@ -45,120 +46,114 @@ def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"word": held.view(np.int64), "n": counts})
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
     """The sorted hashes of the most frequent words of all documents; equal counts go by hash."""
     counts = docs.select(text_bytes().alias("text")).mapInPandas(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "word").limit(words).select("word").toPandas()["word"]
     return np.sort(top.to_numpy(np.int64).view(U))
 
 
-def _numbered(known: np.ndarray):
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in byte_batches(frames):
-            words = Words(frame["text"].tolist(), ALNUM)
-            ids = np.zeros(len(words.hashes), np.uint16)
-            if len(known):
-                at = np.searchsorted(known, words.hashes)
-                at[at == len(known)] = 0
-                ids = np.where(known[at] == words.hashes, at + 1, 0).astype(np.uint16)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": [ids[a:b].tobytes() for a, b in zip(words.first, words.first[1:])]})
-
-    return scan
-
-
-def _bigrams(size: int):
-    """Counts of each bigram (history * size + word); a first word has history ``size``."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size + 1) * size, np.int64)
-        for frame in byte_batches(frames, "ids"):
-            total += np.bincount(_pairs(frame["ids"], size)[0], minlength=len(total))
-        filled = np.flatnonzero(total)
-        for at in range(0, len(filled), 500_000):
-            own = filled[at : at + 500_000]
-            yield pd.DataFrame({"pair": own.astype(np.int32), "n": total[own]})
-
-    return scan
-
-
-def _pairs(ids: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of some documents, and for each its document."""
-    lengths = np.array([len(x) // 2 for x in ids])
-    word = np.frombuffer(b"".join(ids), np.uint16).astype(np.int64)
+def _bigrams(texts: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histories and words of some documents, and for each its document."""
+    words = Words(texts, ALNUM)
+    word = words.hashes
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+        word = np.where(known[at] == word, word, UNKNOWN) if len(known) else np.full(len(word), UNKNOWN)
+    lengths = np.diff(words.first)
     history = np.empty_like(word)
     history[1:] = word[:-1]
-    first = np.cumsum(lengths) - lengths
-    history[first[lengths > 0]] = size
-    return history * size + word, np.repeat(np.arange(len(lengths)), lengths)
+    history[words.first[:-1][lengths > 0]] = START
+    return history, word, np.repeat(np.arange(len(lengths)), lengths)
 
 
-def losses(counts: np.ndarray, size: int, weight: float = WEIGHT) -> np.ndarray:
-    """-log p(word | history) for every bigram: counts, with ``weight`` tokens' worth of the add-one unigram model."""
-    by_history = counts.reshape(size + 1, size)
-    unigram = by_history.sum(0) + 1.0
-    unigram /= unigram.sum()
-    out = np.empty((size + 1, size), np.float32)
-    for h in range(size + 1):  # a history at a time: the driver holds few tables of this size
-        out[h] = -np.log((by_history[h] + weight * unigram) / (by_history[h].sum() + weight))
-    return out.ravel()
+def _pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return splitmix(history * U(0x9E3779B97F4A7C15) ^ splitmix(word))
 
 
-@dataclass
-class Models:
-    """Losses of both models for each bigram of the shared vocabulary."""
+def _counted(known: np.ndarray | None):
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed() -> pd.DataFrame:
+            h, w = (np.concatenate(x) for x in zip(*held))
+            _, at, n = np.unique(_pair(h, w), return_index=True, return_counts=True)
+            return pd.DataFrame({"history": h[at].view(np.int64), "word": w[at].view(np.int64), "n": n})
 
-    size: int
-    target: np.ndarray
-    background: np.ndarray
+        held, tokens = [], 0
+        for frame in byte_batches(frames):
+            held.append(_bigrams(frame["text"].tolist(), known)[:2])
+            tokens += len(held[-1][0])
+            if tokens >= TOKENS:
+                yield summed()
+                held, tokens = [], 0
+        if tokens:
+            yield summed()
 
+    return scan
 
-def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        if len(frame):
-            yield pd.DataFrame({c: [frame[c].to_numpy().astype("<i8").tobytes()] for c in ("pair", "target", "background")})
 
+def losses(docs: DataFrame, target: DataFrame, known: np.ndarray | None, scratch: Scratch, weight: float = WEIGHT) -> DataFrame:
+    """(history, word, n, target_loss, background_loss) of every bigram: counts, with ``weight`` tokens' worth of the add-one unigram model.
 
-def count(ids: DataFrame, target: DataFrame, size: int, scratch: Scratch) -> Models:
-    """Both models from documents as word numbers. target: (doc_id) of the target documents."""
+    docs: (doc_id, text) with texts as bytes; target: (doc_id) of the target documents.
+    """
     # only target documents are shuffled, to be told from the others; what is not target is background
     wanted = target.select(F.col("doc_id").alias("id")).distinct()
-    own = only(ids.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id")  # a semi-join would be moved below the filter
-    counted = lambda df: df.select("ids").mapInPandas(_bigrams(size), "pair int, n long")
-    both = counted(ids).select("pair", "n", F.lit(0).cast("long").alias("target")).unionAll(counted(own).select("pair", F.lit(0).cast("long"), "n"))
-    rows = both.groupBy("pair").agg(F.sum("target").alias("target"), (F.sum("n") - F.sum("target")).alias("background"))
-    # at most (size + 1) * size rows, taken in packs, so that the driver holds one at a time beside the tables
-    packs = scratch.write(rows).mapInPandas(_packed, "pair binary, target binary, background binary")
-    tables = np.zeros((2, (size + 1) * size), np.int64)
-    for pack in packs.toLocalIterator():
-        pair = np.frombuffer(pack["pair"], "<i8")
-        for k, c in enumerate(("target", "background")):
-            tables[k, pair] = np.frombuffer(pack[c], "<i8")
-    return Models(size, losses(tables[0], size), losses(tables[1], size))
-
-
-def scored(ids: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) of each document."""
-    sent = ids.sparkSession.sparkContext.broadcast(models)
+    own = only(docs.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id")  # a semi-join would be moved below the filter
+    counted = lambda df: df.select("text").mapInPandas(_counted(known), "history long, word long, n long")
+    none = F.lit(0).cast("long")
+    both = counted(docs).withColumn("t", none).unionAll(counted(own).select("history", "word", none.alias("n"), F.col("n").alias("t")))
+    pairs = scratch.write(both.groupBy("history", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    after = pairs.groupBy("history").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
+    single = scratch.write(pairs.groupBy("word").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt")))
+    total = single.agg(F.count("*").alias("words"), F.coalesce(F.sum("wn"), none).alias("n"), F.coalesce(F.sum("wt"), none).alias("t")).first()
+    size = (total["words"] if known is None else len(known)) + 1
+    lost = lambda pair, history, one, all_: -F.log((pair + weight * (one + 1) / float(all_ + size)) / (history + weight))
+    target_loss = lost(F.col("t"), F.col("ht"), F.col("wt"), total["t"])
+    background_loss = lost(F.col("n") - F.col("t"), F.col("hn") - F.col("ht"), F.col("wn") - F.col("wt"), total["n"] - total["t"])
+    return scratch.write(pairs.join(after, "history").join(single, "word").select("history", "word", "n", target_loss.alias("target_loss"), background_loss.alias("background_loss")))
+
+
+def scored(docs: DataFrame, table: DataFrame, known: np.ndarray | None, scratch: Scratch, head: int = HEAD) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of each document. table: as ``losses`` makes it."""
+    # the least count with which no more than ``head`` bigrams are frequent; counts beyond a million are one step
+    steps = table.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("pairs")).orderBy(F.desc("n")).toPandas()
+    fits = steps["n"][steps["pairs"].cumsum() <= head]
+    least = int(fits.min()) if len(fits) else 1 << 62
+    rows = table.where(F.col("n") >= least).drop("n").toPandas()  # at most ``head``
+    key = _pair(rows["history"].to_numpy(np.int64).view(U), rows["word"].to_numpy(np.int64).view(U))
+    order = np.argsort(key)
+    sent = docs.sparkSession.sparkContext.broadcast((key[order], *(rows[c].to_numpy(float)[order] for c in ("target_loss", "background_loss"))))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for frame in byte_batches(frames, "ids"):
-            pair, doc = _pairs(frame["ids"], m.size)
+        keys, t, b = sent.value
+        for frame in byte_batches(frames):
+            h, w, doc = _bigrams(frame["text"].tolist(), known)
             n = np.bincount(doc, minlength=len(frame))
-            t, b = (np.bincount(doc, x[pair], len(frame)) / np.maximum(n, 1) for x in (m.target, m.background))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_tokens": n, "target_loss": t, "background_loss": b, "difference": t - b})
-
-    return ids.mapInPandas(scan, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int = WORDS) -> DataFrame:
+            pair = _pair(h, w)
+            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+            sums = [np.bincount(doc[hit], x[at[hit]], len(frame)) for x in (t, b)]
+            cuts = np.searchsorted(doc[~hit], np.arange(1, len(frame)))
+            tails = [np.split(x[~hit].view(np.int64), cuts) for x in (h, w)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_tokens": n, "t": sums[0], "b": sums[1], "history": tails[0], "word": tails[1]})
+
+    looked = docs.mapInPandas(scan, "doc_id long, n_tokens long, t double, b double, history array<long>, word array<long>")
+    looked = scratch.write(looked.withColumn("row", F.monotonically_increasing_id()))
+    rare = looked.select("row", F.explode(F.arrays_zip("history", "word")).alias("x")).select("row", "x.history", "x.word")
+    rare = rare.join(table.where(F.col("n") < least), ["history", "word"]).groupBy("row").agg(F.sum("target_loss").alias("t2"), F.sum("background_loss").alias("b2"))
+    mean = lambda c: (F.col(c) + F.coalesce(c + "2", F.lit(0.0))) / F.greatest("n_tokens", F.lit(1))
+    out = looked.drop("history", "word").join(rare, "row", "left").select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int | None = None, head: int = HEAD) -> DataFrame:
     """Scores of all documents against the models that all documents make."""
-    if not 0 < words < 1 << 15:
-        raise ValueError("words must be from 1 to 32767, so that the bigram tables stay small")
-    known = vocabulary(docs, words)
+    if words is not None and words <= 0:
+        raise ValueError("words must be positive")
+    known = None if words is None else vocabulary(docs, words)
     scratch = Scratch(docs.sparkSession, "lm")
-    ids = scratch.write(docs.select("doc_id", text_bytes().alias("text")).mapInPandas(_numbered(known), "doc_id long, ids binary"))
-    return scored(ids, count(ids, target, words + 1, scratch))
+    texts = docs.select("doc_id", text_bytes().alias("text"))
+    return scored(texts, losses(texts, target, known, scratch), known, scratch, head)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
