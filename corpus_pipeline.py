@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxstrata.llm import bpe, decontaminate, line_dedup, near_dup, quality
@@ -11,7 +13,7 @@ from voxstrata.llm.common import Scratch, table
 STAGES = [
     ("quality", quality.stage),
     ("line_dedup", line_dedup.stage),
-    ("near_dedup", near_dup.stage),
+    ("near_dedup", partial(near_dup.stage, similar=80)),
     ("decontaminate", decontaminate.stage),
     ("bpe", bpe.stage),
 ]

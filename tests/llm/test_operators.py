@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxstrata.llm import bpe, decontaminate, line_dedup, lm_score, near_dup, pii, quality, token_counts, toxicity, vector_search
 from voxstrata.llm.common import Scratch
 from voxstrata.llm.graph import components
@@ -102,6 +103,30 @@ def test_near_dup(spark, make):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_drops_copies_from_four_fifths_on(spark, make):
+    """Pairs between 0.80 and 0.85 are near copies to the pipeline's stage, not to op3; pairs under 0.80 are to neither."""
+    texts = []
+    for g in range(40):
+        own = [f"w{g}x{i}" for i in range(104)]  # 100 shingles; k words apart in the middle change 5 * k of them
+        copy = list(own)
+        for i in range(2 if g < 30 else 3):
+            copy[10 + 20 * i] += "changed"
+        texts += [" ".join(own), " ".join(copy)]  # 90 of 110 and 85 of 115
+    docs, stage = make(texts), dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {i for i in range(80) if i % 2 == 0 or i >= 60}
+    assert near_dup.near_duplicates(docs, similar=85).where("doc_id <> component_id").count() == 0
+
+
+def test_distance_follows_the_similarity():
+    assert near_dup.allowed(85) == (23, 12)
+    distance, chunks = near_dup.allowed(80)
+    assert distance > 23
+    keys, r = near_dup.key_columns(64, distance, chunks), random.Random(0)
+    for _ in range(200):
+        wrong = set(r.sample(range(64), distance))
+        assert any(not wrong & set(k) for k in keys)
+
+
 def test_keys_cover_every_allowed_set_of_errors():
     keys = near_dup.key_columns(64, 23, 12)
     r = random.Random(0)

@@ -8,8 +8,9 @@ linked to the least one under its key, pairs are never listed). A group is worke
 ``block`` documents: signatures within the distance are confirmed on the full shingle sets, and only a spanning forest of
 the confirmed links leaves the task. Equal sets are folded into one representative before any of that.
 
-With 64 values and distance 23, a pair at the similarity of 0.85 is beyond the distance with a probability of 9e-6, and
-nearer pairs with less; everything within it is found and confirmed exactly.
+The distance follows from the similarity asked for: a pair at just that similarity is beyond it with a probability of at
+most ``MISSED``, and nearer pairs with less (64 values: 23 at 0.85, 9e-6); everything within it is found and confirmed
+exactly. op3 links at 0.85, the pipeline's stage at 0.8 (``corpus_pipeline``).
 
 Defined cases: null and empty texts and texts without words have no shingles, are linked with nothing and are kept; fewer
 words than ``width`` are one shingle; repeated doc_ids count as one document with the union of their links; rows without a
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,19 @@ from .common import Scratch, byte_batches, only, table, text_bytes
 from .graph import components
 from .words import PLAIN, U, Words, splitmix, windows
 
-HASHES, BITS, DISTANCE, CHUNKS, WIDTH, BLOCK = 64, 16, 23, 12, 5, 256
+HASHES, BITS, WIDTH, BLOCK = 64, 16, 5, 256
+#: Percent of shared shingles that link two documents, and the share of pairs at just that similarity that may be missed.
+SIMILAR, MISSED = 85, 1e-5
+
+
+def allowed(similar: int, hashes: int = HASHES, bits: int = BITS) -> tuple[int, int]:
+    """The distance that pairs at ``similar`` percent stay within, and the chunks that leave one value out of each key."""
+    differ = (1 - similar / 100) * (1 - 0.5**bits)
+    beyond, distance = 1.0, -1
+    while beyond > MISSED and distance < hashes:
+        distance += 1
+        beyond = sum(comb(hashes, d) * differ**d * (1 - differ) ** (hashes - d) for d in range(distance + 1, hashes + 1))
+    return distance, distance // 2 + 1
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -137,7 +151,7 @@ def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": list(ends.values()), "v": list(ends.values()), "key": list(ends)}).astype({"key": "Int64"})
 
 
-def stars(reps: DataFrame, scratch: Scratch, hashes: int = HASHES, bits: int = BITS, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+def stars(reps: DataFrame, scratch: Scratch, hashes: int = HASHES, bits: int = BITS, distance: int = 23, chunks: int = 12) -> DataFrame:
     """(u, v): links that join all documents under a key. reps: (doc_id, sig).
 
     Keys are range-partitioned together with the ids, so a key that very many documents share is spread over partitions.
@@ -207,9 +221,10 @@ def _sets(width: int, hashes: int, bits: int):
     return scan
 
 
-def near_duplicates(docs: DataFrame, similar: int = 85, width: int = WIDTH, hashes: int = HASHES, bits: int = BITS, distance: int = DISTANCE, chunks: int = CHUNKS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH, hashes: int = HASHES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked at ``similar`` percent or more of their shingles, transitively."""
     spark = docs.sparkSession
+    distance, chunks = allowed(similar, hashes, bits)
     scratch = Scratch(spark, "near-dup")
     signed = scratch.write(signatures(docs, width, hashes, bits))
     # one representative of each set
@@ -236,8 +251,8 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similar: int = SIMILAR) -> DataFrame:
     """One document of each group of near duplicates: that with the least doc_id."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), similar)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
