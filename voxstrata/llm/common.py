@@ -103,10 +103,16 @@ def crc_mod(column: str, n: int) -> Column:
 FILTER_BITS = 1 << 25
 
 
-def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of docs whose id may be among ids: a superset, by a bitmap of fixed size that is broadcast."""
+def maybe_among(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """docs with ``__maybe``, false only where its id is not among ids: by a bitmap of fixed size that is broadcast."""
     place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__bucket", "__map")
+    near = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket"), "left")
+    return near.withColumn("__maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__map")
+
+
+def only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs whose id may be among ids: a superset."""
+    return maybe_among(docs, ids, bits).where("__maybe").drop("__maybe")
