@@ -105,7 +105,7 @@ def _counted(known: np.ndarray | None):
             held, at = np.unique(np.concatenate([held, word, history]), return_inverse=True)
             at = at[len(sums) :], at[: len(sums)]
             w, h = at[0][: len(word)], at[0][len(word) :]
-            new = np.stack([np.bincount(x, g, len(held)) for x in (w, h) for g in (None, good)], 1)
+            new = np.stack([np.bincount(x, g, len(held)) for x in (w, h) for g in (None, good)], 1).astype(float)
             new[at[1]] += sums
             sums = new
             if len(held) > HELD:
@@ -165,7 +165,7 @@ def _hot_counts(head: Head, known: np.ndarray | None, frequent: np.ndarray):
             own[own] = inside[h[own].astype(np.int64)] & inside[w[own].astype(np.int64)]
             held, at = np.unique(np.concatenate([held, h[own] << U(32) | w[own]]), return_inverse=True)
             now = at[len(sums) :]
-            new = np.stack([np.bincount(now, g, len(held)) for g in (None, frame["good"].to_numpy(bool)[doc[own]])], 1)
+            new = np.stack([np.bincount(now, g, len(held)) for g in (None, frame["good"].to_numpy(bool)[doc[own]])], 1).astype(float)
             new[at[: len(sums)]] += sums
             sums = new
             if len(held) > HELD:
