@@ -35,15 +35,15 @@ from .words import ALNUM, U, Words, splitmix
 
 #: Weight of the unigram model in tokens, and frequent words that are broadcast at most (40 bytes each).
 WEIGHT, HEAD = 50.0, 200_000
-#: Tokens of a bucket, about; buckets are at least twice the shuffle partitions.
-BUCKET_TOKENS = 6_000_000
+#: Tokens of a bucket, about, and buckets at least. A bucket is what a task holds at a time.
+BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 8
 #: Bytes of text in a packed batch: this much for each bucket, within limits.
-BYTES_A_BUCKET, LEAST_BATCH, MOST_BATCH = 4096, 1 << 20, 1 << 26
+BYTES_A_BUCKET, LEAST_BATCH, MOST_BATCH = 16384, 1 << 20, 1 << 26
 #: What stands for a word outside a given vocabulary, and before a first word.
 UNKNOWN, START = U(2**64 - 3), U(2**64 - 2)
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 1_000_000
-#: Codes below this are places among the frequent words; cold words go by their hash.
+#: Codes below this are those of frequent words; cold words go by their hash.
 CODES = U(1 << 32)
 #: Marks on a document's number: it belongs to the target; the occurrence only counts for its history.
 GOOD, HISTORY_ONLY = np.uint32(1 << 31), np.uint32(1 << 30)
@@ -127,22 +127,23 @@ def unpacked(x: bytes, kind) -> np.ndarray:
 
 
 class Head:
-    """The frequent words in the order of their hashes, with their counts; the last place is that of START."""
+    """The frequent words with their counts. Their codes go by frequency, so that most are small; the last is that of START."""
 
     def __init__(self, rows: pd.DataFrame, start: tuple[int, int], totals: tuple[int, int], size: int, weight: float):
+        rows = rows.sort_values(["n", "word"], ascending=[False, True])
         hashes = rows["word"].to_numpy(np.int64).view(U)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.n, self.t, self.hn, self.ht = (np.append(rows[c].to_numpy(float)[order], last) for c, last in zip(COUNTS, (0, 0, *start)))
+        self.code = np.argsort(hashes).astype(U)
+        self.hashes = hashes[self.code.astype(np.int64)]
+        self.n, self.t, self.hn, self.ht = (np.append(rows[c].to_numpy(float), last) for c, last in zip(COUNTS, (0, 0, *start)))
         self.totals, self.size, self.weight = totals, size, weight
         self.hot, self.hot_losses = np.empty(0, U), (np.empty(0), np.empty(0))
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of frequent words and START; the others as they are."""
+        """Codes of frequent words and START; the others as they are."""
         out = np.where(hashes == START, U(len(self.hashes)), hashes)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == hashes, at.astype(U), out)
+            out = np.where(self.hashes[at] == hashes, self.code[at], out)
         return out
 
     def losses(self, n, t, hn, ht, wn, wt) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +153,7 @@ class Head:
 
 
 def _hot_counts(head: Head, known: np.ndarray | None, frequent: np.ndarray):
-    """Counts of the bigrams of two of the places ``frequent``."""
+    """Counts of the bigrams of two of the codes ``frequent``."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, sums = np.empty(0, U), np.empty((0, 2))
@@ -231,8 +232,9 @@ def _wide(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
-COLD = ("history", "c_batch", "c_doc", "c_n", "c_t", "c_wn", "c_wt")
-SUMMED = "batch long, doc binary, t binary, b binary, ids array<long>, n_tokens array<long>, own_t array<double>, own_b array<double>, " + ", ".join(f"{c} array<long>" for c in COLD)
+#: What comes back of occurrences of two cold words: the history, the document, and the counts that are complete.
+COLD = {"history": np.int64, "c_doc": np.uint32, "c_n": np.int64, "c_t": np.int64, "c_wn": np.int64, "c_wt": np.int64}
+SUMMED = "batch long, doc binary, t binary, b binary, ids array<long>, n_tokens array<long>, own_t array<double>, own_b array<double>, " + ", ".join(f"{c} binary" for c in COLD)
 
 
 def _complete(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,14 +243,20 @@ def _complete(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bincount(at)[at], np.bincount(at, good)[at]
 
 
+def _split(batches: np.ndarray, batch: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """A row with packed columns for each batch. batch: places among batches, in order."""
+    there, cuts = np.unique(batch, return_index=True)
+    ends = [*cuts[1:].tolist(), len(batch)]
+    return pd.DataFrame({"batch": batches[there.astype(np.int64)], **{c: [packed(x[a:b]) for a, b in zip(cuts.tolist(), ends)] for c, x in columns.items()}})
+
+
 def _in_bucket(sent):
     """Losses of a bucket's occurrences, summed by document; those of two cold words come out with what is known."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         head = sent.value
         docs, rows = frame[frame["ids"].notna()], frame[frame["h"].notna()]
-        empty = {c: [None] * len(docs) for c in ("doc", "t", "b", *COLD)}
-        out = [pd.DataFrame({"batch": docs["batch"].to_numpy(), "ids": docs["ids"].tolist(), "n_tokens": docs["n_tokens"].tolist(), "own_t": docs["t"].tolist(), "own_b": docs["b"].tolist(), **empty})]
+        out = [pd.DataFrame({"batch": docs["batch"].to_numpy(), "ids": docs["ids"].tolist(), "n_tokens": docs["n_tokens"].tolist(), "own_t": docs["t"].tolist(), "own_b": docs["b"].tolist()})]
         if len(rows):
             h, w, doc = ([unpacked(x, kind) for x in rows[c]] for c, kind in (("h", U), ("w", U), ("doc", np.uint32)))
             batch = np.repeat(np.arange(len(rows)), [len(x) for x in h])
@@ -268,30 +276,34 @@ def _in_bucket(sent):
             target, background = head.losses(*(x[known] for x in (n, t, hn, ht, wn, wt)))
             key, at = np.unique(batch[known] << 32 | number[known], return_inverse=True)
             sums = [np.bincount(at, x, len(key)).astype(np.float32) for x in (target, background)]
-            there, cuts = np.unique(key >> 32, return_index=True)
-            parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]))
-            blobs = {c: [packed(x[a:b]) for a, b in parts] for c, x in (("doc", (key & 0xFFFFFFFF).astype(np.uint32)), ("t", sums[0]), ("b", sums[1]))}
-            out.append(pd.DataFrame({"batch": rows["batch"].to_numpy()[there], **blobs}))
+            out.append(_split(rows["batch"].to_numpy(), key >> 32, {"doc": (key & 0xFFFFFFFF).astype(np.uint32), "t": sums[0], "b": sums[1]}))
             both = np.flatnonzero(cold_h & cold_w & ~history_only)
-            if len(both):
-                lists = (h.view(np.int64), rows["batch"].to_numpy()[batch], number, n, t, wn, wt)
-                out.append(pd.DataFrame({c: [x[both].astype(np.int64)] for c, x in zip(COLD, lists)}))
+            both = both[np.argsort(batch[both], kind="stable")]
+            out.append(_split(rows["batch"].to_numpy(), batch[both], {c: x[both].astype(kind) for (c, kind), x in zip(COLD.items(), (h.view(np.int64), number, n, t, wn, wt))}))
         columns = [c.split()[0] for c in SUMMED.split(", ")]
         whole = pd.concat([x.reindex(columns=columns).astype(object) for x in out], ignore_index=True)
-        return whole.where(whole.notna(), None).astype({"batch": "Int64"})
+        return whole.where(whole.notna(), None).astype({"batch": "int64"})
 
     return work
 
 
+SCORED = "batch long, doc long, doc_id long, n_tokens long, t double, b double, cold array<struct<history:long,n:long,t:long,wn:long,wt:long>>"
+
+
 def _by_batch(frame: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a batch's documents."""
+    """The sums of a batch's documents, and their occurrences of two cold words."""
     docs = frame[frame["ids"].notna()].iloc[0]
     t, b = np.array(docs["own_t"], float), np.array(docs["own_b"], float)
     for part in frame[frame["doc"].notna()].itertuples():
         at = unpacked(part.doc, np.uint32)
         t[at] += unpacked(part.t, np.float32)
         b[at] += unpacked(part.b, np.float32)
-    return pd.DataFrame({"batch": docs["batch"], "doc": np.arange(len(t)), "doc_id": pd.array(docs["ids"], "Int64"), "n_tokens": docs["n_tokens"], "t": t, "b": b})
+    cold: list[list[dict]] = [[] for _ in t]
+    for part in frame[frame["history"].notna()].itertuples():
+        history, doc, *rest = (unpacked(getattr(part, c), kind).tolist() for c, kind in COLD.items())
+        for d, *x in zip(doc, history, *rest):
+            cold[d].append(dict(zip(("history", "n", "t", "wn", "wt"), x)))
+    return pd.DataFrame({"batch": docs["batch"], "doc": np.arange(len(t)), "doc_id": pd.array(docs["ids"], "Int64"), "n_tokens": docs["n_tokens"], "t": t, "b": b, "cold": cold})
 
 
 def flagged(docs: DataFrame, target: DataFrame, scratch: Scratch) -> DataFrame:
@@ -326,7 +338,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int | No
     counted = texts.select("text", "good").mapInPandas(_counted(known), "word long, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = scratch.write(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     model, least = head_of(counts, known, head, weight)
-    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.totals[0] // BUCKET_TOKENS))
+    buckets = buckets or max(LEAST_BUCKETS, -(-model.totals[0] // BUCKET_TOKENS))
 
     # a bigram can fill an eighth of a bucket only if both words do: at most 8 * buckets of them are counted before
     share = model.totals[0] / (8 * buckets)
@@ -341,17 +353,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int | No
     sent = spark.sparkContext.broadcast(model)  # at most ``head`` words and 8 * buckets bigrams
 
     dealt = texts.mapInPandas(_deal(sent, known, buckets), DEALT)
-    summed = scratch.write(dealt.groupBy("bucket").applyInPandas(_in_bucket(sent), SUMMED))
-    merged = summed.where("ids IS NOT NULL OR doc IS NOT NULL").groupBy("batch").applyInPandas(_by_batch, "batch long, doc long, doc_id long, n_tokens long, t double, b double")
-    cold = summed.where("history IS NOT NULL").select(F.explode(F.arrays_zip(*COLD)).alias("x")).select("x.*")
+    summed = dealt.groupBy("bucket").applyInPandas(_in_bucket(sent), SUMMED)
+    merged = scratch.write(summed.groupBy("batch").applyInPandas(_by_batch, SCORED))
+    cold = merged.where(F.size("cold") > 0).select("batch", "doc", F.explode("cold").alias("c")).select("batch", "doc", "c.*")
     rare = counts.where(F.col("n") < least).select(F.col("word").alias("history"), "hn", "ht")
     lost = lambda pair, history, one, total: -F.log((pair + weight * (one + 1) / float(total + model.size)) / (history + weight))
     all_, own = model.totals
-    t2 = lost(F.col("c_t"), F.col("ht"), F.col("c_wt"), own)
-    b2 = lost(F.col("c_n") - F.col("c_t"), F.col("hn") - F.col("ht"), F.col("c_wn") - F.col("c_wt"), all_ - own)
-    more = cold.join(rare, "history").groupBy(F.col("c_batch").alias("batch"), F.col("c_doc").alias("doc")).agg(F.sum(t2).alias("t2"), F.sum(b2).alias("b2"))
+    t2 = lost(F.col("t"), F.col("ht"), F.col("wt"), own)
+    b2 = lost(F.col("n") - F.col("t"), F.col("hn") - F.col("ht"), F.col("wn") - F.col("wt"), all_ - own)
+    more = cold.join(rare, "history").groupBy("batch", "doc").agg(F.sum(t2).alias("t2"), F.sum(b2).alias("b2"))
     mean = lambda c: (F.col(c) + F.coalesce(F.col(c + "2"), F.lit(0.0))) / F.greatest("n_tokens", F.lit(1))
-    out = merged.join(more, ["batch", "doc"], "left").select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    out = merged.drop("cold").join(more, ["batch", "doc"], "left").select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
