@@ -234,6 +234,45 @@ def test_pii_base_and_bootstrap(make):
     assert sum(k[0] == 13 for k in got) == 3 and not any(k[0] > 13 for k in got)
 
 
+def test_pii_finds_unseen_ones_among_many(make):
+    """Half of the identifiers in a context are unseen; secrets go by key names; texts without such contexts get nothing."""
+    seen = [f"{prose(i, 6)} tel: +1 (555) 010-{1000 + i} {prose(i + 90, 4)}" for i in range(14)]
+    unseen = [f"{prose(i, 6)} tel: {20 + i} 555 {7000 + i} {prose(i + 90, 4)}" for i in range(14)]
+    keyed = [f'{prose(i, 5)} secret_key = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(i + 70, 3)}' for i in range(12)]
+    odd = [f'{prose(i, 5)} secret_key = "Zq{i}x-{i * 7919}kk-77ab" {prose(i + 70, 3)}' for i in range(9)]
+    clean = [f"{prose(i, 8)} {1900 + i} {prose(i + 30, 3)} room 1234{i}" for i in range(40)]
+    texts = [*seen, *unseen, *keyed, *odd, *clean]
+    added = {(r["doc_id"], r["kind"]): texts[r["doc_id"]][r["start"] : r["end"]] for r in pii.spans(make(texts)).where("NOT base").collect()}
+    want = {(14 + i, "phone"): f"{20 + i} 555 {7000 + i}" for i in range(14)}
+    want |= {(28 + i, "secret"): hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)} | {(40 + i, "secret"): f"Zq{i}x-{i * 7919}kk-77ab" for i in range(9)}
+    assert added == want
+
+
+def brute_base(text):
+    """Base spans by the plain patterns, as (kind, start, end)."""
+    out = []
+    for kind, pattern in {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+            if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and luhn % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    order = ("email", "ip", "card", "phone")
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def test_op7_base_columns(spark):
+    """The registered query against the plain patterns, on all given documents."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.op7_pii(spark, sf).collect():
+        base = brute_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[0] == k for x in base) for k in ("email", "ip", "card", "phone")]
+        assert r["n_spans"] == len(base) + r["n_added"] == len([x for x in r["spans"].split(",") if x])
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+
+
 def labelled(spark, make, bad, column):
     texts = [prose(i, 60) if i % 4 else bad(i) for i in range(400)] + [None, ""]
     labels = spark.createDataFrame([(i, int((i % 4 == 0) == (column == "toxic"))) for i in range(400)], f"doc_id long, {column} int")
