@@ -288,6 +288,65 @@ def test_toxicity_held_out(spark, make):
     assert none.score(iter([np.empty(0, np.uint64)]))[0] < 0.01
 
 
+def test_classifiers_with_repeated_ids_and_without_telling_words(spark, make):
+    docs, labels = labelled(spark, make, lambda i: prose(i, 60), "toxic")  # nothing tells the toxic ones apart
+    flat = toxicity.train(docs, labels)
+    assert not len(flat.words) and {round(r["score"], 6) for r in toxicity.scored(docs, flat).collect()} == {round(1 / (1 + np.exp(-flat.bias)), 6)}
+    docs, labels = labelled(spark, make, lambda i: prose(i, 40) + " vile rotten " + prose(i + 1, 20), "toxic")
+    hot = docs.unionAll(docs.where("doc_id = 4").crossJoin(spark.range(300)).drop("id"))  # one id many times
+    own = labels.selectExpr("doc_id", "toxic AS quality", "toxic")
+    for train in (toxicity.train, quality.train):
+        kind = {"positives": 50, "unlabelled": 60} if train is toxicity.train else {"sample": 50}
+        once, often = train(docs, own, **kind), train(hot, own, **kind)
+        for x, y in zip(vars(once).values(), vars(often).values()):
+            assert np.array_equal(x, y)
+        train(docs, own, most_bytes=2000)
+        train(docs.limit(0), own)
+        train(docs, own.where("toxic = 1"))
+
+
+def dense_votes(voters, rows):
+    """Scores with all cosines written out, and neighbours by full sorting."""
+    out = []
+    for found, counts in rows:
+        x = np.zeros(len(voters.vocabulary))
+        for f, c in zip(found, counts):
+            x[voters.vocabulary == f] = (1 + np.log(c)) * voters.idf[voters.vocabulary == f]
+        v = x / (np.linalg.norm(x) or 1) @ voters.axes
+        near = voters.vectors @ (v / (np.linalg.norm(v) or 1))
+        steps = np.rint(near * quality.STEPS)
+        top = sorted(range(len(near)), key=lambda j: (-steps[j], j))[: quality.NEIGHBOURS]
+        w = [max(near[j], 0) ** quality.SHARPNESS for j in top]
+        out.append(sum(a * voters.labels[j] for a, j in zip(w, top)) / sum(w) if sum(w) else voters.share)
+    return out
+
+
+def test_quality_votes_are_those_of_all_cosines(spark, make):
+    docs, labels = labelled(spark, make, lambda i: prose(i, 50) + " Xx!!" * (i % 9), "quality")
+    voters = quality.train(docs, labels)
+    texts = [(r["text"] or "").encode() for r in docs.orderBy("doc_id").collect()]
+    rows = list(quality.terms(texts))
+    got = voters.score(rows)
+    assert np.abs(got - dense_votes(voters, rows)).max() < 0.12 and np.median(np.abs(got - dense_votes(voters, rows))) < 1e-3
+    again = voters.score(rows[:1] * 3 + rows[::-1])
+    assert np.array_equal(again[:3], got[[0, 0, 0]]) and np.array_equal(again[3:][::-1], got)  # whatever else is in the block
+
+
+def test_toxicity_risk_is_the_dense_one():
+    """The classifier's loss at its end is below that of the prior alone, by a dense version of the estimator."""
+    r = np.random.default_rng(1)
+    vocabulary = np.sort(r.integers(0, 2**63, 40).astype(np.uint64))
+    draw = lambda p: np.sort(vocabulary[r.random(40) < p])
+    bad, good = np.where(np.arange(40) < 8, 0.7, 0.3), np.full(40, 0.3)
+    positive, unlabelled = [draw(bad) for _ in range(300)], [draw(bad if i % 5 == 0 else good) for i in range(900)]
+    model = toxicity.fit(positive, unlabelled, 0.2)
+    dense = lambda sets: np.array([model.bias + sum(model.weights[model.words == x].sum() for x in s) for s in sets])
+    assert np.allclose(1 / (1 + np.exp(-dense(positive[:50]))), model.score(iter(positive[:50])))
+    risk = lambda zp, zu: 0.2 * np.logaddexp(0, -zp).mean() + max(0, np.logaddexp(0, zu).mean() - 0.2 * np.logaddexp(0, zp).mean())
+    flat = np.log(0.25)
+    assert risk(dense(positive), dense(unlabelled)) < 0.85 * risk(np.full(300, flat), np.full(900, flat))
+
+
 def test_quality_held_out(spark, make):
     docs, labels = labelled(spark, make, lambda i: " ".join(w.upper() + "!!" for w in prose(i, 60).split()), "quality")
     voters = quality.train(docs, labels)

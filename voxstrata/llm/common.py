@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = spark.conf.get("voxstrata.shared.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voxstrata-", dir="/tmp")
         spark.conf.set("voxstrata.shared.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -94,6 +97,27 @@ def byte_batches(frames: Iterator[pd.DataFrame], column: str = "text", limit: in
             start = end
 
 
+#: Bytes of features that a model is fitted on at most.
+FIT_BYTES = 128 << 20
+
+
+def fitting_rows(docs: DataFrame, chosen: DataFrame, features, schema: str, size: str, seed: int, limit: int = FIT_BYTES) -> pd.DataFrame:
+    """Features of the chosen documents, one row for each row of ``chosen``, at most ``limit`` bytes of them, on the driver.
+
+    chosen: (doc_id, ...), a bounded number of distinct rows; features: a function for mapInPandas that passes chosen's columns
+    on and adds binary ones. Of several texts under one doc_id one is taken, by its features. Rows are taken in the order of a
+    hash of the doc_id, up to the first that goes beyond the limit.
+    """
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").mapInPandas(features, schema)
+    one = rows.groupBy(*chosen.columns).agg(F.min(F.struct(*(c for c in rows.columns if c not in chosen.columns))).alias("__f")).select(*chosen.columns, "__f.*")
+    one = Scratch(docs.sparkSession, "fit").write(one)
+    order = one.select(*chosen.columns, F.octet_length(size).alias("__bytes"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__h")).toPandas()  # as many rows as chosen
+    order = order.sort_values(["__h", *chosen.columns])
+    kept = order[(order["__bytes"].cumsum() <= limit) | (np.arange(len(order)) == 0)]
+    ids = docs.sparkSession.createDataFrame(kept[chosen.columns], chosen.schema) if len(kept) else chosen.limit(0)
+    return one.join(F.broadcast(ids), chosen.columns).toPandas().sort_values(chosen.columns, kind="stable").reset_index(drop=True)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n: the folds that the labels are split by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

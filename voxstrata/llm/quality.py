@@ -6,12 +6,12 @@ leading singular vectors of the labelled sample, documents become short vectors.
 task computes exact cosine products of its documents with all of them, block by block, and the nearest labels vote with
 weights that grow with similarity.
 
-The sample is bounded (``sample`` labelled rows outside the held-out fold, chosen by a hash of the doc_id) and so is the
-vocabulary; every document is scored on its whole text, and no document leaves its task.
+The sample is bounded (``sample`` labelled rows outside the held-out fold, one an id, chosen by a hash of the doc_id, and
+``most_bytes`` of terms in all) and so is the vocabulary; every document is scored on its whole text, and no document leaves its task.
 
 Defined cases: a text without terms (null and empty ones too), or one whose terms the sample lacks, gets the share of good
 rows in the sample; without labelled rows every score is 1, so that the pipeline keeps everything; several labels of one
-document count as good if any is; repeated rows get equal scores.
+document count as good if any is; repeated rows get equal scores; neighbours of equal cosine go by doc_id.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, crc_mod, table, text_bytes
+from .common import FIT_BYTES, byte_batches, crc_mod, fitting_rows, table, text_bytes
 from .words import ALNUM, PLAIN, U, Words, splitmix, windows
 
 #: Labelled rows, terms in the vocabulary, dimensions, voting neighbours, and the power of the cosine that they vote with.
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 3000, 4096, 48, 15, 8
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
+SEED = 13
 #: Documents whose products are computed at once.
 BLOCK = 256
 
@@ -41,6 +42,9 @@ REPEATS = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5])
 MARKS = splitmix(np.arange(len(REPEATS), dtype=U) + U(1 << 53))
 #: Fewer repeats than that happen by chance in a short text.
 FEW = 4
+#: Steps of a cosine of 1 that neighbours are told apart by.
+STEPS = 1 << 17
+NO_TERMS = (np.empty(0, U), np.empty(0, np.int64))
 #: A translation that leaves shapes as they are.
 AS_IS = bytes(range(256))
 
@@ -96,14 +100,18 @@ class Voters:
         if not len(self.labels) or not self.axes.size:
             return out
         k = min(NEIGHBOURS, len(self.labels))
+        later = np.arange(len(self.labels))
         for at in range(0, len(rows), BLOCK):
-            own = self.project(rows[at : at + BLOCK])
-            near = own @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS
+            part = rows[at : at + BLOCK]
+            # blocks of one shape, and cosines in steps: a document's products don't depend on what else is in its block
+            own = self.project([*part, *[NO_TERMS] * (BLOCK - len(part))])
+            steps = np.rint((own @ self.vectors.T) * STEPS).astype(np.int64)[: len(part)]
+            top = np.argpartition(later - steps * len(later), k - 1, axis=1)[:, :k]  # equal ones by doc_id
+            top.sort(axis=1)
+            weight = np.maximum(np.take_along_axis(steps, top, 1) / STEPS, 0) ** SHARPNESS
             total = weight.sum(1)
             some = total > 0
-            out[at : at + BLOCK][some] = (weight * self.labels[top]).sum(1)[some] / total[some]
+            out[at : at + len(part)][some] = (weight * self.labels[top]).sum(1)[some] / total[some]
         return np.clip(out, 0, 1)
 
 
@@ -139,12 +147,11 @@ def _term_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "label": frame["label"].to_numpy(), "terms": [t.tobytes() for t, _ in found], "counts": [c.astype(np.int64).tobytes() for _, c in found]})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voters:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = FIT_BYTES) -> Voters:
     """Voters from labelled documents outside the held-out fold."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = F.broadcast(own.orderBy(F.xxhash64(F.lit(13), F.col("doc_id")), "doc_id").limit(sample))  # at most sample rows
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(chosen, "doc_id").mapInPandas(_term_rows, "doc_id long, label int, terms binary, counts binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    chosen = own.orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id").limit(sample)  # at most sample rows
+    rows = fitting_rows(docs, chosen, _term_rows, "doc_id long, label int, terms binary, counts binary", "terms", SEED, most_bytes)
     return fit([(np.frombuffer(t, U), np.frombuffer(c, np.int64)) for t, c in zip(rows["terms"], rows["counts"])], (rows["label"] == 1).to_numpy())
 
 

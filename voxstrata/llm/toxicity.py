@@ -6,11 +6,11 @@ part estimates the negatives' risk, and where it falls below zero, a sign of ove
 way. The loss is logistic, so the score is an estimate of the probability.
 
 Fitted on bounded samples (``positives`` confirmed rows and ``unlabelled`` rows of the documents, chosen by a hash of the
-doc_id, so that a larger corpus gives a sample of the same size); every document is scored on its whole text. The class
-prior, unless given, is the share of toxic rows among the labelled rows of the training folds.
+doc_id, so that a larger corpus gives a sample of the same size; one row an id, ``most_bytes`` of word sets in all); every
+document is scored on its whole text. The class prior, unless given, is the share of toxic rows among the labelled rows of the training folds.
 
 Defined cases: null and empty texts have no words and get the score of the bias alone; without confirmed examples the
-score is the prior, or 0 without one; several labels of one document count as toxic if any is; repeated rows get equal
+score is the prior, or 0 without one, as it is where no word tells positives from the rest; several labels of one document count as toxic if any is; repeated rows get equal
 scores; rows without a doc_id are scored, and count as not held out.
 """
 
@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, crc_mod, table, text_bytes
+from .common import FIT_BYTES, byte_batches, crc_mod, fitting_rows, table, text_bytes
 from .words import ALNUM, Words
 
 #: Rows that the classifier is fitted on at most, and words in its vocabulary.
 POSITIVES, UNLABELLED, VOCABULARY, LEAST_DF, LEAST_Z = 4000, 12000, 1 << 16, 4, 4.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+SEED = 11
 
 
 def word_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -41,7 +42,7 @@ def word_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in byte_batches(frames):
-        yield pd.DataFrame({"kind": frame["kind"].to_numpy(), "words": [s.tobytes() for s in word_sets(frame["text"].tolist())]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "kind": frame["kind"].to_numpy(), "words": [s.tobytes() for s in word_sets(frame["text"].tolist())]})
 
 
 @dataclass
@@ -104,6 +105,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Classifier(np.empty(0, np.uint64), np.empty(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     words = telling_words(positive, unlabelled)
     size = len(words)
+    if not size:  # no word tells the two apart: there is only the prior
+        return Classifier(words, np.empty(0), float(np.log(prior / (1 - prior))))
     p, u = Rows(positive, words), Rows(unlabelled, words)
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -124,17 +127,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Classifier(words, w, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_bytes: int = FIT_BYTES) -> Classifier:
     """A classifier from the documents outside the held-out fold."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    pick = F.xxhash64(F.lit(11), F.col("doc_id"))
+    pick = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     chosen = own.where("toxic = 1").orderBy(pick, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("kind"))
-    ids = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).select("doc_id").orderBy(pick, "doc_id").limit(unlabelled)
-    chosen = F.broadcast(chosen.unionByName(ids.select("doc_id", F.lit(0).alias("kind"))))  # at most positives + unlabelled rows
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(chosen, "doc_id").mapInPandas(_sets, "kind int, words binary").toPandas()
+    ids = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).select("doc_id").distinct().orderBy(pick, "doc_id").limit(unlabelled)
+    chosen = chosen.unionByName(ids.select("doc_id", F.lit(0).alias("kind")))  # at most positives + unlabelled rows
+    rows = fitting_rows(docs, chosen, _sets, "doc_id long, kind int, words binary", "words", SEED, most_bytes)
     sets = lambda kind: [np.frombuffer(b, np.uint64) for b in rows.loc[rows["kind"] == kind, "words"]]
     return fit(sets(1), sets(0), prior)
 
