@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -167,6 +168,34 @@ def test_decontaminate(spark, make):
         assert sorted(r["doc_id"] for r in clean.collect()) == [*range(7), 9] and clean.columns == docs.columns
 
 
+def test_decontaminate_equal_words_stay_linear(spark, make):
+    """Long runs of one word on both sides: no product of their lengths."""
+    began = time.time()
+    bench = decontaminate.Suffixes.of([1, 2], [b"na " * 1000, b"na " * 400 + b"ba " + b"na " * 700], 10)
+    shard = decontaminate.Shard(Words([b"na " * 20000, b"x " + b"na " * 450 + b"ba " + b"na " * 30 + b"y"], ALNUM))
+    window, at = shard.matches(bench)
+    assert len(at) < 22000 and time.time() - began < 5
+    docs = make(["na " * 20000, "x " + "na " * 450 + "ba " + "na " * 30 + "y"])
+    got = {r["doc_id"]: r for r in decontaminate.matches(docs, spark.createDataFrame([(1, "na " * 1000), (2, "na " * 400 + "ba " + "na " * 700)], "item_id long, text string")).collect()}
+    assert got[0]["n_hit"] == 20000 and got[0]["items"] == [1, 2] and [s["words"] for s in got[0]["spans"]] == [1000] * 20 + [180]
+    assert got[1]["n_hit"] == 481 and [(s["start"], s["words"]) for s in got[1]["spans"]] == [(1, 450), (442, 40)] and got[1]["spans"][1]["item_id"] == 2
+
+
+def test_longest_matches_by_brute_force():
+    r = random.Random(3)
+    items = [" ".join(r.choice("abc") for _ in range(r.randrange(3, 40))) for _ in range(30)]
+    bench = decontaminate.Suffixes.of(list(range(30)), [x.encode() for x in items], 4)
+    text = " ".join(r.choice("abc") for _ in range(300))
+    words, w = Words([text.encode()], ALNUM), text.split()
+    window, at = decontaminate.Shard(words).matches(bench)
+    long = [x.split() for x in items if len(x.split()) >= 4]
+    for d, p in zip(window, at):
+        if bench.length[d] < 4:
+            continue
+        best = max(next((k for k in range(min(len(i) - s, len(w) - p) + 1) if k == min(len(i) - s, len(w) - p) or i[s + k] != w[p + k])) for i in long for s in range(len(i) - 3))
+        assert bench.longest(int(d), words.of(0)[p:])[1] == best
+
+
 def test_suffix_array_orders_suffixes():
     r = np.random.default_rng(0)
     ranks = r.integers(1, 4, 200)
