@@ -6,7 +6,7 @@ from .bpe import op6_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .lm_score import op9_lm_score
-from .near_dup import op3_near_dup
+from .near_dup import OP3_SQL, op3_near_dup
 from .pii import op7_pii
 from .quality import op10_quality
 from .token_counts import op5_token_counts
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op3_near_dup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
