@@ -250,6 +250,20 @@ def test_top_k(spark):
     assert n == len(got)
 
 
+def test_top_k_ships_only_visited_blocks(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.standard_normal(8) * 10 / (1 + i)]) for i in range(600)]  # lengths fall quickly
+    df = vector_search.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1 << 16)
+    dealt = df.withColumn("block", F.expr("int(vec_id div 50)"))
+    longest = np.array([x["m"] for x in dealt.groupBy("block").agg(F.max("norm").alias("m")).orderBy("block").collect()])
+    asked = df.where("vec_id < 50").withColumns({"chunk": F.expr("int(vec_id div 25)"), "floor": F.col("norm") * float(longest[3])})
+    asked = asked.unionAll(df.limit(0).withColumns({"chunk": F.lit(0), "floor": F.lit(0.0)}))
+    sent = spark.sparkContext.broadcast(longest)
+    got = vector_search.shipped(asked, dealt, sent)
+    assert sorted((x["chunk"], x["block"]) for x in got.select("chunk", "block").distinct().collect()) == [(c, b) for c in range(2) for b in (1, 2, 3)]
+    assert got.count() == 2 * 3 * 50 < 2 * 600
+
+
 def test_pii_base_and_bootstrap(make):
     known = [f"please call agent {prose(i, 3)} ring desk +1 (555) 010-{1000 + i} before noon {prose(i + 50, 5)}" for i in range(12)]
     texts = [*known, "ring desk 555-0199-77 before noon today", "mail x.y@a-b.co.uk, ip 1.2.3.4 not 1.2.3.400 card 4111 1111 1111 1111 or 4111 1111 1111 1112", *ODD]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +129,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     # cuts of the norm by a quantile sketch: one number a block
     marks = [i / blocks for i in range(1, blocks)]
     cuts = sorted(set(candidates.approxQuantile("norm", marks, 1 / (8 * blocks)))) if blocks > 1 else []
-    bucket = F.lit(len(cuts))
-    if cuts:
-        ladder = F.array(*(F.lit(x) for x in cuts)) if len(cuts) < 64 else spark_array(spark, cuts)
-        bucket = F.aggregate(ladder, F.lit(0), lambda a, x: a + (F.col("norm") > x).cast("int"))
-    dealt = candidates.withColumn("bucket", bucket)
+    splits = [float("-inf"), *cuts, float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="norm", outputCol="__bucket").transform(candidates) if cuts else candidates.withColumn("__bucket", F.lit(0))
+    dealt = dealt.withColumn("bucket", F.col("__bucket").cast("int")).drop("__bucket")
     # equal or nearly equal lengths can fill a bucket beyond a block: it is cut further, by a hash of the id
     sizes = {r["bucket"]: r for r in dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}  # a row a bucket
     parts = {b: max(1, -(-r["n"] // block)) for b, r in sizes.items()}
@@ -148,7 +147,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     dealt = scratch.write(dealt.join(F.broadcast(layout), "bucket").select("vec_id", "v", (F.col("begin") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block")))
     chunks = max(1, -(-most // chunk))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")  # the block that every query begins with
 
     # a floor for each query from the block of the longest vectors
     none = F.lit(float("-inf"))
@@ -162,19 +161,35 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             norm, floor = frame["norm"].to_numpy(), frame["floor"].to_numpy()
-            lists = [np.flatnonzero(reach.value[1:] * norm[i] * (1 + 1e-9) >= floor[i]) + 1 for i in range(len(frame))]
+            lists = [_open(reach.value, norm[i], floor[i]) for i in range(len(frame))]
             n_each = [len(x) for x in lists]
             out = frame.loc[frame.index.repeat(n_each), ["vec_id", "v", "chunk", "floor"]]
             yield out.assign(block=np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int32))
 
     routed = asked.mapInPandas(visits, "vec_id long, v array<double>, chunk int, floor double, block int")
-    rest = routed.groupBy("chunk", "block").cogroup(dealt.where("block > 0").select("vec_id", "v", "block", each).groupBy("chunk", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    rest = routed.groupBy("chunk", "block").cogroup(shipped(asked, dealt, reach).groupBy("chunk", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
     return _ranked(first.unionAll(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
-def spark_array(spark: SparkSession, values: list[float]) -> Column:
-    """A constant array column."""
-    return F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+def _open(longest: np.ndarray, norm: float, floor: float) -> np.ndarray:
+    """The blocks beyond the first whose longest vector can reach a query's floor."""
+    return np.flatnonzero(longest[1:] * norm * (1 + 1e-9) >= floor) + 1
+
+
+def shipped(asked: DataFrame, dealt: DataFrame, reach) -> DataFrame:
+    """(vec_id, v, block, chunk): the candidates of each block, for each chunk of queries of which one visits it."""
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            # blocks come by length, so what a chunk's queries visit together is what the least demanding of them visits
+            ratio = np.where(frame["norm"] > 0, frame["floor"] / frame["norm"].where(frame["norm"] > 0, 1), np.where(frame["floor"] > 0, np.inf, -np.inf))
+            least = pd.Series(ratio).groupby(frame["chunk"].to_numpy()).min()
+            for c, r in least.items():
+                at = _open(reach.value, 1.0, r)
+                yield pd.DataFrame({"chunk": np.full(len(at), c, np.int32), "block": at.astype(np.int32)})
+
+    visited = asked.select("norm", "floor", "chunk").mapInPandas(pairs, "chunk int, block int").distinct()
+    return dealt.join(visited, "block").select("vec_id", "v", "block", "chunk")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
