@@ -201,7 +201,10 @@ class _Sent:
     """A broadcast with a name that is the same in all tasks."""
 
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
-        self.id, self.sent = hash((vocabulary.pattern, len(vocabulary.ranks), tuple(list(vocabulary.ranks.items())[:: max(1, len(vocabulary.ranks) // 64)]))), spark.sparkContext.broadcast(vocabulary)
+        digest = xxhash.xxh3_64(vocabulary.pattern.encode())
+        for token, rank in vocabulary.ranks.items():
+            digest.update(b"%d %d " % (rank, len(token)) + token)
+        self.id, self.sent = digest.intdigest(), spark.sparkContext.broadcast(vocabulary)
 
     @property
     def value(self) -> Vocabulary:
@@ -289,6 +292,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: each document's ids, packed as little-endian 32-bit integers, with their number and digests."""
+    """The last stage: each document's ids, packed as little-endian 32-bit integers, with their number and digests.
+
+    Columns of documents other than doc_id (text, lang, source) are not returned.
+    """
     coded = round_trip(docs, public_vocabulary("byte_bpe_multi_50k.tiktoken"))
     return coded.select("doc_id", F.expr(N_TOKENS).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
