@@ -127,9 +127,9 @@ def crc_mod(column: str, n: int) -> Column:
 FILTER_BITS = 1 << 25
 
 
-def maybe_among(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """docs with ``__maybe``, false only where its id is not among ids: by a bitmap of fixed size that is broadcast."""
-    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+def maybe_among(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS, key: str = "id") -> DataFrame:
+    """docs with ``__maybe``, false only where its key is not among ids: by a bitmap of fixed size that is broadcast."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__map"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import checkpointed, table, text_bytes
+from .common import Scratch, checkpointed, maybe_among, table, text_bytes
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -170,11 +170,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[str]) -> Da
 
     The bitmaps of equal rows are equal, so one of each is joined back.
     """
-    one = bitmaps.where("n_dropped > 0").dropDuplicates(["doc_id", "version"]).drop("n_lines")
+    one = Scratch(docs.sparkSession, "bitmaps").write(bitmaps.where("n_dropped > 0").dropDuplicates(["doc_id", "version"]).drop("n_lines"))
     text = text_bytes()
     lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     left = docs.select(*columns, text.alias("__text"), F.coalesce(lines, F.lit(1)).cast("long").alias("n_lines"), F.xxhash64("text").alias("version"))
-    both = left.join(one, ["doc_id", "version"], "left").drop("version")
+    # only documents that may have lost a line are shuffled
+    marked = maybe_among(left, one, key="doc_id")
+    near = marked.where("__maybe").drop("__maybe").join(one, ["doc_id", "version"], "left")
+    rest = marked.where("NOT __maybe").drop("__maybe").withColumns({"n_dropped": F.lit(0).cast("long"), "keep": F.lit(None).cast("binary")})
+    both = near.unionByName(rest).drop("version")
 
     @F.pandas_udf(BinaryType())
     def cut(text: pd.Series, n_dropped: pd.Series, keep: pd.Series) -> pd.Series:
