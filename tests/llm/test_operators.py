@@ -139,7 +139,9 @@ def test_keys_cover_every_allowed_set_of_errors():
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
-    got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    table = spark.createDataFrame(edges, "u long, v long")
+    got, once = ({x["id"]: x["component"] for x in components(table.repartition(5), Scratch(spark, "t"), at_once=n).collect()} for n in (0, 10**6))
+    assert got == once
     near = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)

@@ -81,19 +81,23 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 64, at_once: int = CONTRACTED) -> DataFrame:
     """(id, component): the least node reachable, for every node that has an edge. edges: (u, v) of longs.
 
-    Large and small stars alternate until only stars are left, which takes a number of rounds logarithmic in the nodes.
+    Large and small stars alternate until only stars are left, or no more than ``at_once`` edges, which one task contracts.
+    That takes a number of rounds logarithmic in the nodes.
     Tasks contract their own edges first. Minima are aggregated before the shuffle; edges of a node with very many neighbours
     meet its minimum by a broadcast, those of all others by a join.
     """
     few = edges.where("u <> v").select("u", "v").mapInPandas(_contract, "u long, v long")
-    now = scratch.write(few.distinct())
+    now = scratch.write(few)
     for _ in range(rounds):
+        total = now.count()
+        if total <= at_once:  # what a task contracts at a time anyway is settled by one task
+            now = scratch.write(now.coalesce(1).mapInPandas(_contract, "u long, v long"))
+            break
         if _settled(now):
             break
-        total = now.count()
         after = scratch.write(_small_star(_large_star(now, total).distinct(), total))
         scratch.drop(now)
         now = after
