@@ -36,13 +36,15 @@ from .words import ALNUM, U, Words, splitmix
 #: Weight of the unigram model in tokens, and frequent words that are broadcast at most (40 bytes each).
 WEIGHT, HEAD = 50.0, 200_000
 #: Tokens of a bucket, about, and buckets at least. A bucket is what a task holds at a time.
-BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 8
+BUCKET_TOKENS, LEAST_BUCKETS = 1_200_000, 8
 #: Bytes of text in a packed batch: this much for each bucket, within limits.
-BYTES_A_BUCKET, LEAST_BATCH, MOST_BATCH = 16384, 1 << 20, 1 << 26
+BYTES_A_BUCKET, LEAST_BATCH, MOST_BATCH = 8192, 1 << 20, 1 << 26
 #: What stands for a word outside a given vocabulary, and before a first word.
 UNKNOWN, START = U(2**64 - 3), U(2**64 - 2)
 #: Distinct words that a task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 400_000
+#: Ids of target documents that are broadcast at most; beyond that documents are joined with them by a shuffle.
+MOST_IDS = 1_000_000
 #: Codes below this are those of frequent words; cold words go by their hash.
 CODES = U(1 << 32)
 #: Marks on a document's number: it belongs to the target; the occurrence only counts for its history.
@@ -272,6 +274,7 @@ def _in_bucket(sent):
             wn, wt = np.where(cold_w, 0, head.n[at]), np.where(cold_w, 0, head.t[at])
             hn[by_history], ht[by_history] = _complete(h[by_history], good[by_history])
             wn[by_word], wt[by_word] = _complete(w[by_word], good[by_word])
+            del good, doc, at
             known = np.flatnonzero(~history_only & ~(cold_h & cold_w))
             target, background = head.losses(*(x[known] for x in (n, t, hn, ht, wn, wt)))
             key, at = np.unique(batch[known] << 32 | number[known], return_inverse=True)
@@ -306,10 +309,16 @@ def _by_batch(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": docs["batch"], "doc": np.arange(len(t)), "doc_id": pd.array(docs["ids"], "Int64"), "n_tokens": docs["n_tokens"], "t": t, "b": b, "cold": cold})
 
 
-def flagged(docs: DataFrame, target: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text, good): texts as bytes. Only rows that a filter can't tell from the target's are shuffled."""
-    wanted = target.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    marked = maybe_among(docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")), wanted)
+def flagged(docs: DataFrame, target: DataFrame, scratch: Scratch, most_ids: int = MOST_IDS) -> DataFrame:
+    """(doc_id, text, good): texts as bytes.
+
+    Up to ``most_ids`` ids of the target are broadcast. Of more, only rows that a filter can't tell from the target's are shuffled.
+    """
+    wanted = scratch.write(target.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
+    if wanted.count() <= most_ids:
+        return rows.join(F.broadcast(wanted.withColumn("__good", F.lit(True))), "id", "left").select(F.col("id").alias("doc_id"), "text", F.coalesce("__good", F.lit(False)).alias("good"))
+    marked = maybe_among(rows, wanted)
     near = marked.where("__maybe").join(wanted.withColumn("__good", F.lit(True)), "id", "left").select(F.col("id").alias("doc_id"), "text", F.coalesce("__good", F.lit(False)).alias("good"))
     return marked.where("NOT __maybe").select(F.col("id").alias("doc_id"), "text", F.lit(False).alias("good")).unionAll(scratch.write(near))
 
