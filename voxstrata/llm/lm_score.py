@@ -336,14 +336,14 @@ def head_of(counts: DataFrame, known: np.ndarray | None, head: int, weight: floa
     return Head(rows, (total["hn"], total["ht"]), (total["n"], total["t"]), size, weight), least
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int | None = None, head: int = HEAD, weight: float = WEIGHT, buckets: int | None = None) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, words: int | None = None, head: int = HEAD, weight: float = WEIGHT, buckets: int | None = None, most_ids: int = MOST_IDS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of all documents, by the models that all documents make."""
     if words is not None and words <= 0:
         raise ValueError("words must be positive")
     spark = docs.sparkSession
     known = None if words is None else vocabulary(docs, words)
     scratch = Scratch(spark, "lm")
-    texts = flagged(docs, target, scratch)
+    texts = flagged(docs, target, scratch, most_ids)
     counted = texts.select("text", "good").mapInPandas(_counted(known), "word long, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = scratch.write(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     model, least = head_of(counts, known, head, weight)
