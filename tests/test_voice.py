@@ -95,3 +95,12 @@ def test_spread_and_density():
     at = np.linspace(-8, 8, 400)
     d = V.density(np.random.default_rng(4).normal(size=5000), at)
     assert d.sum() * (at[1] - at[0]) == pytest.approx(1, abs=1e-3) and d.max() == pytest.approx(0.3989, abs=0.03)
+
+
+def test_contrast_by_hand(spark):
+    """Two bands over nine bins: of bins 0 to 2 the last is left out but counted, and so on; 20 log10 of amplitude ratios."""
+    bins = S.octave_bins([float(i) for i in range(9)], 2.0, 1)
+    assert bins == [(0, 2, 3), (1, 8, 8)]
+    got = spark.range(1).select(S.contrast(F.array(*(F.lit(float(x)) for x in (1, 10, 2, 4, 8, 16, 32, 64, 100))), bins, 0.25)).first()[0]
+    want = [20 * np.log10(10 / 1), 20 * np.log10(((100 + 64) / 2) / ((2 + 4) / 2))]
+    assert got == pytest.approx(want)

@@ -26,6 +26,11 @@ def power_db(x: Column, floor: float = 1e-12) -> Column:
     return 10 * F.log10(F.greatest(x, F.lit(floor)))
 
 
+def amplitude_db(x: Column, floor: float = 1e-12) -> Column:
+    """Decibels of the square, floored as a power."""
+    return power_db(x * x, floor)
+
+
 def mel(hz: Column) -> Column:
     return 2595 * F.log10(1 + hz / 700)
 
@@ -99,28 +104,32 @@ def dct(x: Column, n: int, kept: int) -> Column:
     return F.transform(constant_rows(rows), lambda row: dot(x, row))
 
 
-def octave_bins(freqs: list[float], least: float, bands: int) -> list[tuple[int, int]]:
-    """First bin and number of bins of each octave band: one bin below is added, and the last is left to the next band."""
+def octave_bins(freqs: list[float], least: float, bands: int) -> list[tuple[int, int, int]]:
+    """First bin, number of bins, and bins that quantiles count, of each octave band.
+
+    One bin below is added, and the last is left to the next band, but is counted.
+    """
     edges = [0.0, *(least * 2**k for k in range(bands + 1))]
     out = []
     for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
         inside = [i for i, f in enumerate(freqs) if lo <= f <= hi]
         if not inside:
             continue
-        first, last = max(inside[0] - (k > 0), 0), inside[-1]
-        last = len(freqs) - 1 if k == bands else last - 1
-        if last >= first:
-            out.append((first, last - first + 1))
+        first = max(inside[0] - (k > 0), 0)
+        last = len(freqs) - 1 if k == bands else inside[-1]
+        n = last - first + 1
+        if n - (k < bands) > 0:
+            out.append((first, n - (k < bands), n))
     return out
 
 
-def contrast(s: Column, bins: list[tuple[int, int]], share: float = 0.02) -> Column:
-    """Decibels between the mean of the largest and of the smallest values in each band."""
+def contrast(s: Column, bins: list[tuple[int, int, int]], share: float = 0.02) -> Column:
+    """Amplitude decibels between the mean of the largest and of the smallest values in each band."""
     out = []
-    for first, n in bins:
-        few = max(1, round(share * n))
+    for first, n, counted in bins:
+        few = min(max(1, round(share * counted)), n)
         band = F.array_sort(F.slice(s, first + 1, n))
-        out.append(power_db(total(F.slice(band, n - few + 1, few)) / few) - power_db(total(F.slice(band, 1, few)) / few))
+        out.append(amplitude_db(total(F.slice(band, n - few + 1, few)) / few) - amplitude_db(total(F.slice(band, 1, few)) / few))
     return F.array(*out)
 
 

@@ -47,10 +47,10 @@ BANDS = S.octave_bins([float(i) for i in range(N)], 2.0, 4)
 
 
 def _contrast_sql() -> str:
-    db = lambda x: f"10 * log10(greatest({x}, 1e-12))"
+    db = lambda x: f"10 * log10(greatest(pow({x}, 2), 1e-12))"
     one = []
-    for k, (first, n) in enumerate(BANDS):
-        few = max(1, round(0.1 * n))
+    for k, (first, n, counted) in enumerate(BANDS):
+        few = max(1, round(0.1 * counted))
         band = f"list_sort(s[{first + 1}:{first + n}])"
         one.append(f"SELECT vec_id, {k}::BIGINT AS band, round({db(f'list_avg({band}[{n - few + 1}:{n}])')} - {db(f'list_avg({band}[1:{few}])')}, 4) AS contrast FROM s")
     return f"WITH s AS (SELECT vec_id, {SPECTRUM} AS s FROM embeddings) " + " UNION ALL ".join(one)
