@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxstrata.operators import statistics
-from voxstrata.plans import features, models, ranks, streams  # noqa: F401
+from voxstrata.plans import features, models, ranks, reporting, streams  # noqa: F401
 from voxstrata.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -214,3 +214,83 @@ def approximate_entropy(x: Column, r: Column, m: int = 2) -> Column:
         return total(F.transform(places, lambda i: F.log(F.size(F.filter(places, lambda j: near(x, i, j, k, r))) / n))) / n
 
     return F.when(F.size(x) > m, phi(m) - phi(m + 1))
+
+
+def radians_to_hz(x: Column, rate: Column | float) -> Column:
+    return x * rate / (2 * math.pi)
+
+
+def next_power(n: Column) -> Column:
+    """The least p >= 0 with 2^p >= n, for n > 0; null below."""
+    return F.when(n > 0, F.greatest(F.ceil(F.log2(n.cast("double"))), F.lit(0)).cast("int"))
+
+
+def nearest_bin(freqs: Column, f: Column) -> Column:
+    """Place from 0 of the frequency closest to f, the first of equals; null for no frequencies."""
+    away = F.transform(freqs, lambda v: F.abs(v - f))
+    return F.nullif(F.array_position(away, F.array_min(away)) - 1, F.lit(-1))
+
+
+def differences(x: Column, n: int = 1) -> Column:
+    """Differences of successive values, n times over; empty where there are no more than n values."""
+    for _ in range(n):
+        x = F.zip_with(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda b, a: b - a)
+    return x
+
+
+def before_share(s: Column, q: float) -> Column:
+    """Place of the bin before the first whose running sum is strictly over q times the whole; 0 at least."""
+    run = F.transform(s, lambda _, i: total(F.slice(s, F.lit(1), i + 1)))
+    over = F.size(F.filter(run, lambda c: c <= q * total(s)))  # values are not negative, so sums never fall
+    return F.greatest(over - 1, F.lit(0))
+
+
+# Patterns of week numbers and of what surrounds a subject's name in folder names.
+WEEK_PATTERNS = [r"[Ww]eek[\s_-]*(\d+)", r"[Ww](\d+)"]
+SUBJECT_PATTERNS = [r"(?i)-DONE$", r"^P24-\d+[\s&]*", r"^and\s+\d+-\d+\s+", r"^\d+\s+", r"^-"]
+
+
+def week_of(path: Column) -> Column:
+    """Week number in a path by the first pattern that matches; null for none."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in WEEK_PATTERNS)).cast("int")
+
+
+def subject_of(folder: Column) -> Column:
+    """A folder's name without markers and numbers around it."""
+    return F.trim(reduce(lambda c, p: F.regexp_replace(c, p, ""), SUBJECT_PATTERNS, folder))
+
+
+# Prefixes and names of the feature families, the first that fits counts.
+FAMILY_PREFIXES = {
+    "Schlegel21": ["schlegel21_"],
+    "UCLA": ["ucla_"],
+    "Ratio": ["lhr_", "spi_"],
+    "LPC": ["lpc_", "lsf_", "lpcc_"],
+    "PNCC": ["ddpncc_", "dpncc_", "pncc_"],
+    "PLPCC": ["ddplpcc_", "dplpcc_", "plpcc_"],
+    "GFCC": ["ddgfcc_", "dgfcc_", "gfcc_"],
+    "MFCC": ["ddmfcc_", "dmfcc_", "mfcc_"],
+    "Spectral": ["s_"],
+}
+TEMPORAL_NAMES = ["a_mean", "a_std", "e_mean", "e_std", "zcr_mean", "zcr_std"]
+CYCLE_PREFIXES = ["cpp_", "cpm_", "cpps_", "cpms_"]
+PERTURBATION_NAMES = [
+    *["f0_mean", "f0_std", "mean_jit", "jit_p", "jit_factor", "jit_ratio", "ppf", "pvi", "ppq3", "ppq5", "ppq11"],
+    *["rap_v1", "rap_v2", "mean_shim", "shim_p", "apf", "avi", "apq3", "apq5", "apq11", "epf", "epq3", "epq5", "epq11"],
+    *["harmonics_intensity", "hnr", "spectral_flatness", "wmc_mean", "wmc_max", "cpp", "snr1_mean", "snr1_std", "nne"],
+]
+
+
+def by_prefix(name: Column, prefixes: dict[str, list[str]], default: str) -> Column:
+    """The first family one of whose prefixes the name begins with."""
+    out = F.lit(default)
+    for family, starts in reversed(prefixes.items()):
+        out = F.when(reduce(Column.__or__, [name.startswith(p) for p in starts]), family).otherwise(out)
+    return out
+
+
+def feature_family(feature: Column) -> Column:
+    """Family of a feature by its name, in any case."""
+    name = F.lower(feature)
+    rest = F.when(name.isin(TEMPORAL_NAMES), "Temporal").when(reduce(Column.__or__, [name.startswith(p) for p in CYCLE_PREFIXES]), "DFG").when(name.isin(PERTURBATION_NAMES), "GAT").otherwise("Other")
+    return F.coalesce(F.nullif(by_prefix(name, FAMILY_PREFIXES, ""), F.lit("")), rest)

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import applied, t_quantile
+from .statistics import cumulated, meet, quantiles
+
 
 def unpivot_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(ids, features, "feature", "value")
 
 
 def descriptives(long: DataFrame, keys: list[str], subject: str) -> DataFrame:
-    """Count, subjects, mean, sample sd, median, interquartile range, least and largest value of each cell."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(*keys).agg(F.count("value").alias("n"), F.countDistinct(subject).alias("n_subjects"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return out.select(*keys, "n", "n_subjects", "mean", "sd", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "least", "most")
+    """Count, subjects, mean, sample sd, median, interquartile range, least and largest value of each cell.
+
+    Quantiles come from cumulated counts; a cell without values has a count of 0 and nulls.
+    """
+    out = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"))
+    subjects = long.select(*keys, subject).distinct().groupBy(*keys).agg(F.count(subject).alias("n_subjects"))
+    q = quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    out = meet(meet(out, subjects, keys), q, keys, "left")
+    return out.select(*keys, "n", "n_subjects", "mean", "sd", "median", (F.col("q3") - F.col("q1")).alias("iqr"), "least", "most")
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,9 +37,37 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in pairs)).alias("rows")).select(F.inline("rows"))
+    """Pearson correlation of every pair of columns over the rows that have both; null where one is constant.
+
+    Numpy sums centred products of all pairs within a batch, Spark adds the sums: any number of columns compiles.
+    """
+    means = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"__{c}") for c in columns))  # one row
+    centred = df.join(F.broadcast(means)).select(*(F.coalesce(F.col(c).cast("double") - F.col(f"__{c}"), F.lit(float("nan"))).alias(c) for c in columns))
+    i, j = np.triu_indices(len(columns), 1)
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), len(i)))
+        for frame in frames:
+            x = frame.to_numpy(float)
+            has = ~np.isnan(x)
+            x, m = np.where(has, x, 0.0), has.astype(float)
+            one, two = x.T @ m, (x * x).T @ m
+            total += np.stack([(m.T @ m)[i, j], one[i, j], one[j, i], two[i, j], two[j, i], (x.T @ x)[i, j]])
+        yield pd.DataFrame({"i": i, "j": j} | dict(zip(names, total)))
+
+    parts = centred.mapInPandas(sums, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    s = parts.groupBy("i", "j").agg(*(F.sum(n).alias(n) for n in names))
+    n = F.col("n")
+
+    def spread(c: str) -> Column:
+        whole = n * F.col(f"s{c}{c}")
+        left = whole - F.col(f"s{c}") * F.col(f"s{c}")
+        return F.when(left > 1e-12 * whole, left)  # else rounding of a constant column
+
+    r = F.try_divide(n * F.col("sab") - F.col("sa") * F.col("sb"), F.sqrt(spread("a") * spread("b")))
+    label = F.array(*map(F.lit, columns))
+    return s.select(label[F.col("i")].alias("a"), label[F.col("j")].alias("b"), r.alias("r"))
 
 
 def cap_per_cell(df: DataFrame, cell: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -36,9 +75,14 @@ def cap_per_cell(df: DataFrame, cell: list[str], order: list[Column], cap: int)
     return df.withColumn("pick", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where(F.col("pick") <= cap)
 
 
-def stratified(df: DataFrame, stratum: str, order: list[Column], share: float) -> DataFrame:
-    w = Window.partitionBy(stratum)
-    return df.withColumn("pick", F.row_number().over(w.orderBy(*order))).withColumn("size", F.count("*").over(w)).where(F.col("pick") <= F.round(F.lit(share) * F.col("size")))
+def stratified(df: DataFrame, stratum: str, order: str, ties: list[str], share: float) -> DataFrame:
+    """The first ``share`` of each stratum by a numeric ``order``, then ``ties``: places are prefix sums, no task holds a stratum.
+
+    Rows without an order take no part.
+    """
+    at = cumulated(df, [stratum], order)
+    x = meet(df, at, [stratum, order]).withColumn("pick", F.col("below") + F.row_number().over(Window.partitionBy(stratum, order).orderBy(*ties)))
+    return x.where(F.col("pick") <= F.round(F.lit(share) * F.col("whole"))).drop("t", "below", "whole")
 
 
 def compare_outer(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -128,3 +172,106 @@ def correlated(pairs: DataFrame, variances: dict[str, float], order: list[str],
             if b not in dropped and ((a, b) in over or (b, a) in over):
                 dropped.add(b if variances[a] >= variances[b] else a)
     return [c for c in order if c in dropped]
+
+
+def relabelled(df: DataFrame, column: str, labels: dict[str, str | None], to: str) -> DataFrame:
+    """Adds the label of each value; rows whose value has none, or a null one, are dropped."""
+    known = F.create_map(*(x for k, v in labels.items() if v is not None for x in (F.lit(k), F.lit(v))))
+    return df.withColumn(to, known[F.col(column)]).where(F.col(to).isNotNull())
+
+
+def coded(column: str, codes: dict[str, str], default: str = "?") -> Column:
+    return F.coalesce(F.create_map(*(x for k, v in codes.items() for x in (F.lit(k), F.lit(v))))[F.col(column)], F.lit(default))
+
+
+def with_dimension(df: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """A dimension's value for each row, the default where its key is unknown; keys of the dimension are distinct."""
+    return df.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def projected(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, or an error that shows the first ten that are missing."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{len(missing)} columns are missing: {missing[:10]}")
+    return df.select(*columns)
+
+
+def features_after(columns: list[str], last: str) -> list[str]:
+    """Feature columns by place: those after the last column of metadata."""
+    return columns[columns.index(last) + 1 :]
+
+
+def features_besides(columns: list[str], metadata: list[str]) -> list[str]:
+    """Feature columns by name: those that are not metadata."""
+    return [c for c in columns if c not in set(metadata)]
+
+
+def schema_faults(df: DataFrame, columns: list[str], numeric: list[str]) -> list[str]:
+    """What is wrong with a table's columns, in words; empty where nothing is."""
+    kinds = dict(df.dtypes)
+    faults = [] if df.columns == columns else [f"columns are {df.columns}, not {columns}"]
+    plain = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return faults + [f"{c} is {kinds.get(c, 'missing')}, not a number" for c in numeric if kinds.get(c) not in plain and not kinds.get(c, "").startswith("decimal")]
+
+
+def broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, n_broken): rows for which each rule is false or null, all in one pass."""
+    counts = [F.struct(F.lit(k).alias("rule"), F.count_if(~F.coalesce(c, F.lit(False))).alias("n_broken")) for k, c in rules.items()]
+    return df.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
+
+
+def drop_reasons(profiled: DataFrame, fixed: list[str], most_missing: float = 0.5, most_zero: float = 0.5, least_variance: float = 1e-8) -> DataFrame:
+    """Why a column of ``profile`` is dropped: named, mostly missing, mostly zero, nearly constant; or kept."""
+    share = F.try_divide(F.col("n_missing"), F.col("n_missing") + F.col("n_present"))
+    rules = [(F.col("feature").isin(fixed), "named"), (share > most_missing, "missing"), (F.col("zero_fraction") > most_zero, "zero"), (F.coalesce("variance", F.lit(0.0)) <= least_variance, "constant")]
+    return profiled.select("feature", first_of(rules, "kept").alias("reason"))
+
+
+def consensus(df: DataFrame, feature: str, group: str, category: str, wanted: list[str], groups: list[str], least: int = 2) -> DataFrame:
+    """Features that at least ``least`` groups put in the same wanted category, with every group's category."""
+    wide = df.groupBy(feature).pivot(group, groups).agg(F.first(category))
+    agree = df.where(F.col(category).isin(wanted)).groupBy(feature, category).agg(F.array_join(F.array_sort(F.collect_set(group)), ", ").alias("groups"), F.countDistinct(group).alias("n_groups"))
+    return agree.where(F.col("n_groups") >= least).join(wide, feature).select(feature, category, "groups", "n_groups", *(F.coalesce(g, F.lit("-")).alias(f"{category}_{g}") for g in groups))
+
+
+def counted(df: DataFrame, keys: list[str], column: str, values: list[str]) -> DataFrame:
+    """How many rows of each group have each value, 0 included, and all of them."""
+    return df.groupBy(*keys).agg(F.count("*").alias("total"), *(F.count_if(F.col(column) == v).alias(f"n_{v.lower()}") for v in values))
+
+
+def selection_shares(df: DataFrame, feature: str, replicate: str, label: str, coefficient: str, labels: list[str]) -> DataFrame:
+    """Shares of replicates that select a feature, in any class and in each, and its mean absolute coefficient.
+
+    ``when_selected`` is over the replicates that select it in any class, 0 where none does.
+    """
+    size = F.abs(F.col(coefficient))
+    one = df.groupBy(feature, replicate).agg(F.max((size > 0).cast("int")).alias("__any"), F.sum(size).alias("__sum"), F.count(size).alias("__size"), *(F.max(F.when(F.col(label) == v, (size > 0).cast("int"))).alias(f"__in_{v}") for v in labels))
+    taken = F.col("__any") == 1
+    when = F.try_divide(F.sum(F.when(taken, F.col("__sum"))), F.sum(F.when(taken, F.col("__size"))))
+    return one.groupBy(feature).agg(F.avg("__any").alias("share_any"), *(F.avg(f"__in_{v}").alias(f"share_{v}") for v in labels), F.coalesce(when, F.lit(0.0)).alias("when_selected"), F.try_divide(F.sum("__sum"), F.sum("__size")).alias("mean_all"))
+
+
+def marked_grid(cells: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """A grid's counts as marks: X where nothing was recorded, else the count."""
+    known = recorded.select(*keys).distinct().withColumn("__known", F.lit(True))
+    return cells.join(known, keys, "left").select(*keys, F.when(F.col("__known"), F.col("n").cast("string")).otherwise("X").alias("mark"))
+
+
+def unbalanced(df: DataFrame, stage: str, subject: str) -> DataFrame:
+    """Subjects of each stage against all subjects, and whether some are missing."""
+    pairs = df.select(stage, subject).distinct()
+    total = pairs.select(subject).distinct().agg(F.count(subject).alias("n_all"))  # one row
+    return pairs.groupBy(stage).agg(F.count(subject).alias("n_subjects")).join(F.broadcast(total)).select(stage, "n_subjects", "n_all", (F.col("n_subjects") < F.col("n_all")).alias("incomplete"))
+
+
+def intervals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, standard error and 95 % interval by Student's t of each cell; a single value has neither."""
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    out = out.withColumn("se", F.try_divide("sd", F.sqrt("n"))).withColumn("__t", applied(partial(t_quantile, 0.975), F.greatest(F.col("n") - 1, F.lit(1)).cast("double")))
+    return out.select(*keys, "n", "mean", "se", (F.col("mean") - F.col("__t") * F.col("se")).alias("low"), (F.col("mean") + F.col("__t") * F.col("se")).alias("high"))
+
+
+def top(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first k rows: Spark takes k of each partition and merges them, it doesn't sort the table."""
+    return df.orderBy(*order).limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,34 +18,60 @@ def harmonic(m: Column) -> Column:
     return F.when(m <= 64, few).otherwise(many)
 
 
-def adjusted(df: DataFrame, p: str, family: list[str], method: str = "bh") -> DataFrame:
-    """Adds ``adjusted``: Benjamini-Hochberg or -Yekutieli values within each family; null p take no part."""
-    some = Window.partitionBy(*family, F.col(p).isNull())
-    rank, m = F.rank().over(some.orderBy(p)) + F.count("*").over(some.partitionBy(*family, F.col(p).isNull(), p)) - 1, F.count("*").over(some)
-    factor = harmonic(F.col("__m")) if method == "by" else F.lit(1.0)
-    ranked = df.withColumn("__rank", rank).withColumn("__m", m).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank") * factor)
-    least = F.min("__raw").over(some.orderBy(F.col("__rank").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("__rank", "__m", "__raw")
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys of which any may be null: null meets null."""
+    there = right.select(*(F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = reduce(Column.__and__, [left[k].eqNullSafe(there[f"__k_{k}"]) for k in keys])
+    return left.join(there, on, how).drop(*(f"__k_{k}" for k in keys))
+
 
+def adjusted(df: DataFrame, p: str, family: list[str], method: str = "bh") -> DataFrame:
+    """Adds ``adjusted``: Benjamini-Hochberg or -Yekutieli values within each family; null p take no part.
 
-def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | None = None, root: int = 16) -> DataFrame:
+    A family is cut into spans of its p values: the least raw value from a span's end on comes from the later spans'
+    least values, so that no task sorts a whole family.
+    """
+    x = cumulated(df, family, p, spans=True)
+    raw = F.col(p) * F.col("whole") / (F.col("below") + F.col("t"))
+    x = x.select(*family, p, "__span", (raw * harmonic(F.col("whole")) if method == "by" else raw).alias("__raw"))
+    later = Window.partitionBy(*family).orderBy(F.col("__span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy(*family, "__span").agg(F.min("__raw").alias("__least")).select(*family, "__span", F.min("__least").over(later).alias("__later"))
+    inside = Window.partitionBy(*family, "__span").orderBy(F.col(p).desc())
+    least = F.least(F.min("__raw").over(inside), F.col("__later"), F.lit(1.0))
+    values = meet(x, ends, [*family, "__span"]).select(*family, p, least.alias("adjusted"))
+    return meet(df, values, [*family, p], "left")
+
+
+def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | None = None, root: int = 16, spans: bool = False) -> DataFrame:
     """Each distinct value with its count ``t``, the count ``below`` it and that of its whole group.
 
     Prefix sums in two levels, cut at root * root approximate quantiles of the distinct values: a task holds one span of
-    one group. Null values take no part.
+    one group. Null values take no part; null keys are keys of their own. With ``spans``, the span of each value too.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("t"))
     splits = counts.groupBy(*within).agg(F.percentile_approx(value, [k / root**2 for k in range(1, root**2)], 10_000).alias("__fine"))
     splits = splits.withColumn("__coarse", F.filter("__fine", lambda _, i: i % root == root - 1))
     under = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
-    placed = counts.join(splits, within).withColumn("__c", root * under("__coarse"))
+    placed = meet(counts, splits, within).withColumn("__c", root * under("__coarse"))
     placed = placed.withColumn("__span", F.col("__c") + under(F.slice("__fine", F.col("__c") + 1, F.lit(root - 1)))).drop("__c", "__fine", "__coarse")
     totals = placed.groupBy(*within, "__span").agg(F.sum("t").alias("__t"))
     group = Window.partitionBy(*within)
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(*within, "__span", before(group.orderBy("__span"), "__t").alias("__start"), F.sum("__t").over(group).alias("whole"))
     inside = Window.partitionBy(*within, "__span").orderBy(value)
-    return placed.join(starts, [*within, "__span"]).select(*within, value, "t", (F.col("__start") + before(inside, "t")).alias("below"), "whole")
+    out = meet(placed, starts, [*within, "__span"])
+    return out.select(*within, value, "t", (F.col("__start") + before(inside, "t")).alias("below"), "whole", *(["__span"] if spans else []))
+
+
+def previous(df: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Each row joined to the one before it in its group, whose columns end in ``_before``; ``order`` has no repeats.
+
+    Rows are numbered by their keys alone, so that only neighbours carry their other columns to each other.
+    """
+    at = cumulated(df.select(*within, order), within, order).select(*within, order, F.col("below").alias("__at"))
+    x = meet(df, at, [*within, order])
+    one = x.select(*within, (F.col("__at") + 1).alias("__at"), *(F.col(c).alias(f"{c}_before") for c in df.columns if c not in within))
+    return meet(x, one, [*within, "__at"]).drop("__at")
 
 
 def value_ranks(df: DataFrame, within: list[str], value: str, group: str, weight: Column | None = None) -> DataFrame:
@@ -154,12 +182,16 @@ def line_fit(df: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
 
 
 def time_aggregate(df: DataFrame, keys: list[str], x: str, t: str) -> DataFrame:
-    """Fifteen statistics of each key's values; the deviations about mean and median need a second pass."""
+    """Fifteen statistics of each key's values; the deviations about mean and median need a second pass.
+
+    Quantiles come from cumulated counts, so a key may hold any number of values.
+    """
     v = F.col(x)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     fit = F.sqrt(F.greatest(F.var_pop(x) - F.try_divide(F.pow(F.covar_pop(t, x), F.lit(2)), F.var_pop(t)), F.lit(0.0)))
-    first = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), q.alias("__q"), F.max(x).alias("most"), F.min(x).alias("least"), F.regr_slope(v, F.col(t)).alias("slope"), fit.alias("rmse"))
-    about = first.select(*keys, F.col("mean").alias("__mean"), F.col("__q")[1].alias("__median"))
-    second = df.join(about, keys).groupBy(*keys).agg(F.avg(F.abs(v - F.col("__mean"))).alias("mean_abs_dev"), F.median(F.abs(v - F.col("__median"))).alias("median_abs_dev"))
-    q1, median, q3 = (F.col("__q")[i] for i in range(3))
-    return first.join(second, keys).select(*keys, "mean", "sd", "skew", "kurt", "mean_abs_dev", "median_abs_dev", median.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), "most", "least", (F.col("most") - F.col("least")).alias("span"), "slope", "rmse")
+    first = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), F.max(x).alias("most"), F.min(x).alias("least"), F.regr_slope(v, F.col(t)).alias("slope"), fit.alias("rmse"))
+    first = meet(first, quantiles(df, keys, x, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n"), keys, "left")
+    about = meet(df, first.select(*keys, F.col("mean").alias("__mean"), F.col("median").alias("__median")), keys)
+    away = about.select(*keys, F.abs(v - F.col("__mean")).alias("__a"), F.abs(v - F.col("__median")).alias("__d"))
+    first = meet(first, away.groupBy(*keys).agg(F.avg("__a").alias("mean_abs_dev")), keys)
+    first = meet(first, quantiles(away, keys, "__d", {"median_abs_dev": 0.5}).drop("n"), keys, "left")
+    return first.select(*keys, "mean", "sd", "skew", "kurt", "mean_abs_dev", "median_abs_dev", "median", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "most", "least", (F.col("most") - F.col("least")).alias("span"), "slope", "rmse")

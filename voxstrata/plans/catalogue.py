@@ -211,8 +211,7 @@ SELECT vec_id, round(list_inner_product(e, p) / sqrt(list_inner_product(e, e)) /
 def cosine_consecutive(spark, d):
     """Cosine of each vector with the one before it under its label."""
     x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    x = x.withColumn("p", F.lag("e").over(Window.partitionBy("label").orderBy("vec_id"))).where("p IS NOT NULL")
-    return x.select("vec_id", r4(S.cosine(F.col("e"), F.col("p"))).alias("similarity"))
+    return T.previous(x, ["label"], "vec_id").select("vec_id", r4(S.cosine(F.col("e"), F.col("e_before"))).alias("similarity"))
 
 
 @query(
@@ -241,7 +240,7 @@ def cap_per_cell(spark, d):
 @query(f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {MIX}, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) WHERE k <= round(0.7::DOUBLE * n)")
 def stratified_sample(spark, d):
     """Seven tenths of each status."""
-    return R.stratified(table(spark, d, "orders"), "o_orderstatus", [F.expr(MIX), F.col("o_orderkey")], 0.7).select("o_orderkey")
+    return R.stratified(table(spark, d, "orders").withColumn("mix", F.expr(MIX)), "o_orderstatus", "mix", ["o_orderkey"], 0.7).select("o_orderkey")
 
 
 BY_YEAR = "SELECT l_partkey, sum(l_discount::DECIMAL(18,2))::DOUBLE / count(*) AS {n} FROM lineitem WHERE year(l_shipdate) = {y} GROUP BY 1"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -72,8 +71,9 @@ FROM p WHERE p IS NOT NULL"""
 )
 def spectral_change(spark, d):
     """Flux and log-spectral distance of each spectrum from the one before it under its label."""
-    x = spectra(spark, d).withColumn("p", F.lag("s").over(Window.partitionBy("label").orderBy("vec_id"))).where("p IS NOT NULL")
-    return x.select("vec_id", r4(S.flux(F.col("s"), F.col("p"))).alias("flux"), r4(S.log_spectral_distance(F.col("s"), F.col("p"))).alias("distance"))
+    x = T.previous(spectra(spark, d), ["label"], "vec_id")
+    s, p = F.col("s"), F.col("s_before")
+    return x.select("vec_id", r4(S.flux(s, p)).alias("flux"), r4(S.log_spectral_distance(s, p)).alias("distance"))
 
 
 @query(
