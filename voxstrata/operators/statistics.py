@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import applied, chi_upper, rank_sum_normal, rank_sum_two_sided
+from ..sources.shared import checkpointed
 
 
 def harmonic(m: Column) -> Column:
@@ -47,8 +48,9 @@ def cumulated(df: DataFrame, within: list[str], value: str, weight: Column | Non
 
     Prefix sums in two levels, cut at root * root approximate quantiles of the distinct values: a task holds one span of
     one group. Null values take no part; null keys are keys of their own. With ``spans``, the span of each value too.
+    The counts are written once: cuts and places are two passes over them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("t"))
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("t")))
     splits = counts.groupBy(*within).agg(F.percentile_approx(value, [k / root**2 for k in range(1, root**2)], 10_000).alias("__fine"))
     splits = splits.withColumn("__coarse", F.filter("__fine", lambda _, i: i % root == root - 1))
     under = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))

@@ -25,7 +25,7 @@ def lmm_contrasts(spark, d):
     long = R.unpivot_long(x, ["l_returnflag", "l_suppkey", "stage"], ["l_quantity", "l_discount"])
     keys = ["feature", "l_returnflag"]
     fits = M.random_intercept(M.standardised(long, keys, "value"), keys, "l_suppkey", "stage", STAGES)
-    return T.adjusted(fits, "p", ["l_returnflag"]).withColumn("effect", R.effect_size(F.col("estimate")))
+    return T.adjusted(checkpointed(fits), "p", ["l_returnflag"]).withColumn("effect", R.effect_size(F.col("estimate")))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import statistics as T
+from ..sources.shared import checkpointed
 from .catalogue import query, r4, table
 
 CELL = ["feature", "l_returnflag", "l_linestatus"]
@@ -47,7 +48,7 @@ SELECT day, round(h, 4) AS h, round(p, 4) AS p, round(least(1, min(p * m / i) OV
 def kruskal_tests(spark, d):
     """Kruskal-Wallis tests of event values by type on each day of the month that has all five types, adjusted over the days."""
     out = T.kruskal(rounded(spark, d, F.dayofmonth("ts").alias("day")), ["day"], "value", "event_type").where("df = 4").drop("n", "df").withColumn("all", F.lit(0))
-    return T.adjusted(out, "p", ["all"]).select("day", r4("h").alias("h"), r4("p").alias("p"), r4("adjusted").alias("p_adjusted"))
+    return T.adjusted(checkpointed(out), "p", ["all"]).select("day", r4("h").alias("h"), r4("p").alias("p"), r4("adjusted").alias("p_adjusted"))
 
 
 #: The error function's power series: terms up to 90 give the tail to nine places below 5.6 standard deviations.

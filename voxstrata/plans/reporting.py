@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import relational as R
 from ..operators import statistics as T
+from ..sources.shared import checkpointed
 from .catalogue import SPECTRUM, query, r4, table
 from .ranks import SERIES
 
@@ -220,7 +221,7 @@ def report_chain(spark, d):
     return means.join(parts, key).join(p, key, "left")
 
 
-SHARES = "CASE WHEN sum(round(l_discount * 100)::BIGINT) % 3 = 0 THEN 0 ELSE sum(round(l_discount * 100)::BIGINT) / 100.0::DOUBLE END"
+SHARES = "CASE WHEN sum(round(l_discount * 100)::BIGINT) % 3 = 0 THEN 0 ELSE sum(round(l_discount * 100)::BIGINT)::DOUBLE END"
 
 
 @query(
@@ -231,7 +232,7 @@ SELECT feature, round(avg(taken), 4) AS share_any, {", ".join(f"round(avg(t_{f})
 def selection_shares(spark, d):
     """Shares of replicates that select a feature, in any class and in each, and mean absolute coefficients."""
     cents = F.sum(F.round(F.col("l_discount") * 100).cast("long"))
-    x = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("feature"), (F.col("l_orderkey") % 40).alias("replicate"), F.col("l_returnflag").alias("label")).agg(F.when(cents % 3 == 0, 0.0).otherwise(cents / 100.0).alias("v"))
+    x = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("feature"), (F.col("l_orderkey") % 40).alias("replicate"), F.col("l_returnflag").alias("label")).agg(F.when(cents % 3 == 0, 0.0).otherwise(cents.cast("double")).alias("v"))
     out = R.selection_shares(x, "feature", "replicate", "label", "v", FLAGS)
     return out.select("feature", *(r4(c).alias(c) for c in out.columns[1:]))
 
@@ -250,7 +251,7 @@ SELECT day, a, b, u, round(p, 4) AS p, round(least(1, min(p * m / k * list_sum(l
 def pair_tests(spark, d):
     """All pairs of types on each day of the week, exact where groups are small and untied, adjusted within the day for any dependence."""
     x = table(spark, d, "events").where("value IS NOT NULL").select(F.dayofweek("ts").alias("day"), "event_type", F.round("value", 0).alias("value"))
-    out = T.adjusted(T.rank_sums(x, "value", "event_type", ["day"], 2, exact=True), "p", ["day"], "by")
+    out = T.adjusted(checkpointed(T.rank_sums(x, "value", "event_type", ["day"], 2, exact=True)), "p", ["day"], "by")
     return out.select("day", "a", "b", "u", r4("p").alias("p"), r4("adjusted").alias("p_adjusted"))
 
 
