@@ -104,3 +104,37 @@ def test_contrast_by_hand(spark):
     got = spark.range(1).select(S.contrast(F.array(*(F.lit(float(x)) for x in (1, 10, 2, 4, 8, 16, 32, 64, 100))), bins, 0.25)).first()[0]
     want = [20 * np.log10(10 / 1), 20 * np.log10(((100 + 64) / 2) / ((2 + 4) / 2))]
     assert got == pytest.approx(want)
+
+
+def test_highpass_gains_and_length():
+    h = G.highpass(RATE)
+    assert len(h) % 2 == 1 and len(h) in (int(RATE / 50 * 80 / 22), int(RATE / 50 * 80 / 22) + 1)
+    t = np.arange(len(h)) - (len(h) - 1) / 2
+    gain = lambda f: (h * np.cos(2 * np.pi * f / RATE * t)).sum()
+    assert abs(gain(0)) < 1e-3 and gain(RATE / 2) == pytest.approx(1) and gain(1000) == pytest.approx(1, abs=1e-3) and 0.3 < gain(50) < 0.7
+
+
+def test_preparation_removes_a_low_tone():
+    t = np.arange(2 * RATE) / RATE
+    y = G.prepared(np.sin(2 * np.pi * 400 * t) + 5 * np.sin(2 * np.pi * 5 * t), RATE)
+    spectrum = np.abs(np.fft.rfft(y))
+    assert spectrum[10] < 0.02 * spectrum[800] and np.abs(y).max() == pytest.approx(1)
+
+
+def test_pitch_leaves_out_the_frame_that_ends_the_clip():
+    size = int(0.03 * RATE)
+    assert G.pitch(np.sin(np.arange(size)), RATE) == [0.0, 0.0]
+    tone = np.sin(2 * np.pi * 200 * np.arange(size + 1) / RATE) + 7
+    f0, share = G.pitch(tone, RATE)
+    assert f0 == pytest.approx(200, rel=0.02) and share == 1.0
+
+
+def test_shimmer_of_raw_heights():
+    n = int(0.02 * RATE)
+    x = np.full(20 * n, -3.0)
+    x[n // 2 :: n] = -1.0
+    names = G.FAMILIES["literature"][0]
+    assert V.literature(x, RATE)[names.index("shimmer")] == 0.0  # heights below zero have no relative change
+    y = np.zeros(20 * n)
+    y[n // 2 :: n] = np.where(np.arange(20) % 2, 1.0, 3.0)
+    assert V.literature(y, RATE)[names.index("shimmer")] == pytest.approx(1.0)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 FAMILIES: dict[str, tuple[list[str], Callable[[np.ndarray, int], list[float]]]] = {}
 FLOOR = 1e-12
+FRAME, STRIDE = 4096, 2048  # of spectra and cepstra
 
 
 def family(name: str, features: list[str]):
@@ -33,7 +34,7 @@ def framed(x: np.ndarray, size: int, stride: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::stride]
 
 
-def magnitudes(x: np.ndarray, size: int = 1024, stride: int = 512) -> np.ndarray:
+def magnitudes(x: np.ndarray, size: int = FRAME, stride: int = STRIDE) -> np.ndarray:
     return np.abs(np.fft.rfft(framed(x, size, stride) * np.hanning(size), axis=1))
 
 
@@ -115,7 +116,7 @@ def temporal(x: np.ndarray, rate: int) -> list[float]:
 @family("spectral", two(["centroid", "bandwidth", "rolloff", "rollon", "flatness", "entropy", "low_high"]))
 def spectral(x: np.ndarray, rate: int) -> list[float]:
     s = magnitudes(x)
-    freqs = np.fft.rfftfreq(1024, 1 / rate)
+    freqs = np.fft.rfftfreq(FRAME, 1 / rate)
     whole = np.maximum(s.sum(1), FLOOR)
     centre = s @ freqs / whole
     wide = np.sqrt((s * (freqs - centre[:, None]) ** 2).sum(1) / whole)
@@ -133,14 +134,14 @@ def spectral(x: np.ndarray, rate: int) -> list[float]:
 def mel_cepstral(x: np.ndarray, rate: int) -> list[float]:
     s = magnitudes(x)
     s = s / np.maximum(s.sum(1, keepdims=True), FLOOR)
-    bands = decibels(s @ mel_bank(40, 1024, rate).T)
+    bands = decibels(s @ mel_bank(40, FRAME, rate).T)
     return spread(bands @ cosine_rows(40, 1, 12).T * lifter(np.arange(1, 13)))
 
 
 @family("perceptual", two([f"plp_{k}" for k in range(13)]))
 def perceptual(x: np.ndarray, rate: int) -> list[float]:
     """Bark bands of the power, weighted by equal loudness, compressed, and modelled by linear prediction."""
-    bands = magnitudes(x) ** 2 @ bark_bank(24, 1024, rate).T
+    bands = magnitudes(x) ** 2 @ bark_bank(24, FRAME, rate).T
     w = (2 * np.pi * 600 * np.sinh(np.linspace(*6 * np.arcsinh(np.array([50, min(16000, rate / 2)]) / 600), 26)[1:-1] / 6)) ** 2
     loud = (w + 56.8e6) * w**2 / ((w + 6.3e6) ** 2 * (w + 0.38e9))
     r = np.fft.irfft(np.maximum(bands * loud, FLOOR) ** 0.33, axis=1)[:, :13]
@@ -155,10 +156,15 @@ def prediction(x: np.ndarray, rate: int) -> list[float]:
 
 @family("pitch", ["f0", "voiced_share"])
 def pitch(x: np.ndarray, rate: int, low: float = 50, high: float = 2000) -> list[float]:
-    """Mean fundamental of 30 ms frames: the autocorrelation's peak after its first rise, if within the limits."""
+    """Mean fundamental of 30 ms frames of the centred clip: the autocorrelation's peak after its first rise, if within the limits.
+
+    A frame that ends with the clip takes no part; without frames there is no voice.
+    """
     size = int(0.03 * rate)
-    f = framed(x, size, size // 2)
-    r = np.fft.irfft(np.abs(np.fft.rfft(f - f.mean(1, keepdims=True), 2 * size, axis=1)) ** 2, axis=1)[:, :size]
+    f = framed(x - x.mean(), size, size // 2)[: -(-(len(x) - size) // (size // 2))]
+    if not len(f):
+        return [0.0, 0.0]
+    r = np.fft.irfft(np.abs(np.fft.rfft(f, 2 * size, axis=1)) ** 2, axis=1)[:, :size]
     rises = np.diff(r, axis=1) > 0
     first = np.where(rises.any(1), rises.argmax(1), size)
     masked = np.where(np.arange(size) >= first[:, None], r, -np.inf)
@@ -168,11 +174,17 @@ def pitch(x: np.ndarray, rate: int, low: float = 50, high: float = 2000) -> list
     return [float(f0[good].mean()) if good.any() else 0.0, float(good.mean())]
 
 
-def lowpass(rate: int, cut: float, taps: int) -> np.ndarray:
-    """A windowed sinc with unit gain at zero; an odd number of taps."""
-    t = np.arange(taps) - (taps - 1) / 2
-    h = np.sinc(2 * cut / rate * t) * np.hamming(taps)
-    return h / h.sum()
+# Weights of the four-term Blackman-Harris window.
+BLACKMAN_HARRIS = [0.35875, -0.48829, 0.14128, -0.01168]
+
+
+def highpass(rate: int, cut: float = 50.0, taps: int | None = None) -> np.ndarray:
+    """A windowed sinc with unit gain at half the rate; an odd number of taps, by the rate where none is given."""
+    taps = int(rate / 50 * 80 / 22) | 1 if taps is None else taps
+    t, share = np.arange(taps) - (taps - 1) / 2, 2 * cut / rate
+    window = np.cos(2 * np.pi * np.arange(4)[:, None] * np.arange(taps) / (taps - 1)).T @ BLACKMAN_HARRIS
+    h = (np.sinc(t) - share * np.sinc(share * t)) * window
+    return h / (h * np.cos(np.pi * t)).sum()
 
 
 def zero_phase(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -186,9 +198,9 @@ def zero_phase(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out[pad : pad + len(x)]
 
 
-def prepared(x: np.ndarray, rate: int, cut: float = 50.0, taps: int = 1001) -> np.ndarray:
-    """High-passed, centred and scaled to a largest value of 1."""
-    y = x - zero_phase(lowpass(rate, cut, taps), x)
+def prepared(x: np.ndarray, rate: int, cut: float = 50.0, taps: int | None = None, silence: int = 1000) -> np.ndarray:
+    """High-passed between ``silence`` zeros on both sides, centred and scaled to a largest value of 1."""
+    y = zero_phase(highpass(rate, cut, taps), np.pad(x, silence))[silence : silence + len(x)]
     y = y - y.mean()
     return y / max(np.abs(y).max(), FLOOR)
 

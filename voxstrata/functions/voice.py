@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .signal import FLOOR, cosine_rows, decibels, family, framed, lifter, magnitudes, mel_bank, predicted, spread, two
+from .signal import FLOOR, FRAME, cosine_rows, decibels, family, framed, lifter, magnitudes, mel_bank, predicted, spread, two
 
 #: Quality and least bandwidth of auditory filters (glasberg, greenwood, lyon), and the exponent of their sum.
 EARS = {"glasberg": (9.26449, 24.7, 1), "greenwood": (7.23, 22.85, 1), "lyon": (8.0, 125.0, 2)}
@@ -30,7 +30,7 @@ def gammatone_bank(n: int, size: int, rate: int, low: float = 0.0, ear: str = "g
 def gammatone_cepstral(x: np.ndarray, rate: int) -> list[float]:
     s = magnitudes(x)
     s = s / np.maximum(s.sum(1, keepdims=True), FLOOR)
-    return spread(decibels(s @ gammatone_bank(40, 1024, rate).T) @ cosine_rows(40, 0, 11).T * lifter(np.arange(12)))
+    return spread(decibels(s @ gammatone_bank(40, FRAME, rate).T) @ cosine_rows(40, 0, 11).T * lifter(np.arange(12)))
 
 
 def envelope(q: np.ndarray, up: float = 0.999, down: float = 0.5) -> np.ndarray:
@@ -63,7 +63,7 @@ def across(q: np.ndarray, reach: int, frames: bool) -> np.ndarray:
 @family("power_normalised", two([f"pncc_{k}" for k in range(12)]))
 def power_normalised(x: np.ndarray, rate: int) -> list[float]:
     """Power-normalised cepstra (Kim and Stern): noise suppressed over medium times, masking, smoothing over bands, a 15th root."""
-    p = magnitudes(np.append(x[:1], x[1:] - 0.97 * x[:-1])) ** 2 @ gammatone_bank(40, 1024, rate).T + FLOOR
+    p = magnitudes(np.append(x[:1], x[1:] - 0.97 * x[:-1])) ** 2 @ gammatone_bank(40, FRAME, rate).T + FLOOR
     q = across(p, 2, True) / 5
     low = envelope(q)
     rest = np.maximum(q - low, 0)
@@ -174,11 +174,11 @@ def literature(x: np.ndarray, rate: int) -> list[float]:
     run = power.cumsum()
     q = [freqs[(run >= k * run[-1]).argmax()] for k in (0.25, 0.5, 0.75)]
     at = peaks(x, max(1, int(0.01 * rate)))
-    period, height = np.diff(at), np.abs(x[at])
-    relative = lambda v: float(np.abs(np.diff(v)).mean() / max(v.mean(), FLOOR)) if len(v) > 1 else 0.0
+    period, height = np.diff(at), x[at]
+    relative = lambda v: float(np.abs(np.diff(v)).mean() / v.mean()) if len(v) > 1 and v.mean() > 0 else 0.0
     shares = s / np.maximum(s.sum(1, keepdims=True), FLOOR)
-    bands = ((s**2) @ mel_bank(22, 1024, rate, 50, 10000).T).mean(0)
-    low = np.fft.rfftfreq(1024, 1 / rate) < 4000
+    bands = ((s**2) @ mel_bank(22, FRAME, rate, 50, 10000).T).mean(0)
+    low = np.fft.rfftfreq(FRAME, 1 / rate) < 4000
     ratio = lambda a, b: float(decibels(a + FLOOR) - decibels(b + FLOOR))
     return [*q, freqs[power.argmax()], relative(period), relative(height), float(np.abs(np.diff(shares, axis=0)).sum() / max(1, len(s) - 1)), ratio((s[:, low] ** 2).sum(), (s[:, ~low] ** 2).sum()), ratio(bands[:11].sum(), bands[11:].sum())]
 
