@@ -62,7 +62,7 @@ def test_line_dedup_hot_line_over_many_partitions(make):
     assert gone.count() == 299 and gone.where("doc_id = 299").count() == 0
 
 
-def brute_components(texts):
+def brute_components(texts, similar=85):
     sets = []
     for t in texts:
         w = (t or "").encode().lower().split()
@@ -78,7 +78,7 @@ def brute_components(texts):
     for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= similar * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return [root(i) for i in range(len(texts))], [len(s) for s in sets]
