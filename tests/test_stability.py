@@ -72,12 +72,25 @@ def test_strength_cap_and_decisions(spark):
     y, s = np.array([0, 1] * 50), np.array(["x"] * 80 + [f"z{i}" for i in range(20)])
     rows = V.drawn(y, s, 2, 0.7, 15, np.random.default_rng(1))
     assert len(rows) == 50 and len(set(rows)) == 50
-    free, held = (V.scores(V.replicates(sample, features, 8, [0.5, 1.0], strength, cap=cap), [0.5, 1.0]) for cap in (None, 15))
+    pool = V.subject_sample(clustered(spark), "y", ["a", "b", "c"], features, ["id"], "s", 15)
+    free, held = (V.scores(V.replicates(rows, features, 8, [0.5, 1.0], strength, cap=cap), [0.5, 1.0]) for rows, cap in ((sample, None), (pool, 15)))
     got = {r["feature"]: r for r in V.decisions(free, held).collect()}
     assert got["good"]["decision"] == "Strong" and got["good"]["capping"] == "Stable"
     assert got["own"]["held"] <= got["own"]["free"]
 
 
+def test_cap_is_applied_before_the_bound(spark):
+    """A subject with nine tenths of all rows has no more of them in the pool than any other, whatever the number of rows."""
+    for n in (2_000, 40_000):
+        df = spark.range(n).selectExpr("id", "if(id % 10 < 9, 'big', concat('s', id % 100)) AS s", "if(hash(id) % 2 = 0, 'a', 'b') AS y", "double(id % 7) AS x")
+        df = df.unionAll(df.limit(5).selectExpr("id", "string(null)", "y", "x"))
+        got = {(r["__class"], r["__subject"]): r["count"] for r in V.subject_sample(df, "y", ["a", "b"], ["x"], ["id"], "s", cap=2).groupBy("__class", "__subject").count().collect()}
+        assert len(got) == 22 and max(got.values()) == V.POOL * 2 and got["a", "big"] == got["b", "big"] == V.POOL * 2
+    few = V.subject_sample(df, "y", ["a", "b"], ["x"], ["id"], "s", cap=2, most=20).groupBy("__class").count().collect()
+    assert {r["count"] for r in few} == {20}
+    assert V.subject_sample(df.limit(0), "y", ["a", "b"], ["x"], ["id"], "s", cap=2).count() == 0
+
+
 def test_decision_rules(spark):
     free = spark.createDataFrame([("a", 0.9, "High"), ("b", 0.6, "Moderate"), ("c", 0.9, "High"), ("d", 0.2, "Low")], "feature string, mean_pi double, label string")
     held = spark.createDataFrame([("a", 0.8), ("b", 0.45), ("c", 0.3), ("e", 0.9)], "feature string, mean_pi double")
@@ -96,4 +109,5 @@ def test_shadow_forest(spark):
     assert got["good"]["decision"] == "Confirmed" and got["good"]["hits"] == 10
     assert got["constant"]["decision"] == "Rejected" and got["noise"]["decision"] != "Confirmed"
     assert H.shadow_forest(V.class_sample(df, "y", ["a"], features, ["id"]), features).count() == 0
+    assert all(H.verdict(H.enough(k), H.enough(k), k) == "Confirmed" and H.verdict(H.enough(k) - 1, H.enough(k) - 1, k) == "Tentative" for k in (1, 4, 474))
     assert H.at_least(0, 5) == 1 and H.at_least(5, 5) == 1 / 32

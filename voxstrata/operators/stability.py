@@ -1,8 +1,10 @@
 """Stability selection: how often an elastic-net classifier keeps a feature over many part samples.
 
 The fits work on a sample of at most ``most`` rows a class, taken by the order of a hash over all rows; the sample is what
-is broadcast, and bounded by most * classes * features. Replicates and mixing ratios are rows that Spark spreads over
-tasks; frequencies and labels are aggregates over their results.
+is broadcast, and bounded by most * classes * features. Where rows are capped by subject, the cap is applied to all rows
+before that bound (``subject_sample``): what a capped replicate sees doesn't depend on how many rows a subject has.
+Replicates and mixing ratios are rows that Spark spreads over tasks; frequencies and labels are aggregates over their
+results.
 
 Defined cases: rows with a null label, feature or key take no part; constant features are never kept; fewer than two classes
 or five rows of each give no result.
@@ -15,13 +17,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from . import relational as R
 
 #: Rows of each class that the fits see.
 MOST = 2000
+#: Rows of a subject and class in the pool of capped replicates, as a multiple of the cap.
+POOL = 4
 #: A coefficient beyond this counts as kept.
 KEPT = 1e-8
 
@@ -29,11 +34,29 @@ KEPT = 1e-8
 def class_sample(df: DataFrame, label: str, classes: list[str], features: list[str], key: list[str], most: int = MOST, seed: int = 0, subject: str | None = None) -> DataFrame:
     """The first rows of each class by a hash of the key: a partial top-k in each task, no sort of a whole class."""
     who = [F.col(subject).cast("string").alias("__subject")] if subject else []
-    x = df.select(F.col(label).cast("string").alias("__class"), *who, *(F.col(f).cast("double").alias(f) for f in features), F.xxhash64(F.lit(seed), *key).alias("__order")).dropna()
+    x = _fit_rows(df, label, features, key, seed, who)
     parts = [x.where(F.col("__class") == c).orderBy("__order", *features).limit(most) for c in classes]
     return reduce(DataFrame.unionByName, parts).drop("__order")
 
 
+def _fit_rows(df: DataFrame, label: str, features: list[str], key: list[str], seed: int, who: list[Column]) -> DataFrame:
+    return df.select(F.col(label).cast("string").alias("__class"), *who, *(F.col(f).cast("double").alias(f) for f in features), F.xxhash64(F.lit(seed), *key).alias("__order")).dropna()
+
+
+def subject_sample(df: DataFrame, label: str, classes: list[str], features: list[str], key: list[str], subject: str, cap: int, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The pool of capped replicates: ``POOL * cap`` rows of each subject and class among all rows, whole subjects up to ``most`` rows a class.
+
+    The rank within a subject is bounded, so Spark cuts each task's rows before the shuffle and a subject with most of the
+    rows sends no more than that from each task. Subjects are taken in the order of a hash.
+    """
+    x = _fit_rows(df, label, features, key, seed, [F.col(subject).cast("string").alias("__subject")]).where(F.col("__class").isin(classes))
+    place = Window.partitionBy("__class", "__subject").orderBy("__order", *features)
+    x = x.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= POOL * cap)
+    x = x.withColumn("__whose", F.xxhash64(F.lit(seed), "__subject"))
+    parts = [x.where(F.col("__class") == c).orderBy("__whose", "__subject", "__order", *features).limit(most) for c in classes]
+    return reduce(DataFrame.unionByName, parts).drop("__order", "__place", "__whose")
+
+
 def elastic_net(x: np.ndarray, y: np.ndarray, classes: int, c: float, ratio: float, steps: int = 300) -> np.ndarray:
     """Coefficients (features, classes) of a class-balanced multinomial model."""
     return with_shift(x, y, classes, c, ratio, steps)[:-1]
@@ -45,16 +68,16 @@ def with_shift(x: np.ndarray, y: np.ndarray, classes: int, c: float, ratio: floa
     counts = np.bincount(y, minlength=classes)
     w = (n / (np.maximum(counts, 1) * (counts > 0).sum()))[y] / n
     penalty = 1 / (c * n)
-    target = np.eye(classes)[y]
-    z = np.column_stack([x, np.ones(n)])
-    rate = 1 / (0.5 * np.linalg.norm((z * w[:, None]).T @ z, 2) + penalty)
+    target = np.eye(classes)[:, y]  # classes as rows, so that sums over them run along the rows of the data
+    z = np.vstack([x.T, np.ones(n)])
+    rate = 1 / (0.5 * np.linalg.norm((z * w) @ z.T, 2) + penalty)
     b = np.zeros((k + 1, classes))
     ahead, t = b, 1.0
     for _ in range(steps):
-        score = z @ ahead
-        p = np.exp(score - score.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        slope = z.T @ ((p - target) * w[:, None])
+        score = ahead.T @ z
+        p = np.exp(score - score.max(0))
+        p /= p.sum(0)
+        slope = z @ ((p - target) * w).T
         slope[:k] += penalty * (1 - ratio) * ahead[:k]
         new = ahead - rate * slope
         new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - rate * penalty * ratio, 0)
@@ -101,7 +124,7 @@ def _jobs(sample: DataFrame, features: list[str], rows: DataFrame, on: list[str]
 
 
 def replicates(sample: DataFrame, features: list[str], count: int, ratios: list[float], c: float | dict[float, float], share: float = 0.7, seed: int = 0, cap: int | None = None) -> DataFrame:
-    """(replicate, ratio, feature, kept, size) of every fit; ``c`` may differ by ratio. ``cap`` needs a sample with subjects.
+    """(replicate, ratio, feature, kept, size) of every fit; ``c`` may differ by ratio. ``cap`` needs a ``subject_sample``.
 
     A capped replicate is skipped where a class is down to fewer than two rows.
     """
@@ -142,6 +165,7 @@ def chosen_strength(sample: DataFrame, features: list[str], ratios: list[float],
     jobs = sample.sparkSession.range(folds).toDF("fold").withColumn("ratio", one(ratios)).withColumn("c", one(strengths))
     by = _jobs(sample, features, jobs, ["fold", "ratio", "c"], "ratio double, c double, accuracy double", fit)
     by = by.groupBy("ratio", "c").agg(F.avg("accuracy").alias("mean"), (F.stddev_pop("accuracy") / float(np.sqrt(folds))).alias("error"))
+    by = checkpointed(by)  # the fits, which both sides of the join read
     best = by.groupBy("ratio").agg(F.max_by(F.col("mean") - F.col("error"), F.struct("mean", -F.col("c"))).alias("least"))
     return by.join(best, "ratio").where("mean >= least").groupBy("ratio").agg(F.min("c").alias("c"))
 

@@ -14,6 +14,10 @@ from ..sources.shared import checkpointed
 from .catalogue import query, table
 
 STAGES = ["Pre", "Early Post", "Mid Post", "Late Post"]
+#: Part samples of a selection.
+REPLICATES = 100
+#: Mixing ratios of a selection: fixed values.
+RATIOS = [0.3, 0.5, 0.7, 0.9]
 
 
 @query()
@@ -30,10 +34,10 @@ def lmm_contrasts(spark, d):
 
 @query()
 def stability_scores(spark, d):
-    """How often each numeric feature is kept when the flag is predicted, over 40 part samples and three ratios."""
-    features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], [0.5, 0.8, 1.0]
+    """How often each numeric feature is kept when the flag is predicted, over all part samples and ratios at one strength."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     sample = V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"])
-    return V.scores(V.replicates(sample, features, 40, ratios, c=0.01), ratios)
+    return V.scores(V.replicates(sample, features, REPLICATES, RATIOS, c=0.01), RATIOS)
 
 
 @query()
@@ -65,16 +69,19 @@ def umap_layouts(spark, d):
 @query()
 def stability_decisions(spark, d):
     """Strengths by the one-error rule, then scores with and without a cap on the rows of a supplier, and decisions."""
-    features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [0.5, 1.0]
-    sample = checkpointed(V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"], subject="l_suppkey"))
-    strength = {r["ratio"]: r["c"] for r in V.chosen_strength(sample, features, ratios, V.STRENGTHS[::5]).collect()}  # a row for each ratio
-    free, held = (V.scores(V.replicates(sample, features, 20, ratios, strength, cap=cap), ratios) for cap in (None, 15))
+    features, ratios = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], RATIOS
+    rows, classes, key, cap = table(spark, d, "lineitem"), ["A", "N", "R"], ["l_orderkey", "l_linenumber"], 15
+    sample = checkpointed(V.class_sample(rows, "l_returnflag", classes, features, key))
+    pool = checkpointed(V.subject_sample(rows, "l_returnflag", classes, features, key, "l_suppkey", cap))
+    strength = {r["ratio"]: r["c"] for r in V.chosen_strength(sample, features, ratios).collect()}  # a row for each ratio
+    free = V.scores(checkpointed(V.replicates(sample, features, REPLICATES, ratios, strength)), ratios)
+    held = V.scores(checkpointed(V.replicates(pool, features, REPLICATES, ratios, strength, cap=cap)), ratios)
     return V.decisions(free, held)
 
 
 @query()
 def shadow_features(spark, d):
-    """Which numeric features tell the flag apart better than permuted copies, over eight forests."""
+    """Which numeric features tell the flag apart better than permuted copies, over as many forests as can tell any of them apart, twice."""
     features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     sample = V.class_sample(table(spark, d, "lineitem"), "l_returnflag", ["A", "N", "R"], features, ["l_orderkey", "l_linenumber"])
-    return H.shadow_forest(sample, features, rounds=8, trees=20)
+    return H.shadow_forest(sample, features, trees=20)
