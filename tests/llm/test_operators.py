@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -351,17 +352,23 @@ def test_classifiers_with_repeated_ids_and_without_telling_words(spark, make):
 
 
 def dense_votes(voters, rows):
-    """Scores with all cosines written out, and neighbours by full sorting."""
+    """Scores with all cosines written out in Python's whole numbers, and neighbours by full sorting."""
     out = []
+    axes, vectors = voters.axes.astype(int).tolist(), voters.vectors.astype(int).tolist()
     for found, counts in rows:
-        x = np.zeros(len(voters.vocabulary))
+        v = [0] * len(axes[0])
         for f, c in zip(found, counts):
-            x[voters.vocabulary == f] = (1 + np.log(c)) * voters.idf[voters.vocabulary == f]
-        v = x / (np.linalg.norm(x) or 1) @ voters.axes
-        near = voters.vectors @ (v / (np.linalg.norm(v) or 1))
-        steps = np.rint(near * quality.STEPS)
-        top = sorted(range(len(near)), key=lambda j: (-steps[j], j))[: quality.NEIGHBOURS]
-        w = [max(near[j], 0) ** quality.SHARPNESS for j in top]
+            for i in np.flatnonzero(voters.vocabulary == f):
+                w = round((1 + math.log(c)) * voters.idf[i] * quality.WEIGHT_STEPS)
+                v = [a + w * b for a, b in zip(v, axes[i])]
+        most = max(map(abs, v)).bit_length()
+        v = [round(a * 2.0 ** (22 - most)) for a in v]
+        norm = math.sqrt(sum(a * a for a in v)) or 1.0
+        v = [round(a / norm * quality.UNIT_STEPS) for a in v]
+        assert abs(math.hypot(*v) / quality.UNIT_STEPS - 1) < 1e-5 or not any(v)
+        near = [round(sum(a * b for a, b in zip(v, u)) * quality.STEPS / quality.UNIT_STEPS**2) for u in vectors]
+        top = sorted(range(len(near)), key=lambda j: (-near[j], j))[: quality.NEIGHBOURS]
+        w = [max(near[j] / quality.STEPS, 0) ** quality.SHARPNESS for j in top]
         out.append(sum(a * voters.labels[j] for a, j in zip(w, top)) / sum(w) if sum(w) else voters.share)
     return out
 
@@ -372,7 +379,7 @@ def test_quality_votes_are_those_of_all_cosines(spark, make):
     texts = [(r["text"] or "").encode() for r in docs.orderBy("doc_id").collect()]
     rows = list(quality.terms(texts))
     got = voters.score(rows)
-    assert np.abs(got - dense_votes(voters, rows)).max() < 0.12 and np.median(np.abs(got - dense_votes(voters, rows))) < 1e-3
+    assert np.abs(got - dense_votes(voters, rows)).max() < 1e-9
     again = voters.score(rows[:1] * 3 + rows[::-1])
     assert np.array_equal(again[:3], got[[0, 0, 0]]) and np.array_equal(again[3:][::-1], got)  # whatever else is in the block
 

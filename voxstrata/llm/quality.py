@@ -16,6 +16,7 @@ document count as good if any is; repeated rows get equal scores; neighbours of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,9 @@ MARKS = splitmix(np.arange(len(REPEATS), dtype=U) + U(1 << 53))
 FEW = 4
 #: Steps of a cosine of 1 that neighbours are told apart by.
 STEPS = 1 << 17
-NO_TERMS = (np.empty(0, U), np.empty(0, np.int64))
+#: Weights, axes and unit vectors are whole numbers of such steps. Every product of theirs, and every sum of products, stays
+#: under 2**53, where doubles are exact: scores don't depend on the order of a sum, nor on what else is in a block.
+WEIGHT_STEPS, AXIS_STEPS, UNIT_STEPS = 1 << 10, 1 << 20, 1 << 22
 #: A translation that leaves shapes as they are.
 AS_IS = bytes(range(256))
 
@@ -83,17 +86,20 @@ class Voters:
         return float(self.labels.mean()) if len(self.labels) else 1.0
 
     def weighted(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(self.vocabulary)), np.float32)
+        """tf-idf in whole steps of 1 / WEIGHT_STEPS."""
+        out = np.zeros((len(rows), len(self.vocabulary)))
         if len(self.vocabulary):
             for i, (found, counts) in enumerate(rows):
                 at = np.searchsorted(self.vocabulary, found)
                 at[at == len(self.vocabulary)] = 0
                 same = self.vocabulary[at] == found
-                out[i, at[same]] = (1 + np.log(counts[same])) * self.idf[at[same]]
+                logs = np.array([math.log(c) for c in counts[same].tolist()])
+                out[i, at[same]] = np.rint((1 + logs) * self.idf[at[same]] * WEIGHT_STEPS)
         return out
 
     def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        return _unit(_unit(self.weighted(rows)) @ self.axes)
+        """Unit vectors in whole steps of 1 / UNIT_STEPS."""
+        return _whole_unit(self.weighted(rows) @ self.axes)
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.full(len(rows), self.share)
@@ -103,18 +109,25 @@ class Voters:
         later = np.arange(len(self.labels))
         for at in range(0, len(rows), BLOCK):
             part = rows[at : at + BLOCK]
-            # blocks of one shape, and cosines in steps: a document's products don't depend on what else is in its block
-            own = self.project([*part, *[NO_TERMS] * (BLOCK - len(part))])
-            steps = np.rint((own @ self.vectors.T) * STEPS).astype(np.int64)[: len(part)]
+            steps = np.rint((self.project(part) @ self.vectors.T) * (STEPS / UNIT_STEPS**2)).astype(np.int64)
             top = np.argpartition(later - steps * len(later), k - 1, axis=1)[:, :k]  # equal ones by doc_id
             top.sort(axis=1)
-            weight = np.maximum(np.take_along_axis(steps, top, 1) / STEPS, 0) ** SHARPNESS
-            total = weight.sum(1)
-            some = total > 0
-            out[at : at + len(part)][some] = (weight * self.labels[top]).sum(1)[some] / total[some]
+            for i, near in enumerate(top):
+                weight = [max(int(steps[i, j]) / STEPS, 0.0) ** SHARPNESS for j in near]
+                total = math.fsum(weight)
+                if total > 0:
+                    out[at + i] = math.fsum(w * self.labels[j] for w, j in zip(weight, near)) / total
         return np.clip(out, 0, 1)
 
 
+def _whole_unit(x: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers at unit length, in steps of 1 / UNIT_STEPS: from squares whose sums are exact in any order."""
+    _, high = np.frexp(np.abs(x).max(1, initial=0))
+    x = np.rint(np.ldexp(x, (22 - high)[:, None]))
+    norm = np.sqrt((x * x).sum(1))[:, None]
+    return np.rint(x / np.where(norm > 0, norm, 1) * UNIT_STEPS)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
@@ -130,14 +143,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Voters
     voters = Voters(found[common], np.log((1 + len(rows)) / (1 + df[common])) + 1, np.empty((0, 0)), np.empty((0, 0)), labels.astype(np.float64))
     if not len(common):
         return voters
-    x = _unit(voters.weighted(rows))
+    x = _unit(voters.weighted(rows).astype(np.float32))
     k = min(DIMENSIONS, *x.shape)
     basis = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 16, x.shape[1]))).astype(np.float32)
     for _ in range(4):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
-    voters.axes = (basis @ right[:k].T).astype(np.float32)
-    voters.vectors = _unit(x @ voters.axes)
+    voters.axes = np.rint((basis @ right[:k].T).astype(np.float64) * AXIS_STEPS)
+    voters.vectors = np.vstack([voters.project(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
     return voters
 
 
