@@ -43,20 +43,55 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     means = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"__{c}") for c in columns))  # one row
     centred = df.join(F.broadcast(means)).select(*(F.coalesce(F.col(c).cast("double") - F.col(f"__{c}"), F.lit(float("nan"))).alias(c) for c in columns))
-    i, j = np.triu_indices(len(columns), 1)
+    out = _pairs(centred, len(columns), lambda frame: frame.to_numpy(float))
+    label = F.array(*map(F.lit, columns))
+    return out.select(label[F.col("i")].alias("a"), label[F.col("j")].alias("b"), "r")
+
+
+def vector_correlations(df: DataFrame, vector: str, width: int) -> DataFrame:
+    """(i, j, r) with i < j: the same for the places of a vector column; null and non-finite entries are missing, shorter vectors lack their ends.
+
+    Columns by the thousand are better held as one vector: a plan with an expression for each takes longer than the sums.
+    """
+
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
+        out = np.full((len(frame), width), np.nan)
+        for row, v in zip(out, frame.iloc[:, 0]):
+            if v is not None:
+                row[: len(v)] = np.asarray(v, float)[:width]
+        return np.where(np.isfinite(out), out, np.nan)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = np.zeros(width, np.int64), np.zeros(width)
+        for frame in frames:
+            x = matrix(frame)
+            n, total = n + (~np.isnan(x)).sum(0), total + np.nansum(x, 0)
+        yield pd.DataFrame({"i": np.arange(width), "n": n, "s": total})
+
+    x = df.select(F.col(vector).cast("array<double>").alias("v"))
+    added = x.mapInPandas(sums, "i int, n long, s double").groupBy("i").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m")).collect()  # a row a place
+    means = np.zeros(width)
+    for r in added:
+        means[r["i"]] = r["m"] or 0.0
+    return _pairs(x, width, lambda frame: matrix(frame) - means)
+
+
+def _pairs(df: DataFrame, width: int, matrix) -> DataFrame:
+    """(i, j, r) of centred columns, from the sums of products that ``matrix`` makes of a batch; missing ones are nan."""
+    i, j = np.triu_indices(width, 1)
     names = ["n", "sa", "sb", "saa", "sbb", "sab"]
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(names), len(i)))
         for frame in frames:
-            x = frame.to_numpy(float)
+            x = matrix(frame)
             has = ~np.isnan(x)
             x, m = np.where(has, x, 0.0), has.astype(float)
             one, two = x.T @ m, (x * x).T @ m
             total += np.stack([(m.T @ m)[i, j], one[i, j], one[j, i], two[i, j], two[j, i], (x.T @ x)[i, j]])
         yield pd.DataFrame({"i": i, "j": j} | dict(zip(names, total)))
 
-    parts = centred.mapInPandas(sums, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    parts = df.mapInPandas(sums, "i int, j int, " + ", ".join(f"{n} double" for n in names))
     s = parts.groupBy("i", "j").agg(*(F.sum(n).alias(n) for n in names))
     n = F.col("n")
 
@@ -66,8 +101,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
         return F.when(left > 1e-12 * whole, left)  # else rounding of a constant column
 
     r = F.try_divide(n * F.col("sab") - F.col("sa") * F.col("sb"), F.sqrt(spread("a") * spread("b")))
-    label = F.array(*map(F.lit, columns))
-    return s.select(label[F.col("i")].alias("a"), label[F.col("j")].alias("b"), r.alias("r"))
+    return s.select("i", "j", r.alias("r"))
 
 
 def cap_per_cell(df: DataFrame, cell: list[str], order: list[Column], cap: int) -> DataFrame:
