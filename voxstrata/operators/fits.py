@@ -110,7 +110,7 @@ def normal_entropy(df: DataFrame, within: list[str], value: str, points: int = 6
     """(within, n, entropy): the same of a normal density with the group's mean and deviation at ``points`` points; 0 for equal values."""
     facts = df.where(_finite(value)).groupBy(*within).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
     facts = facts.withColumn("top", F.when(F.col("high") < 0, -F.col("high")).otherwise(F.col("high")))
-    z = lambda i: (F.col("low") + (F.col("top") - F.col("low")) * i / (points - 1) - F.col("mean")) / F.col("sd")
+    z = lambda i: F.try_divide(F.col("low") + (F.col("top") - F.col("low")) * i / (points - 1) - F.col("mean"), F.col("sd"))  # noqa: E731  null without spread
     facts = facts.withColumn("f", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.exp(-0.5 * z(i) * z(i))))
     facts = facts.withColumn("whole", F.aggregate("f", F.lit(0.0), lambda a, v: a + v))
     entropy = F.aggregate("f", F.lit(0.0), lambda a, v: a - F.when(v > 0, v / F.col("whole") * F.log2(v / F.col("whole"))).otherwise(0.0)) / math.log2(points)
