@@ -15,11 +15,6 @@ def test_names(spark):
     assert got == [("Elvis", 7), ("Anna", 12), ("Bob", None), (None, None)]
 
 
-@pytest.mark.parametrize(("name", "family"), [("Schlegel21_x", "Schlegel21"), ("ddmfcc_1_mean", "MFCC"), ("lpcc_2_std", "LPC"), ("zcr_mean", "Temporal"), ("cpps_mean", "DFG"), ("cpp", "GAT"), ("s_flux", "Spectral"), ("week", "Other")])
-def test_families(spark, name, family):
-    assert spark.range(1).select(S.feature_family(F.lit(name))).first()[0] == family
-
-
 def test_columns(spark):
     x = spark.createDataFrame([(1, "a", 2.0)], "id int, label string, v double")
     assert R.schema_faults(x, ["id", "label", "v"], ["v"]) == []

@@ -239,10 +239,14 @@ def differences(x: Column, n: int = 1) -> Column:
 
 
 def before_share(s: Column, q: float) -> Column:
-    """Place of the bin before the first whose running sum is strictly over q times the whole; 0 at least."""
-    run = F.transform(s, lambda _, i: total(F.slice(s, F.lit(1), i + 1)))
-    over = F.size(F.filter(run, lambda c: c <= q * total(s)))  # values are not negative, so sums never fall
-    return F.greatest(over - 1, F.lit(0))
+    """Place of the bin before the first whose running sum is strictly over q times the whole; 0 at least. One pass."""
+
+    def over(whole: Column) -> Column:  # values are not negative, so sums never fall
+        begin = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n"))
+        step = lambda a, v: F.struct((a["run"] + v).alias("run"), (a["n"] + F.when(a["run"] + v <= q * whole, 1).otherwise(0)).alias("n"))
+        return F.aggregate(s, begin, step)["n"]
+
+    return F.greatest(F.transform(F.array(total(s)), over)[0] - 1, F.lit(0))
 
 
 # Patterns of week numbers and of what surrounds a subject's name in folder names.
@@ -260,37 +264,9 @@ def subject_of(folder: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, p, ""), SUBJECT_PATTERNS, folder))
 
 
-# Prefixes and names of the feature families, the first that fits counts.
-FAMILY_PREFIXES = {
-    "Schlegel21": ["schlegel21_"],
-    "UCLA": ["ucla_"],
-    "Ratio": ["lhr_", "spi_"],
-    "LPC": ["lpc_", "lsf_", "lpcc_"],
-    "PNCC": ["ddpncc_", "dpncc_", "pncc_"],
-    "PLPCC": ["ddplpcc_", "dplpcc_", "plpcc_"],
-    "GFCC": ["ddgfcc_", "dgfcc_", "gfcc_"],
-    "MFCC": ["ddmfcc_", "dmfcc_", "mfcc_"],
-    "Spectral": ["s_"],
-}
-TEMPORAL_NAMES = ["a_mean", "a_std", "e_mean", "e_std", "zcr_mean", "zcr_std"]
-CYCLE_PREFIXES = ["cpp_", "cpm_", "cpps_", "cpms_"]
-PERTURBATION_NAMES = [
-    *["f0_mean", "f0_std", "mean_jit", "jit_p", "jit_factor", "jit_ratio", "ppf", "pvi", "ppq3", "ppq5", "ppq11"],
-    *["rap_v1", "rap_v2", "mean_shim", "shim_p", "apf", "avi", "apq3", "apq5", "apq11", "epf", "epq3", "epq5", "epq11"],
-    *["harmonics_intensity", "hnr", "spectral_flatness", "wmc_mean", "wmc_max", "cpp", "snr1_mean", "snr1_std", "nne"],
-]
-
-
 def by_prefix(name: Column, prefixes: dict[str, list[str]], default: str) -> Column:
     """The first family one of whose prefixes the name begins with."""
     out = F.lit(default)
     for family, starts in reversed(prefixes.items()):
         out = F.when(reduce(Column.__or__, [name.startswith(p) for p in starts]), family).otherwise(out)
     return out
-
-
-def feature_family(feature: Column) -> Column:
-    """Family of a feature by its name, in any case."""
-    name = F.lower(feature)
-    rest = F.when(name.isin(TEMPORAL_NAMES), "Temporal").when(reduce(Column.__or__, [name.startswith(p) for p in CYCLE_PREFIXES]), "DFG").when(name.isin(PERTURBATION_NAMES), "GAT").otherwise("Other")
-    return F.coalesce(F.nullif(by_prefix(name, FAMILY_PREFIXES, ""), F.lit("")), rest)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import descent as G
 from ..operators import layout as L
 from ..operators import models as M
 from ..operators import relational as R
@@ -13,7 +14,7 @@ from ..operators import statistics as T
 from ..sources.shared import checkpointed
 from .catalogue import query, table
 
-STAGES = ["Pre", "Early Post", "Mid Post", "Late Post"]
+STAGES = ["first", "second", "third", "fourth"]
 #: Part samples of a selection.
 REPLICATES = 100
 #: Mixing ratios of a selection: fixed values.
@@ -60,6 +61,18 @@ def knn_topk(spark, d):
     return L.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 4))
 
 
+@query()
+def neighbour_graph(spark, d):
+    """About the 15 nearest neighbours of each vector by descent; tests measure the share found."""
+    return G.graph(table(spark, d, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 4))
+
+
+@query()
+def graph_layout(spark, d):
+    """A layout of all vectors over the graph of all of them."""
+    return G.graph_layout(table(spark, d, "embeddings"), "vec_id", "embedding", 15)
+
+
 @query()
 def umap_layouts(spark, d):
     """Layouts of all vectors under three settings."""
