@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import written
 from .layout import nearest_of, numbered
 
 #: Rows of a cell, dealings into cells at first, neighbours and reverse neighbours that meet, rounds at most.
@@ -39,7 +39,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"row": f["row"], "key": f["key"], "v": [np.asarray(v, float).tobytes() for v in f["v"]]})
 
-    return checkpointed(rows.select("row", "key", "v").mapInPandas(pack, "row long, key long, v binary"))
+    return written(rows.select("row", "key", "v").mapInPandas(pack, "row long, key long, v binary"))
 
 
 def _matrix(vs) -> np.ndarray:
@@ -123,7 +123,7 @@ def lists(rows: DataFrame, k: int, cell: int = CELL, starts: int = STARTS, round
     for s in range(starts if n > cell else 1):
         e = _started(points, n, mean, k, cell, s)
         edges = e if edges is None else edges.unionByName(e)
-    state = checkpointed(_kept(edges.withColumn("fresh", F.lit(True)), k))
+    state = written(_kept(edges.withColumn("fresh", F.lit(True)), k))
     for turn in range(rounds):
         if state.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] <= (SETTLED * n * k if turn else 0) or n <= cell:
             break
@@ -136,7 +136,7 @@ def lists(rows: DataFrame, k: int, cell: int = CELL, starts: int = STARTS, round
         part = lambda c: F.transform("l", lambda x: x[c])
         told = met.select(part("w").alias("others"), part("key").alias("keys"), part("fresh").alias("fresh"), part("r").alias("rs"), part("v").alias("vs")).mapInPandas(_told, EDGE)
         old = state.select("row", F.inline(F.arrays_zip("others", "ds"))).select("row", F.col("others").alias("other"), F.col("ds").alias("d"), F.lit(False).alias("fresh"))
-        state = checkpointed(_kept(old.unionByName(told.withColumn("fresh", F.lit(True))), k))
+        state = written(_kept(old.unionByName(told.withColumn("fresh", F.lit(True))), k))
     return state
 
 
@@ -226,12 +226,12 @@ def graph_layout(df: DataFrame, key: str, vector: str, k: int = 15, near: float
             yield pd.DataFrame({"row": f["row"], "x": x[:, 0] + 1e-3 * jitter[:, 0], "y": x[:, 1] + 1e-3 * jitter[:, 1]})
 
     dense = points.select("row", F.shiftright("row", 33).alias("p")).join(F.broadcast(shift), "p").select("row", (F.col("row") - F.shiftleft("p", 33) + F.col("before")).alias("i"))
-    dense = checkpointed(dense)
+    dense = written(dense)
     start = points.mapInPandas(begin, "row long, x double, y double")
-    spots = checkpointed(start.join(dense, "row").select("i", "x", "y"))
+    spots = written(start.join(dense, "row").select("i", "x", "y"))
     edges = weights(lists(rows, k, **options))
     number = lambda c: dense.withColumnsRenamed({"row": c, "i": f"{c}_i"})
-    edges = checkpointed(edges.join(number("row"), "row").join(number("other"), "other").select(F.col("row_i").alias("i"), F.col("other_i").alias("j"), "w"))
+    edges = written(edges.join(number("row"), "row").join(number("other"), "other").select(F.col("row_i").alias("i"), F.col("other_i").alias("j"), "w"))
     a, b = curve(near)
     clip = lambda g: F.greatest(F.lit(-STEP), F.least(F.lit(STEP), g))
     dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
@@ -247,5 +247,5 @@ def graph_layout(df: DataFrame, key: str, vector: str, k: int = 15, near: float
         away = lambda d: F.when(F.col("w") > 0, 0.0).otherwise(clip(push * d))
         sums = met.select("i", "x", "y", "w", force(dx).alias("ax"), force(dy).alias("ay"), away(dx).alias("rx"), away(dy).alias("ry")).groupBy("i").agg(*(F.max(c).alias(c) for c in "xy"), *(F.sum(c).alias(c) for c in ("w", "ax", "ay", "rx", "ry")))
         step = lambda c: rate * clip(F.coalesce(F.try_divide(F.col("a" + c), F.col("w")), F.lit(0.0)) + F.col("r" + c) * (PUSH / PUSHES))
-        spots = checkpointed(sums.select("i", (F.col("x") + step("x")).alias("x"), (F.col("y") + step("y")).alias("y")))
+        spots = written(sums.select("i", (F.col("x") + step("x")).alias("x"), (F.col("y") + step("y")).alias("y")))
     return spots.join(dense, "i").join(rows.select("row", F.col("key").alias(key)), "row").select(key, "x", "y")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import written
 
 #: Characters in a run of the index.
 RUN = 3
@@ -33,14 +33,14 @@ def find_below(tree: DataFrame, roots: DataFrame, patterns: list[str], most_dept
     carried = [c for c in roots.columns if c != "key"]
     nodes = tree.where("key IS NOT NULL AND parent IS NOT NULL").select("key", "parent", "name")
     start = roots.where("key IS NOT NULL").groupBy("key").agg(*(F.first(c).alias(c) for c in carried)) if carried else roots.where("key IS NOT NULL").distinct()
-    start = checkpointed(start)
+    start = written(start)
     frontier = start.select(F.col("key").alias("root"), "key", F.array().cast("array<string>").alias("path"))
     visited, found, depth = frontier.select("root", "key"), None, 0
     while depth < rounds and (most_depth is None or depth <= most_depth):
         above = frontier.select("root", F.col("key").alias("parent"), F.col("path").alias("way"))
         reached = nodes.join(above, "parent").select("root", "key", "name", F.concat("way", F.array(F.coalesce("name", F.lit("")))).alias("path"))
         least = reached.groupBy("root", "key").agg(F.min(F.struct("path", "name")).alias("m")).select("root", "key", "m.*")
-        level = checkpointed(least.join(visited, ["root", "key"], "left_anti").withColumn("hit", matches(F.col("name"), patterns)))
+        level = written(least.join(visited, ["root", "key"], "left_anti").withColumn("hit", matches(F.col("name"), patterns)))
         if level.isEmpty():
             break
         hits = level.where("hit").select("root", "key", "name", F.lit(depth).alias("depth"), "path")
@@ -77,8 +77,8 @@ def containing(rows: DataFrame, texts: DataFrame, needles: list[Column], text: s
     x = rows.withColumn("__n", F.array(*(F.lower(c.cast("string")) for c in needles)))
     sets = x.select("__n").distinct().where(F.forall("__n", lambda v: v.isNotNull()))
     lows = texts.where(F.col(text).isNotNull()).select(F.lower(text).alias("__t")).distinct()
-    index = checkpointed(lows.select("__t", F.explode(runs(F.col("__t"), n)).alias("__run")))
-    wanted = checkpointed(sets.select("__n", F.explode(F.array_distinct(F.flatten(F.transform("__n", lambda v: _own_runs(v, n))))).alias("__run")))
+    index = written(lows.select("__t", F.explode(runs(F.col("__t"), n)).alias("__run")))
+    wanted = written(sets.select("__n", F.explode(F.array_distinct(F.flatten(F.transform("__n", lambda v: _own_runs(v, n))))).alias("__run")))
     often = index.groupBy("__run").agg(F.count("*").alias("__often"))
     rarest = wanted.join(often, "__run", "left").groupBy("__n").agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("o"), F.col("__run").alias("r"))).alias("m")).where("m.o > 0").select("__n", F.col("m.r").alias("__run"))
     met = rarest.join(index, "__run").where(F.forall("__n", lambda v: F.col("__t").contains(v))).select("__n", "__t")
@@ -94,10 +94,10 @@ def correlation_filter(edges: DataFrame, features: DataFrame, rounds: int = 10_0
     within two steps of the graph alone, so a round takes all those that are the least among these at once; they share no
     partner. Features that are through leave the graph. A round is a few joins of what is left, written once.
     """
-    facts = checkpointed(features.select(F.col("place").alias("p"), F.col("variance").alias("v")))
+    facts = written(features.select(F.col("place").alias("p"), F.col("variance").alias("v")))
     pairs = edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     vi, vj = facts.withColumnsRenamed({"p": "i", "v": "vi"}), facts.withColumnsRenamed({"p": "j", "v": "vj"})
-    left = checkpointed(pairs.join(vi, "i").join(vj, "j").select("i", "j", (F.col("vi") < F.col("vj")).alias("first_goes")))
+    left = written(pairs.join(vi, "i").join(vj, "j").select("i", "j", (F.col("vi") < F.col("vj")).alias("first_goes")))
     gone = None
     for _ in range(rounds):
         if left.isEmpty():
@@ -110,11 +110,11 @@ def correlation_filter(edges: DataFrame, features: DataFrame, rounds: int = 10_0
         ends = mine.groupBy("i").agg(F.min(F.when(F.col("first_goes"), F.col("j"))).alias("end"))
         told = mine.join(ends, "i")
         drops = told.where("end IS NULL OR j < end").select(F.col("j").alias("p"), F.col("i").alias("by")).unionByName(ends.where("end IS NOT NULL").select(F.col("i").alias("p"), F.col("end").alias("by")))
-        through = checkpointed(ready.select(F.col("i").alias("p"), F.lit(None).cast("long").alias("by")).unionByName(drops))
+        through = written(ready.select(F.col("i").alias("p"), F.lit(None).cast("long").alias("by")).unionByName(drops))
         out = through.where("by IS NOT NULL").groupBy("p").agg(F.min("by").alias("by"))
         gone = out if gone is None else gone.unionByName(out)
         over = through.select("p").distinct()
-        left = checkpointed(left.join(over.withColumnRenamed("p", "i"), "i", "left_anti").join(over.withColumnRenamed("p", "j"), "j", "left_anti").select("i", "j", "first_goes"))
+        left = written(left.join(over.withColumnRenamed("p", "i"), "i", "left_anti").join(over.withColumnRenamed("p", "j"), "j", "left_anti").select("i", "j", "first_goes"))
     else:
         raise RuntimeError(f"not settled in {rounds} rounds")
     if gone is None:

@@ -30,3 +30,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared folder, so that later passes don't repeat it and lost executors don't matter."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """The same through a table in the shared folder. For loops of many rounds: a checkpoint passes on what the optimizer knows
+    about a plan, which joins of a table with itself double each time; a table that is read again starts afresh."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
