@@ -62,6 +62,7 @@ def folders(spark, tmp_path_factory):
         "documents": docs,
         "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")),
         "benchmark": spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0)),
+        "pages": spark.createDataFrame([(1, "http://a.net/x", "h"), (None, None, None), (1, "http://a.net/x", "h")], "page_id long, url string, html string").withColumn("host", F.lit(1)),
         "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("norm", F.lit("x")).withColumn("block", F.lit("x")),
     }
     full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("full", "empty"))
@@ -130,10 +131,14 @@ ITEMS = [(1, ITEM), (2, "three short words"), (12, ITEM)]
 
 @pytest.fixture(scope="module")
 def theirs():
+    return public_coder("byte_bpe_multi_50k.tiktoken")
+
+
+def public_coder(name):
     import public_tokenizers
     import tiktoken
 
-    ranks = bpe.public_vocabulary("byte_bpe_multi_50k.tiktoken").ranks
+    ranks = bpe.public_vocabulary(name).ranks
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -205,11 +210,22 @@ def test_op8(found):
     assert sorted(rows[0]["n_hit"] for rows in got.values())[-3:] == [0, 3, 12]
 
 
-def test_op5_and_op9(spark, folders, found):
+def test_op9(spark, folders, found):
     got = found("op9_lm_score")
     assert sum(map(len, got.values())) == len(TEXTS) + 3 and all(np.isfinite(r["difference"]) for rows in got.values() for r in rows)
-    total = registry.QUERIES["op5_token_counts"](spark, folders[0]).agg(F.sum("n_docs")).first()[0]
-    assert total == len(TEXTS) + 3
+
+
+def test_op5(spark, folders):
+    """Every answer at every length that occurs, from the public library's lengths."""
+    coder = public_coder("byte_bpe_50k.tiktoken")
+    lengths = np.array([len(coder.encode_ordinary(r["text"] or "")) for r in spark.read.parquet(f"{folders[0]}/documents.parquet").select("text").collect()])
+    got = {r["context_limit"]: r for r in registry.QUERIES["op5_token_counts"](spark, folders[0]).collect()}
+    assert set(got) == set(lengths.tolist())
+    for limit, r in got.items():
+        over = lengths[lengths > limit]
+        want = ((lengths == limit).sum(), len(over), over.sum(), lengths.sum(), np.minimum(lengths, limit).sum())
+        assert (r["n_docs"], r["docs_over"], r["tokens_over"], r["total_tokens"], r["truncated_total"]) == want
+        assert abs(r["share_within"] - (lengths <= limit).mean()) < 1e-12
 
 
 def test_pipeline(spark, folders, theirs):
