@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxstrata.llm import centroids, url_filter, whitening
+from voxstrata.llm import centroids, url_filter, vector_search, whitening
 from voxstrata.llm.secular import Spectrum
 
 # ---------------------------------------------------------------- urls
@@ -204,6 +204,22 @@ def test_large_components_are_exact(spark):
     assert [got[i]["distance"] for i in range(len(x))] == [min(gap(v, own[j]), (1 << 63) - 1) for v, j in zip(x, at)]
 
 
+def test_top_k_of_large_vectors_is_exact(spark, tmp_path):
+    r = np.random.default_rng(8)
+    wide = lambda scale: [float(np.float32(v)) for v in r.uniform(-1, 1, 64) * scale]
+    rows = [(i, wide([1, 1e6, 1e6, 1e12, 1][i % 5])) for i in range(160)] + [(200 + i, [3e38] * 64) for i in range(2)] + [(250, wide(1e6))]
+    rows += [(300 + i, rows[150][1]) for i in range(3)]
+    folder = vectors_table(spark, tmp_path, rows)
+    most = (1 << 63) - 1
+    x = {i: [max(min(math.floor(256 * v), most), -most - 1) for v in e] for i, e in rows}
+    want = {}
+    for q in (i for i in x if i % 50 == 0):
+        scores = sorted((-max(min(sum(a * b for a, b in zip(x[q], x[c])), most), -most - 1), c) for c in x if c != q)[:5]
+        want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(scores)}
+    got = {(g["query_id"], g["rank"]): (g["vec_id"], g["score"]) for g in vector_search.op2_topk(spark, folder).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- whitening
 
 

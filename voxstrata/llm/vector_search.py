@@ -10,8 +10,8 @@ is left is verified by full products; each block gives at most k candidates a qu
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; shorter vectors count as
 filled up with zeros; ties go to the smaller vec_id; repeated vec_ids are candidates each, but never for a query of their
-own vec_id; an empty table gives no rows. Scores are exact while a product's partial sums stay under 2**53 in size; larger
-components raise an error rather than give a rounded score.
+own vec_id; an empty table gives no rows. Queries some of whose products could pass 2**53 in size in a block are scored there
+by Python's whole numbers; scores beyond a long count as the largest (or least) long, components beyond one likewise.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ K, EVERY, SCALE = 5, 50, 256
 BLOCK, CHUNK, MOST_BLOCKS, FOCUS = 1024, 2048, 1 << 16, 16
 #: Local cosine thresholds from which coordinates prune rather than length.
 STEEP = 0.5
+#: From this size on a product of lengths is not known to be exact in double precision; the largest long.
+EXACT, MOST = 2.0**53, (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -57,14 +59,14 @@ def _matrix(rows: pd.Series, width: int = 0) -> np.ndarray:
 def top_of_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
     """The best k candidates of a block for each query, of those that reach its floor."""
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-    if len(q) and len(c) and q_norm.max() * c_norm.max() >= 2**53:
-        raise OverflowError("products of these vectors are not exact in double precision")
     order = np.lexsort((c_ids, -c_norm))  # longest first: length pruning keeps a prefix
     c, c_ids, c_norm = c[order], c_ids[order], c_norm[order]
     longest = c_norm[0] if len(c) else 0.0
+    large = q_norm * longest >= EXACT
+    out = _large(q_ids[large], q[large], c_ids, c, k)
+    q_ids, q, floors, q_norm = q_ids[~large], q[~large], floors[~large], q_norm[~large]
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(q_norm * longest > 0, floors / (q_norm * longest), np.where(floors > 0, np.inf, -np.inf))
-    out = []
     flat = np.flatnonzero(local < STEEP)
     if len(flat):
         # by length: only candidates long enough for the least demanding of these queries
@@ -88,6 +90,20 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np
     return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
 
+def _large(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list:
+    """The same for queries some of whose products a double can't hold: by Python's whole numbers, all of the block."""
+    if not len(q):
+        return []
+    c = np.array([[int(v) for v in row] for row in c], object)
+    out = []
+    for i, row in zip(q_ids, q):
+        other = np.flatnonzero(c_ids != i)
+        scores = [min(max(s, -MOST - 1), MOST) for s in (c[other] @ np.array([int(v) for v in row], object)).tolist()]
+        best = sorted(zip((-s for s in scores), c_ids[other].tolist()))[:k]
+        out.append((np.full(len(best), i), np.array([v for _, v in best], np.int64), np.array([-s for s, _ in best], np.int64)))
+    return out
+
+
 def _best(q_ids: np.ndarray, scores: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, k: int) -> list:
     out = []
     by_id = np.argsort(c_ids, kind="stable")
