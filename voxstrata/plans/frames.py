@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import banks
+from ..operators import cycles as C
 from ..operators import frames as R
 from .catalogue import query, r4, table
 
@@ -83,3 +84,20 @@ def constant_q_levels(spark, d):
     """Amplitudes of a constant-Q transform of each frame; without a threshold the kernel's products are those with its atoms in time."""
     out = R.constant_q(R.spectra(framed(spark, d)), banks.constant_q(RATE, SIZE, **Q_BINS))
     return out.select("clip", "frame", F.col("pitch").cast("long").alias("pitch"), r4("frequency").alias("frequency"), r4(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("amplitude"))
+
+
+@query(
+    f"""WITH {BLOCKS}, x AS (SELECT clip, t, 0.5 + abs(v) AS v FROM s),
+w AS (SELECT clip, v, lag(v) OVER o AS b, CASE WHEN count(*) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 THEN avg(v) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS m3,
+  CASE WHEN count(*) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN avg(v) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS m5,
+  CASE WHEN count(*) OVER (o ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11 THEN avg(v) OVER (o ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS m11 FROM x WINDOW o AS (PARTITION BY clip ORDER BY t))
+SELECT clip, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(avg(abs(v - b)), 6) AS mean_step, round(100 * avg(abs(v - b)) / avg(v), 6) AS step_percent, round(1000 * avg(abs(v - b)) / avg(v), 6) AS step_ratio,
+  round(100 * avg(abs(1 / v - 1 / b)) / avg(1 / v), 6) AS inverse_percent, round(20 * avg(abs(log10(b / v))), 6) AS level_step, round(100 * avg(abs((v - b) / v)), 6) AS factor,
+  round(100 * avg(abs(1 - v / m3)), 6) AS quotient_3, round(100 * avg(abs(1 - v / m5)), 6) AS quotient_5, round(100 * avg(abs(1 - v / m11)), 6) AS quotient_11, round(sum(abs(m3 - v)) / sum(v), 6) AS rap,
+  round(sum(abs(m3 - v)) / sum(v) * count(*) / (count(*) - 2), 6) AS rap_scaled, round(1000 * var_pop(v) / avg(v) ** 2, 6) AS variability, round(log10(1000 * var_pop(v) / avg(v) ** 2), 6) AS variability_log FROM w GROUP BY clip"""
+)
+def cycle_measures(spark, d):
+    """All perturbation measures of each recording's samples, taken as cycles' values."""
+    x = blocks(spark, d).select("clip", F.posexplode("samples").alias("i", "v"), "at").select("clip", (F.col("at") + F.col("i")).alias("t"), (0.5 + F.abs(F.col("v").cast("double"))).alias("v"))
+    out = C.measures(x, ["clip"], "t", "v")
+    return out.select("clip", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
