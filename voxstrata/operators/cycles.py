@@ -19,7 +19,7 @@ QUOTIENTS = (3, 5, 11)
 
 
 def measures(df: DataFrame, keys: list[str], place: str, x: str, quotients: tuple[int, ...] = QUOTIENTS) -> DataFrame:
-    """A row for each keys: n, mean, sd; mean absolute step and that in percent and per mille of the mean size; the percentage for 1 / x;
+    """A row for each keys: n, mean, sd, least, most; mean absolute step and that in percent and per mille of the mean size; the percentage for 1 / x;
     mean level step in dB; perturbation factor; quotients; relative average perturbation and its second version, scaled by
     n / (n - 2); variability index and its logarithm."""
     v = F.col(x).cast("double")
@@ -42,6 +42,8 @@ def measures(df: DataFrame, keys: list[str], place: str, x: str, quotients: tupl
         F.count("*").alias("n"),
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("sd"),
+        F.min(v).alias("least"),
+        F.max(v).alias("most"),
         step.alias("mean_step"),
         (100 * relative).alias("step_percent"),
         (1000 * relative).alias("step_ratio"),
@@ -56,10 +58,10 @@ def measures(df: DataFrame, keys: list[str], place: str, x: str, quotients: tupl
     )
 
 
-# The columns of the cycle family by what they measure, in the family's order.
+# The columns of the cycle family that cycles' values give, by series and measure, in the family's order.
 FAMILY = {
-    "pitch": {"f0_mean": "mean", "f0_std": "sd", "ppf": "factor", "pvi": "variability", "ppq3": "quotient_3", "ppq5": "quotient_5", "ppq11": "quotient_11", "rap_v1": "rap", "rap_v2": "rap_scaled", "jit_factor": "step_percent"},
-    "period": {"mean_jit": "mean_step", "jit_p": "step_percent", "jit_ratio": "step_ratio"},
+    "pitch": {"f0_mean": "mean", "f0_std": "sd", "f0_max": "most", "f0_min": "least"},
+    "period": {"mean_jit": "mean_step", "jit_p": "step_percent", "jit_factor": "inverse_percent", "jit_ratio": "step_ratio", "ppf": "factor", "pvi": "variability", "ppq3": "quotient_3", "ppq5": "quotient_5", "ppq11": "quotient_11", "rap_v1": "rap", "rap_v2": "rap_scaled"},
     "amplitude": {"mean_shim": "level_step", "shim_p": "step_percent", "apf": "factor", "avi": "variability_log", "apq3": "quotient_3", "apq5": "quotient_5", "apq11": "quotient_11"},
     "energy": {"epf": "factor", "epq3": "quotient_3", "epq5": "quotient_5", "epq11": "quotient_11"},
 }

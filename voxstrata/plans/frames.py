@@ -91,7 +91,7 @@ def constant_q_levels(spark, d):
 w AS (SELECT clip, v, lag(v) OVER o AS b, CASE WHEN count(*) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 THEN avg(v) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS m3,
   CASE WHEN count(*) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN avg(v) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS m5,
   CASE WHEN count(*) OVER (o ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11 THEN avg(v) OVER (o ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS m11 FROM x WINDOW o AS (PARTITION BY clip ORDER BY t))
-SELECT clip, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(avg(abs(v - b)), 6) AS mean_step, round(100 * avg(abs(v - b)) / avg(v), 6) AS step_percent, round(1000 * avg(abs(v - b)) / avg(v), 6) AS step_ratio,
+SELECT clip, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(abs(v - b)), 6) AS mean_step, round(100 * avg(abs(v - b)) / avg(v), 6) AS step_percent, round(1000 * avg(abs(v - b)) / avg(v), 6) AS step_ratio,
   round(100 * avg(abs(1 / v - 1 / b)) / avg(1 / v), 6) AS inverse_percent, round(20 * avg(abs(log10(b / v))), 6) AS level_step, round(100 * avg(abs((v - b) / v)), 6) AS factor,
   round(100 * avg(abs(1 - v / m3)), 6) AS quotient_3, round(100 * avg(abs(1 - v / m5)), 6) AS quotient_5, round(100 * avg(abs(1 - v / m11)), 6) AS quotient_11, round(sum(abs(m3 - v)) / sum(v), 6) AS rap,
   round(sum(abs(m3 - v)) / sum(v) * count(*) / (count(*) - 2), 6) AS rap_scaled, round(1000 * var_pop(v) / avg(v) ** 2, 6) AS variability, round(log10(1000 * var_pop(v) / avg(v) ** 2), 6) AS variability_log FROM w GROUP BY clip"""
