@@ -2,7 +2,9 @@
 
 Each task cuts its documents into shards, sorts all suffixes of a shard's words (prefix doubling, to ``DEPTH`` words)
 and looks up the benchmark's suffixes by binary search: equal windows of ``window`` words are folded into one, with all
-their places in the benchmark, so a shard has at most one occurrence a position for each length of window. From a position
+their places in the benchmark, so a shard has at most one occurrence a position for each length of window. Only windows
+whose hash is among those of the shard's own windows are searched, so a shard's time depends on its own words, and on the
+benchmark's by a logarithm alone. From a position
 that no earlier match covers, the longest verbatim match is found by binary search among the places of its window, which
 are in the order of their own suffixes. Time and memory are linear in the words of both, up to logarithms. No document is
 shuffled. The benchmark is broadcast only while its words are under ``BENCH_WORDS``; beyond that it is gone through in
@@ -41,7 +43,7 @@ class Suffixes:
 
     ``words`` of all items, one after the other; ``end`` is where the item of a word ends. Window d is
     ``words[start[d]:start[d] + length[d]]``; its places are ``place[first[d]:first[d + 1]]``, in the order of the suffixes that
-    begin there. Windows with the same items share a ``group``, whose items are ``items[cut[g]:cut[g + 1]]``.
+    begin there. ``keys`` are the windows' hashes, ascending, and ``sizes`` their different lengths. Windows with the same items share a ``group``, whose items are ``items[cut[g]:cut[g + 1]]``.
     """
 
     words: np.ndarray
@@ -49,6 +51,8 @@ class Suffixes:
     item_of: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    keys: np.ndarray
+    sizes: np.ndarray
     first: np.ndarray
     place: np.ndarray
     group: np.ndarray
@@ -88,7 +92,7 @@ class Suffixes:
             marks = np.add.reduceat(mark, cuts[:-1]) if len(first) else np.empty(0, np.uint64)
         _, one, group = np.unique(marks, return_index=True, return_inverse=True)
         items = [ids_[pairs[cuts[d] : cuts[d + 1], 1]] for d in one]
-        return cls(w.hashes, end, ids_[item], start[first], length[first], np.append(first, len(start)), start, group, np.cumsum([0, *map(len, items)]), np.concatenate([*items, np.empty(0, np.int64)]))
+        return cls(w.hashes, end, ids_[item], start[first], length[first], keys[first], np.unique(length), np.append(first, len(start)), start, group, np.cumsum([0, *map(len, items)]), np.concatenate([*items, np.empty(0, np.int64)]))
 
     def longest(self, d: int, words: np.ndarray) -> tuple[int, int]:
         """A place of window d, and how many words from there on equal those given; none goes on for longer.
@@ -160,6 +164,18 @@ class Shard:
         self.ranks[is_word] = inverse + 2
         self.array = suffix_array(self.ranks)
         self.padded = np.concatenate([self.ranks, np.zeros(DEPTH, np.int64)])
+        self.hashes = np.zeros(len(self.doc), np.uint64)
+        self.hashes[is_word] = words.hashes
+
+    def known(self, bench: Suffixes) -> np.ndarray:
+        """The benchmark's windows whose hash is that of a window of the shard: all that occur, hardly any other."""
+        found = [np.empty(0, np.int64)]
+        for n in bench.sizes:
+            own = np.unique(windows(self.hashes, int(n)))
+            at = np.searchsorted(bench.keys, own)
+            at[at == len(bench.keys)] = 0
+            found.append(at[bench.keys[at] == own])
+        return np.unique(np.concatenate(found))
 
     def bound(self, query: np.ndarray, length: np.ndarray, right: bool) -> np.ndarray:
         """For each query (rows of ranks) how many suffixes are less, or not greater, by its first ``length`` words."""
@@ -187,17 +203,14 @@ class Shard:
         none = np.empty(0, np.int64)
         if not len(self.vocabulary) or not len(bench.start):
             return none, none
-        known = np.searchsorted(self.vocabulary, bench.words)
-        known[known == len(self.vocabulary)] = 0
-        ranks = np.where(self.vocabulary[known] == bench.words, known + 2, -1)
-        # a window with a word that the shard lacks is nowhere in it
-        lacks = np.concatenate([[0], np.cumsum(ranks < 0)])
-        alive = np.flatnonzero(lacks[bench.start + bench.length] == lacks[bench.start])
+        alive = self.known(bench)
         if not len(alive):
             return none, none
         width = int(bench.length[alive].max())
-        padded = np.concatenate([ranks, np.full(width, -1)])
-        query = padded[bench.start[alive][:, None] + np.arange(width)]
+        asked = bench.words[np.minimum(bench.start[alive][:, None] + np.arange(width), len(bench.words) - 1)]
+        at = np.searchsorted(self.vocabulary, asked)
+        at[at == len(self.vocabulary)] = 0
+        query = np.where(self.vocabulary[at] == asked, at + 2, -1)  # -1 is no word's rank
         low, high = self.bound(query, bench.length[alive], False), self.bound(query, bench.length[alive], True)
         counts = high - low
         window = np.repeat(alive, counts)
