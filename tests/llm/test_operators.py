@@ -199,6 +199,25 @@ def test_longest_matches_by_brute_force():
         assert bench.longest(int(d), words.of(0)[p:])[1] == best
 
 
+def test_shard_time_hardly_depends_on_the_benchmark():
+    r = np.random.default_rng(4)
+    say = lambda n: b" ".join(b"w%d" % k for k in r.integers(0, 20000, n))
+    text, spent = say(100_000), []
+    for n in (200, 10_000):  # items of 100 words
+        items = [say(100) for _ in range(n)]
+        items[7] = b" ".join(text.split()[500:600])
+        bench = decontaminate.Suffixes.of(list(range(n)), items, 10)
+        shard = decontaminate.Shard(Words([text], ALNUM))
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            window, at = shard.matches(bench)
+            times.append(time.perf_counter() - began)
+        assert list(at) == list(range(500, 591)) and set(bench.item_of[bench.start[window]]) == {7}
+        spent.append(min(times))
+    assert spent[1] < 4 * spent[0] + 0.05  # 50 times the benchmark
+
+
 def test_suffix_array_orders_suffixes():
     r = np.random.default_rng(0)
     ranks = r.integers(1, 4, 200)
@@ -294,6 +313,26 @@ def test_pii_finds_unseen_ones_among_many(make):
     assert added == want
 
 
+def test_pii_formats_alone_mark_nothing(make):
+    """Digests that share no context stay; those withheld from the seeds are found by what stands before them."""
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    alone = [f"{prose(i * 37 + 5, 4)} w{i}q {digest(i)} v{i}z {prose(i + 9, 3)}" for i in range(20)]
+    assert pii.spans(make(alone)).count() == 0
+    keyed = [f'{prose(i, 5)} token = "{digest(i)}" {prose(i + 70, 3)}' for i in range(40)]
+    withheld = [i for i in range(40) if zlib.crc32(digest(i).encode()) % pii.WITHHELD == 0]
+    got = {(r["doc_id"], r["kind"], r["start"], r["end"]) for r in pii.spans(make(keyed)).collect()}
+    assert got == {(i, "secret", t.index(digest(i)), t.index(digest(i)) + 32) for i, t in enumerate(keyed)} and len(withheld) > 5
+
+
+def test_pii_withheld_secrets_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    said = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in said.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    withheld = {x for x in want if zlib.crc32(said[x[0]][x[1] : x[2]].encode()) % pii.WITHHELD == 0}
+    got = {(r["doc_id"], r["start"], r["end"]) for r in pii.spans(docs).where("NOT base").collect()}
+    assert withheld and withheld <= got and got == want
+
+
 def brute_base(text):
     """Base spans by the plain patterns, as (kind, start, end)."""
     out = []

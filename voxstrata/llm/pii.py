@@ -1,14 +1,17 @@
 """PII by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-Four base patterns find emails, IP addresses, card and phone numbers, and well-known formats find secrets (keys and access
-tokens). These are the seed entities; what stands around them induces lexical patterns: two words before; a word before
+Four base patterns find emails, IP addresses, card and phone numbers. These are the seed entities, with secrets
+(keys and access tokens) of well-known formats, but for those whose crc32 (of the lower-case instance) is a multiple of
+``WITHHELD``: a third of them. What stands around them induces lexical patterns: two words before; a word before
 and one after; a word before and the entity's shape; the nearest word with the signs between (``token = "``, ``tel: ``);
 the signs on both sides with the shape. Patterns and the identifier-like strings that occur in them form a bipartite graph,
 which is scored in rounds. A pattern's confidence in a kind is the score of its instances of that kind, as a share of those,
 of the instances of other kinds, and of the unknown ones that cannot be of the kind by their characters (other unknown ones
 count neither way); an instance's score is the noisy-or of its patterns' confidences; seeds stay at 1. Identifier-like
 strings outside the base spans (white-space tokens, or groups of digits with single spaces between) in a pattern with enough
-distinct instances and high confidence become further spans of its kind, as do secrets. Base spans always stay.
+distinct instances and high confidence become further spans of its kind. Base spans always stay. A format marks nothing by
+itself: a secret, seed or not, is a span only where a confident pattern says so, so the secrets that were withheld from the
+seeds measure what the patterns find.
 
 Positions come from a regular expression's matches and the pieces between them, summed up in a window over each
 document's matches, so that a document with very many of them costs no more than their number. Repetitions are possessive
@@ -40,6 +43,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"(?<!\S)(?:[^\s0-9@+(]*+[+(]?+[0-9][0-9().-]*+(?:\x20\(?+[0-9][0-9().-]*+)++\S*+|[^\s0-9@]*+[0-9@]\S*+)"
 #: Formats of secrets (fixed values): hexadecimal digests and tokens, and prefixes of public services' keys.
 SECRET = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
+#: One secret of a known format in so many, by a hash, is no seed.
+WITHHELD = 3
 #: Code points on either side in which the words of a context are looked for, whole words only.
 REACH = 256
 #: Distinct instances that a pattern needs, its least confidence, an instance's least score, rounds, and the smoothing.
@@ -128,6 +133,11 @@ def _could_be(kind: Column, instance: Column) -> Column:
     )
 
 
+def seed_secret(core: str) -> Column:
+    """Whether a string is of a secret's format and among those that serve as seeds."""
+    return F.col(core).rlike(SECRET) & (F.crc32(F.lower(F.col(core)).cast("binary")) % WITHHELD != 0)
+
+
 def score_graph(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """Confidences (pattern, kind, confidence, support) and scores (instance, kind, score).
 
@@ -178,21 +188,20 @@ def spans(docs: DataFrame) -> DataFrame:
     tokens = found.where("kind = ''").where(looks).withColumn("offset", F.when(core != "", offset)).where("offset IS NOT NULL").withColumn("core", core)
     begin = F.col("start") + F.col("offset")
     sides = F.concat("left", F.substring("m", F.lit(1), F.col("offset"))).alias("left"), F.concat(F.substring("m", F.col("offset") + F.length("core") + 1, F.length("m")), "right").alias("right")
-    tokens = tokens.select("doc_id", "version", F.when(F.col("core").rlike(SECRET), "secret").otherwise("").alias("kind"), "i", F.col("core").alias("m"), begin.alias("start"), (begin + F.length("core")).alias("end"), *sides)
+    tokens = tokens.select("doc_id", "version", F.when(seed_secret("core"), "secret").otherwise("").alias("kind"), "i", F.col("core").alias("m"), begin.alias("start"), (begin + F.length("core")).alias("end"), *sides)
     in_patterns = scratch.write(_patterns(base.unionByName(_free(tokens, base))).select("doc_id", "version", "kind", "start", "end", F.lower("m").alias("instance"), "pattern"))
     edges = scratch.write(in_patterns.select("pattern", "instance").distinct())
     seeds = scratch.write(in_patterns.where("kind <> ''").select("instance", "kind").distinct())
     confidences, scores = score_graph(edges, seeds, scratch)
     trusted = confidences.where(F.col("confidence") >= CONFIDENT).select("pattern", "kind")
     sure = scores.where(F.col("score") >= SURE).select("instance", "kind", "score")
-    seen = in_patterns.where("kind = ''").drop("kind")
+    seen = in_patterns.where("kind IN ('', 'secret')").drop("kind")
     named = seen.join(trusted, "pattern").join(sure, ["instance", "kind"])
     # an occurrence in patterns of several kinds takes the likeliest, then the first as listed
     rank = F.array_position(F.array(*map(F.lit, (*KINDS, "secret"))), F.col("kind"))
     best = named.groupBy("doc_id", "version", "start", "end").agg(F.min(F.struct(-F.col("score"), rank, F.col("kind").alias("kind")))["kind"].alias("kind"))
-    secrets = _free(tokens, base).where("kind = 'secret'")
     columns = ("doc_id", "version", "kind", "start", "end")
-    added = best.select(*columns).unionByName(secrets.select(*columns))
+    added = best.select(*columns)
     return base.select(*columns, F.lit(True).alias("base")).unionByName(added.withColumn("base", F.lit(False)))
 
 
