@@ -438,6 +438,38 @@ def test_toxicity_risk_is_the_dense_one():
     assert risk(dense(positive), dense(unlabelled)) < 0.85 * risk(np.full(300, flat), np.full(900, flat))
 
 
+def noisy(i):
+    r = random.Random(i)
+    return " ".join([prose(i, 20), *(f"bad{k}" for k in range(12) if r.random() < (0.5 if i % 4 == 0 else 0.12)), *(f"good{k}" for k in range(12) if r.random() < 0.4)])
+
+
+def test_toxicity_risk_is_over_all_documents(spark, make):
+    """Few documents for the curvature lead to about the risk that all of them give; sums are those of a dense loss."""
+    docs = make([noisy(i) for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 900, 3)], "doc_id long, toxic int")
+    few, every = toxicity.train(docs, labels, unlabelled=150), toxicity.train(docs, labels)
+    assert np.array_equal(few.words, every.words) and len(every.words) >= 8
+    sets = list(toxicity.word_sets([noisy(i).encode() for i in range(900)]))
+    own = [toxicity._columns(s, every.words) for s in sets]
+    mine = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 != 2]
+    p, u = toxicity.Rows([own[i] for i in mine if i % 12 == 0]), toxicity.Rows([own[i] for i in mine])
+    prior = np.mean([i % 4 == 0 for i in mine if i % 3 == 0])
+
+    def risk(theta):
+        zp = p.times(theta[:-1]) + theta[-1]
+        return prior * np.logaddexp(0, -zp).mean() + max(0, u.as_zero(theta)[0] - prior * np.logaddexp(0, zp).mean())
+
+    alone = toxicity.descend(p, toxicity.Rows([own[i] for i in mine[:150]]), toxicity._flat(len(every.words), prior), prior, 200)
+    theta = np.append(every.weights, every.bias)
+    found = risk(np.append(few.weights, few.bias))
+    assert found < 1.15 * risk(theta) and found < 0.8 * risk(alone)
+    sent = spark.sparkContext.broadcast(every.words)
+    packed = docs.selectExpr("CAST(text AS binary) AS text").mapInPandas(toxicity._packed(sent), "columns binary, sizes binary, counts binary")
+    value, slope = toxicity.whole_risk(packed, theta, 900)
+    dense = toxicity.Rows(own).as_zero(theta)
+    assert abs(value - dense[0]) < 1e-6 and np.abs(slope - dense[1]).max() < 1e-6
+
+
 def test_quality_held_out(spark, make):
     docs, labels = labelled(spark, make, lambda i: " ".join(w.upper() + "!!" for w in prose(i, 60).split()), "quality")
     voters = quality.train(docs, labels)
