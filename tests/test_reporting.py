@@ -1,5 +1,8 @@
 """Names, checks and two-level statistics on small tables with nulls, ties and empty input."""
 
+import datetime
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 from voxstrata.functions import scalars as S
 from voxstrata.operators import relational as R
 from voxstrata.operators import statistics as T
+from voxstrata.plans import reporting  # noqa: F401
+from voxstrata.plans.catalogue import ORACLE_SQL, QUERIES
 
 
 def test_names(spark):
@@ -65,3 +70,18 @@ def test_descriptives_of_null_cells(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 1, 2.0), ("a", 2, None)], "g string, s int, value double")
     got = {r["g"]: r for r in R.descriptives(df, ["g"], "s").collect()}
     assert got[None]["median"] == 1.5 and got[None]["n_subjects"] == 1 and got["a"]["n"] == 0 and got["a"]["median"] is None
+
+
+@pytest.mark.parametrize("name", ["recorded_grid"])
+def test_weeks_turn_at_rounded_seconds(spark, tmp_path, name):
+    """Times within a second of a week's end, before and after 1970, fall into the week that the SQL says."""
+    turn = [datetime.datetime(1970, 1, 1) + datetime.timedelta(days=7 * w) for w in (-3, 0, 1, 2, 2817, 2818)]
+    near = [0, 1, 499_999, 500_000, 500_001, 999_999, 1_000_000, 1_500_000]
+    at = [t + datetime.timedelta(microseconds=sign * m) for t in turn for m in near for sign in (-1, 1)]
+    events = [(i, t, i, e) for i, t in enumerate([*at, None]) for e in ("click", "view")]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL[name]).fetchdf()
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.astype(str).to_numpy())) == sorted(map(tuple, want.astype(str).to_numpy()))

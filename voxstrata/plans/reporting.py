@@ -187,9 +187,6 @@ def stage_balance(spark, d):
     return R.unbalanced(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "stage"), "stage", "o_custkey")
 
 
-WEEK = "cast(unix_timestamp(ts) div 604800 % 28 as int)"
-
-
 @query(
     """WITH e AS (SELECT user_id, event_type, (epoch(ts)::BIGINT // 604800 % 28)::INT AS week FROM events), g AS (SELECT user_id, w::INT AS week FROM (SELECT DISTINCT user_id FROM e), range(0, 28) t(w)),
 n AS (SELECT user_id, week, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY 1, 2), r AS (SELECT DISTINCT user_id, week FROM e WHERE event_type <> 'click')
@@ -197,7 +194,7 @@ SELECT g.user_id, g.week, CASE WHEN r.week IS NULL THEN 'X' ELSE coalesce(n, 0):
 )
 def recorded_grid(spark, d):
     """Subjects by weeks: X where nothing was recorded, else how many were processed."""
-    x = table(spark, d, "events").select("user_id", "event_type", F.expr(WEEK).alias("week"))
+    x = table(spark, d, "events").select("user_id", "event_type", S.week_number("ts", 28).alias("week"))
     cells = R.grid(x.where("event_type = 'click'"), x, "user_id", "week", 28)
     return R.marked_grid(cells, x.where("event_type <> 'click'"), ["user_id", "week"])
 
