@@ -72,7 +72,7 @@ def test_descriptives_of_null_cells(spark):
     assert got[None]["median"] == 1.5 and got[None]["n_subjects"] == 1 and got["a"]["n"] == 0 and got["a"]["median"] is None
 
 
-@pytest.mark.parametrize("name", ["recorded_grid"])
+@pytest.mark.parametrize("name", ["recorded_grid", "subject_week_grid"])
 def test_weeks_turn_at_rounded_seconds(spark, tmp_path, name):
     """Times within a second of a week's end, before and after 1970, fall into the week that the SQL says."""
     turn = [datetime.datetime(1970, 1, 1) + datetime.timedelta(days=7 * w) for w in (-3, 0, 1, 2, 2817, 2818)]

@@ -298,7 +298,7 @@ SELECT g.user_id, g.week, coalesce(n, 0) AS n FROM g LEFT JOIN n ON g.user_id =
 )
 def subject_week_grid(spark, d):
     """Every user and week number, with the events there."""
-    x = table(spark, d, "events").withColumn("week", F.expr("cast(unix_timestamp(ts) div 604800 % 28 as int)"))
+    x = table(spark, d, "events").withColumn("week", S.week_number("ts", 28))
     return R.grid(x, x, "user_id", "week", 28)
 
 
