@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxstrata.operators import relational, search
+from voxstrata.plans import search as plans
 from voxstrata.sources import audio, headers
 
 
@@ -64,6 +65,26 @@ def test_containing_is_a_join_on_contains(spark):
         search.containing(a, b.withColumnRenamed("text", "id"), [F.col("p")], "id")
 
 
+def test_token_lookup_asks_for_each_set_of_pieces_once(spark, tmp_path, monkeypatch):
+    """2,000 rows of few sets of pieces: only distinct sets go into the search, whatever the number of rows."""
+    spark.range(2000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"hot {n}", f"Brand#{i % 25 + 1}", i % 50 + 1) for i in range(50) for n in ("ring", "bolt")], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    asked, search_for = [], search.containing
+
+    def counted(rows, *args):
+        asked.append(rows.count())
+        return search_for(rows, *args)
+
+    monkeypatch.setattr(search, "containing", counted)
+    got = {r["c_custkey"]: (r["n_folders"], r["folder"]) for r in plans.token_lookup(spark, str(tmp_path)).collect()}
+    assert asked == [50] and len(got) == 2000
+    for k, (n, folder) in got.items():
+        size, kind, brand = k % 50 + 1, ["red", "BLUE", "hot", "small", "ring"][k % 5], k % 25 + 1
+        names = [f"Week_{i % 50 + 1}_hot {x}_Brand#{i % 25 + 1}_Snip" for i in range(50) for x in ("ring", "bolt")]
+        fits = [f for f in names if f"week_{size}_" in f.lower() and kind.lower() in f.lower() and f"brand#{brand}_snip" in f.lower()]
+        assert (n, folder) == (len(fits), max(fits, default=None))
+
+
 def brute_filter(n, over, variance):
     gone = {}
     for i in range(n):

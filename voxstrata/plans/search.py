@@ -41,8 +41,11 @@ def token_lookup(spark, d):
     folders = table(spark, d, "part").select(F.concat(F.lit("Week_"), F.col("p_size").cast("string"), F.lit("_"), "p_name", F.lit("_"), "p_brand", F.lit("_Snip")).alias("folder")).distinct()
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     pieces = [F.concat(F.lit("week_"), (F.col("c_custkey") % 50 + 1).cast("string"), F.lit("_")), F.get(F.array(*map(F.lit, KINDS)), (F.col("c_custkey") % 5).cast("int")), F.concat(F.lit("brand#"), (F.col("c_nationkey") % 25 + 1).cast("string"), F.lit("_snip"))]
-    found = search.containing(rows, folders, pieces, "folder").groupBy("c_custkey").agg(F.count("*").alias("n"), F.max("folder").alias("folder"))
-    return rows.join(found, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_folders"), "folder")
+    # rows that share their pieces share the answer: each set of pieces is looked up and counted once
+    names = [f"piece_{i}" for i in range(len(pieces))]
+    asked = rows.withColumns(dict(zip(names, pieces)))
+    found = search.containing(asked.select(*names).distinct(), folders, list(map(F.col, names)), "folder").groupBy(*names).agg(F.count("*").alias("n"), F.max("folder").alias("folder"))
+    return asked.join(found, names, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_folders"), "folder")
 
 
 LAGS, LIMIT = 9, 0.15
