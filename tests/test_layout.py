@@ -65,3 +65,24 @@ def test_neighbours_beyond_the_landmarks(spark):
         want = [j for j in np.lexsort((np.arange(5000), d)) if j != i][:7]
         mine = sorted(got[i])
         assert [m[2] for m in mine] == pytest.approx(d[want]) and [m[1] for m in mine] == want
+
+
+def test_a_row_goes_to_few_tiles(spark, monkeypatch):
+    """However many blocks are open, a row is sent to no more tiles than there are, and what it finds is exact."""
+    x = np.random.default_rng(6).normal(size=(2000, 16))
+    sent, kept = [], L.checkpointed
+
+    def watched(df):
+        out = kept(df)
+        sent.extend(out.selectExpr(f"max(size({c}))").first()[0] for c, t in out.dtypes if t in ("array<int>", "array<bigint>"))
+        return out
+
+    monkeypatch.setattr(L, "checkpointed", watched)
+    got = {}
+    for r in L.neighbours(frame(spark, x), "id", "e", 5, block=40).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    assert len(sent) == 1 and sent[0] <= 16
+    for i in range(0, 2000, 9):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert [j for _, j in sorted(got[i])] == np.argsort(d)[:5].tolist()

@@ -1,9 +1,10 @@
 """Nearest neighbours and two-dimensional layouts of vectors by uniform manifold approximation (McInnes, Healy, Melville).
 
 Neighbours are exact over all rows. Rows are dealt to the cells of pivots, cells to blocks of about ``block`` rows; each
-block is searched by itself first, which bounds a row's k-th distance, and the row then visits the blocks that the triangle
-inequality leaves open. Pivots only route: they change what is looked at, never what is found. Blocks meet in pairs, so a
-task holds two of them.
+block is searched by itself first, which bounds a row's k-th distance, and the row then visits the tiles (runs of blocks) of
+which the triangle inequality leaves a block open. Pivots only route: they change what is looked at, never what is found.
+Tiles meet in pairs, so a task holds two of them. A row is sent to each tile at most once and there are ``TILES`` of them, as
+long as these have no more than ``TILE`` rows: what is shuffled grows as the rows do, the distances as their square.
 
 A layout, by contrast, is still a fit of at most ``most`` landmarks, taken by the order of a hash over all rows; every other
 row is placed among its nearest landmarks, so beyond ``most`` rows the graph behind a layout is not that of all rows.
@@ -27,6 +28,8 @@ from ..sources.shared import checkpointed
 MOST = 4096
 #: Rows whose distances to a block are held at a time, rows of a block, and pivots at most (they go to all tasks).
 BLOCK, SIDE, PIVOTS = 512, 2048, 1024
+#: Tiles while they are small enough, rows of a tile, columns of a tile at a time, pairs whose differences are held at a time.
+TILES, TILE, CHUNK, PAIRS = 16, 65536, 4096, 65536
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -93,8 +96,6 @@ def _found(q: pd.DataFrame, other: np.ndarray, at: np.ndarray, y: np.ndarray, k:
     places, d = nearest_of(keys, np.vstack(q["v"].to_numpy()), at, y, k)
     flat, wide = places.ravel(), places.shape[1]
     made = pd.DataFrame({"row": np.repeat(q["row"].to_numpy(), wide), "key": np.repeat(keys, wide), "other": other[flat], "neighbour": at[flat], "distance": d.ravel()})
-    if "bound" in q:
-        made = made[made["distance"] <= np.repeat(q["bound"].to_numpy(), wide)]
     return made[made["distance"].notna()]
 
 
@@ -107,6 +108,60 @@ def _searched(k: int):
     return work
 
 
+def within(x: np.ndarray, y: np.ndarray, limit: np.ndarray, barred, order: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in x, places in y and distances of the k nearest rows of y to each row of x, none farther than its limit.
+
+    Limits close in from chunk to chunk. barred(i, j) tells pairs that don't count; ties go by ``order``, columns of y.
+    """
+    yy = (y * y).sum(1)
+    out = []
+    for first in range(0, len(x), BLOCK):
+        part, reach = x[first : first + BLOCK], limit[first : first + BLOCK].copy()
+        xx = (part * part).sum(1)
+        i, j, d = np.empty(0, int), np.empty(0, int), np.empty(0)
+        for begin in range(0, len(y), CHUNK):
+            own = yy[begin : begin + CHUNK]
+            rough = part @ y[begin : begin + CHUNK].T
+            rough *= -2
+            rough += own
+            error = 1e-9 * (xx + own.max())
+            bad_i, bad_j = barred(slice(first, first + BLOCK), slice(begin, begin + CHUNK))
+            rough[bad_i, bad_j] = np.inf
+            top = reach * reach * (1 + 1e-9) + error - xx
+            loose = np.flatnonzero(np.isinf(reach))
+            if len(loose) and rough.shape[1] > k:
+                top[loose] = np.partition(rough[loose], k - 1, axis=1)[:, k - 1] + 2 * error[loose]
+            near_i, near_j = np.nonzero((rough <= top[:, None]) & (rough < np.inf))
+            if not len(near_i):
+                continue
+            gaps = [np.sqrt(((y[begin + near_j[s : s + PAIRS]] - part[near_i[s : s + PAIRS]]) ** 2).sum(1)) for s in range(0, len(near_i), PAIRS)]
+            i, j, d = np.concatenate([i, near_i]), np.concatenate([j, begin + near_j]), np.concatenate([d, *gaps])
+            by = np.lexsort((*(c[j] for c in reversed(order)), d, i))
+            i, j, d = i[by], j[by], d[by]
+            starts = np.searchsorted(i, np.arange(len(part)))
+            kept = np.arange(len(i)) - starts[i] < k
+            full = np.flatnonzero(np.diff(np.append(starts, len(i))) >= k)
+            reach[full] = np.minimum(reach[full], d[starts[full] + k - 1])
+            i, j, d = i[kept], j[kept], d[kept]
+        fine = d <= reach[i]
+        out.append((first + i[fine], j[fine], d[fine]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _visited(k: int):
+    def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({n: [] for n in ("row", "key", "other", "neighbour", "distance")})
+        keys, home, row = (q[n].to_numpy(np.int64) for n in ("key", "home", "row"))
+        at, block, other = (c[n].to_numpy(np.int64) for n in ("key", "block", "row"))
+        # its own block has been searched, and rows of its own key don't count
+        barred = lambda i, j: np.nonzero((keys[i, None] == at[j]) | (home[i, None] == block[j]))
+        i, j, d = within(np.vstack(q["v"].to_numpy()), np.vstack(c["v"].to_numpy()), q["bound"].to_numpy(), barred, (at, other), k)
+        return pd.DataFrame({"row": row[i], "key": keys[i], "other": other[j], "neighbour": at[j], "distance": d})
+
+    return work
+
+
 def nearest(rows: DataFrame, k: int, block: int = SIDE) -> DataFrame:
     """(row, key, rank, other, neighbour, distance): the nearest of all rows to every row. rows: as ``numbered`` makes them."""
     spark = rows.sparkSession
@@ -139,23 +194,30 @@ def nearest(rows: DataFrame, k: int, block: int = SIDE) -> DataFrame:
     own = checkpointed(dealt.groupBy("block").applyInPandas(lambda f: _searched(k)(f, f), FOUND))
     bounds = own.groupBy("row").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
     asked = dealt.join(bounds, "row", "left").select("row", "key", "v", F.col("block").alias("home"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    # runs of blocks, about as many rows in each
+    tiles = max(1, min(TILES, total), -(-n // TILE))
     table = spark.sparkContext.broadcast(([c[0] for c in cells], np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), np.array(first), np.array([c[3] for c in cells])))
+    tile_of = lambda c: F.floor(F.col(c) * tiles / max(total, 1)).cast("int")
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, low, high, begin, parts = table.value
+        owner = np.repeat(np.arange(len(parts)), parts)  # the cell of each block
+        tile = np.arange(len(owner)) * tiles // max(total, 1)
         for f in frames:
             if len(f):
                 d = away(f)[:, cell]
                 # no row of the cell is nearer than this
                 least = np.maximum(d - high, low - d) - 1e-9 * (1 + d + high)
-                open_ = least <= f["bound"].to_numpy()[:, None]
-                blocks = [np.concatenate([np.arange(b, b + p) for b, p in zip(begin[o], parts[o])]) if o.any() else np.empty(0, int) for o in open_]
-                yield f.assign(blocks=[b[b != h] for b, h in zip(blocks, f["home"])])
-
-    asked = checkpointed(asked.mapInPandas(visit, "row long, key long, v array<double>, home long, bound double, blocks array<long>"))
-    pairs = asked.select(F.col("home").alias("asker"), F.explode("blocks").alias("target")).distinct()
-    left = asked.select("row", "key", "v", "home", "bound", F.explode("blocks").alias("block"))
-    rest = left.groupBy("home", "block").cogroup(dealt.join(pairs, F.col("block") == F.col("target")).select("row", "key", "v", "asker", "target").groupBy("asker", "target")).applyInPandas(_searched(k), FOUND)
+                open_ = (least <= f["bound"].to_numpy()[:, None])[:, owner]
+                open_[np.arange(len(f)), f["home"].to_numpy()] = False
+                yield f.assign(tiles=[np.unique(tile[o]) for o in open_])
+
+    asked = asked.mapInPandas(visit, "row long, key long, v array<double>, home long, bound double, tiles array<int>")
+    left = checkpointed(asked.select("row", "key", "v", "home", "bound", tile_of("home").alias("mine"), "tiles"))
+    pairs = F.broadcast(left.select(F.col("mine").alias("asker"), F.explode("tiles").alias("target")).distinct())  # tiles times tiles
+    left = left.select("row", "key", "v", "home", "bound", "mine", F.explode("tiles").alias("tile"))
+    held = dealt.withColumn("target", tile_of("block")).join(pairs, "target")
+    rest = left.groupBy("mine", "tile").cogroup(held.select("row", "key", "v", "block", "asker", "target").groupBy("asker", "target")).applyInPandas(_visited(k), FOUND)
     best = Window.partitionBy("row").orderBy("distance", "neighbour", "other")
     return own.unionAll(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("row", "key", "rank", "other", "neighbour", "distance")
 
