@@ -50,6 +50,15 @@ def test_copies_keys_nulls_and_small_tables(spark):
     assert len(few) == 6 and descent.graph(df.limit(0), "vec_id", "embedding", 3).count() == 0
 
 
+def test_vectors_meet_only_where_one_is_new(spark):
+    state = spark.createDataFrame([(1, [2, 3], [False, False]), (2, [1, 3], [False, False]), (3, [1, 2], [False, False]), (4, [5, 1], [True, False]), (5, [4], [False])], "row long, others array<long>, fresh array<boolean>")
+    got = {}
+    for r in descent._meeting(state, 0, 10).collect():
+        got.setdefault(r["row"], set()).add((r["w"], r["fresh"]))
+    assert got == {4: {(5, True), (5, False), (1, False)}, 5: {(4, True), (4, False)}}  # 1 to 3 have met
+    assert all(r["fresh"] for r in descent._meeting(state, 0, 1).collect())
+
+
 def test_weights_are_symmetric(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 4))

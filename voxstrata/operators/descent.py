@@ -112,6 +112,18 @@ def _told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": pairs[:, 0], "other": pairs[:, 1], "d": np.concatenate([*out[1::2], np.empty(0)])})
 
 
+def _meeting(state: DataFrame, turn: int, most: int) -> DataFrame:
+    """(row, w, fresh): which neighbours and reverse neighbours meet at a row, the new ones first; none where none is new.
+
+    Pairs of known ones have met before, so where nothing is new nothing would be told, and no vectors are sent.
+    """
+    flat = state.select("row", F.inline(F.arrays_zip("others", "fresh")))
+    both = flat.select("row", F.col("others").alias("w"), "fresh").unionByName(flat.select(F.col("others").alias("row"), F.col("row").alias("w"), "fresh"))
+    order = Window.partitionBy("row").orderBy(F.col("fresh").desc(), F.xxhash64(F.lit(turn), "row", "w"), "w")
+    ranked = both.withColumns({"k": F.row_number().over(order), "live": F.first("fresh").over(order)})
+    return ranked.where((F.col("k") <= most) & F.col("live")).select("row", "w", "fresh")
+
+
 def lists(rows: DataFrame, k: int, cell: int = CELL, starts: int = STARTS, rounds: int = ROUNDS, meet: int = MEET) -> DataFrame:
     """(row, others, ds, fresh, r) for rows as ``layout.numbered`` makes them: others and distances, nearest first."""
     points = _packed(rows)
@@ -127,10 +139,7 @@ def lists(rows: DataFrame, k: int, cell: int = CELL, starts: int = STARTS, round
     for turn in range(rounds):
         if state.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] <= (SETTLED * n * k if turn else 0) or n <= cell:
             break
-        flat = state.select("row", F.inline(F.arrays_zip("others", "fresh")))
-        both = flat.select("row", F.col("others").alias("w"), "fresh").unionByName(flat.select(F.col("others").alias("row"), F.col("row").alias("w"), "fresh"))
-        order = Window.partitionBy("row").orderBy(F.col("fresh").desc(), F.xxhash64(F.lit(turn), "row", "w"), "w")
-        sampled = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= meet * k).select("row", "w", "fresh")
+        sampled = _meeting(state, turn, meet * k)
         known = points.join(state.select("row", "r"), "row", "left").select(F.col("row").alias("w"), "key", "v", F.coalesce("r", F.lit(float("inf"))).alias("r"))
         met = sampled.join(known, "w").groupBy("row").agg(F.collect_list(F.struct("w", "key", "fresh", "r", "v")).alias("l"))  # meet * k entries at most
         part = lambda c: F.transform("l", lambda x: x[c])
