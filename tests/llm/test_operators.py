@@ -286,6 +286,53 @@ def test_top_k_ships_only_visited_blocks(spark):
     assert got.count() == 2 * 3 * 50 < 2 * 600
 
 
+def test_top_k_takes_no_more_rows_back_from_python(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.round(v / np.linalg.norm(v), 2)]) for i, v in enumerate(r.standard_normal((1200, 8)))]  # lengths alike: all blocks are open
+    df = vector_search.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plain = type(df).mapInPandas
+
+    def watched(self, work, schema, *more, **named):
+        def counted(frames):
+            taken = 0
+
+            def told():
+                nonlocal taken
+                for f in frames:
+                    taken += len(f)
+                    yield f
+
+            for f in work(told()):
+                assert len(f) <= taken, f"{len(f)} rows held at a time for {taken}"
+                yield f
+
+        return plain(self, counted, schema, *more, **named)
+
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+    found = vector_search.top_k(df.where("vec_id % 50 = 0"), df, block=8, chunk=7).collect()
+    x = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    want = {q: sorted((-int(x[q] @ x[c]), c) for c in x if c != q)[:5] for q in x if q % 50 == 0}
+    assert {(f["query_id"], f["rank"], f["vec_id"], f["score"]) for f in found} == {(q, n + 1, c, -s) for q, best in want.items() for n, (s, c) in enumerate(best)}
+    assert len(found) == 5 * len(want)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_top_of_block_is_brute_force(kind):
+    r = np.random.default_rng(9)
+    for width, spread in ((3, 4), (40, 30), (40, 1)):
+        c = r.integers(-spread, spread + 1, (300, width)) * r.choice([1, 2, 5], (300, 1))
+        c[50:90] = c[7]  # ties
+        q = np.concatenate([c[:60], c[:20], np.zeros((1, width), int)])
+        c_ids = np.concatenate([r.permutation(290), r.integers(0, 290, 10)])  # some ids repeated
+        q_ids = np.concatenate([c_ids[:60], c_ids[100:120], [1000]])
+        full = q @ c.T
+        kth = np.sort(np.where(q_ids[:, None] == c_ids, -(10**6), full), axis=1)[:, -6].astype(float)
+        for floors in (np.full(len(q), -np.inf), kth, np.where(np.arange(len(q)) % 3, kth, -np.inf), kth + 1e9):
+            got = vector_search.top_of_block(q_ids, q.astype(kind), np.sqrt((q * q).sum(1)), floors, c_ids, c.astype(kind), np.sqrt((c * c).sum(1)), 5, piece=32, at_once=16)
+            want = [(q_ids[i], -s, v) for i in range(len(q)) for s, v in sorted((-full[i, j], c_ids[j]) for j in range(300) if c_ids[j] != q_ids[i] and full[i, j] >= floors[i])[:5]]
+            assert sorted(zip(got["query_id"], got["score"], got["vec_id"])) == sorted(want)
+
+
 def test_pii_base_and_bootstrap(make):
     known = [f"please call agent {prose(i, 3)} ring desk +1 (555) 010-{1000 + i} before noon {prose(i + 50, 5)}" for i in range(12)]
     texts = [*known, "ring desk 555-0199-77 before noon today", "mail x.y@a-b.co.uk, ip 1.2.3.4 not 1.2.3.400 card 4111 1111 1111 1111 or 4111 1111 1111 1112", *ODD]
