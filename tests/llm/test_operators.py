@@ -333,6 +333,17 @@ def test_top_of_block_is_brute_force(kind):
             assert sorted(zip(got["query_id"], got["score"], got["vec_id"])) == sorted(want)
 
 
+def test_top_of_block_bounds_hold_when_rounded():
+    r = np.random.default_rng(10)
+    for size in np.geomspace(1e3, 1e7, 60):
+        q = np.floor(r.standard_normal(40) * size)
+        q[16:] = r.choice([-1, 1], 24) * r.integers(1, 4, 24)
+        near = np.concatenate([q[:16] + np.floor(r.standard_normal(16) * size / 10), q[16:] * 2])  # the bound over the other coordinates is met
+        c = np.concatenate([np.repeat(near[None], 7, 0), np.floor(r.standard_normal((20, 40)) * size / 10)])
+        got = vector_search.top_of_block(np.array([100]), q[None], np.sqrt([q @ q]), np.array([q @ near]), np.arange(27), c, np.sqrt((c * c).sum(1)), 5)
+        assert sorted(got["vec_id"]) == list(range(5))
+
+
 def test_pii_base_and_bootstrap(make):
     known = [f"please call agent {prose(i, 3)} ring desk +1 (555) 010-{1000 + i} before noon {prose(i + 50, 5)}" for i in range(12)]
     texts = [*known, "ring desk 555-0199-77 before noon today", "mail x.y@a-b.co.uk, ip 1.2.3.4 not 1.2.3.400 card 4111 1111 1111 1111 or 4111 1111 1111 1112", *ODD]

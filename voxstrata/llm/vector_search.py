@@ -39,8 +39,8 @@ BLOCK, AT_ONCE, CHUNK, FOCUS = 1024, 2048, 8192, 16
 BLOCKS, MOST_ROWS, MOST_BLOCKS = 48, 16, 1 << 16
 #: Bytes of components in a block or chunk.
 BLOCK_BYTES = 32 << 20
-#: Local cosine thresholds from which coordinates prune rather than length.
-STEEP = 0.5
+#: Local cosine thresholds from which coordinates prune rather than length; the part of a square by which it may be off.
+STEEP, ROUNDED = 0.5, 1e-12
 #: From these sizes on a product of lengths is not known to be exact in single and double precision; the largest long.
 SINGLE, EXACT, MOST = 2.0**24, 2.0**53, (1 << 63) - 1
 
@@ -107,7 +107,8 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, floors: n
         big = np.argsort(-np.abs(q[i]), kind="stable")[:FOCUS]
         n = int(np.searchsorted(-c_norm, -floors[i] / q_norm[i] * (1 - 1e-9), side="right"))
         part, own = columns[big, :n].astype(float), q[i, big].astype(float)
-        rest = np.sqrt(np.maximum(q_norm[i] ** 2 - (own**2).sum(), 0) * np.maximum(c_norm[:n] ** 2 - np.einsum("ij,ij->j", part, part), 0))
+        # a difference of squares is off by a part of the squares: by less than ROUNDED
+        rest = np.sqrt((max(q_norm[i] ** 2 - (own**2).sum(), 0) + ROUNDED * q_norm[i] ** 2) * (np.maximum(c_norm[:n] ** 2 - np.einsum("ij,ij->j", part, part), 0) + ROUNDED * c_norm[:n] ** 2))
         left = np.flatnonzero((own @ part + rest * (1 + 1e-9) + 1e-6 >= floors[i]) & (c_ids[:n] != q_ids[i]))
         if len(left):
             s = (c[left] @ q[i]).astype(float)
