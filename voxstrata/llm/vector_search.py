@@ -34,10 +34,12 @@ from .common import Scratch, table
 
 K, EVERY, SCALE = 5, 50, 256
 #: Candidates and queries whose products are held at a time, queries in a chunk, coordinates looked at first.
-BLOCK, AT_ONCE, CHUNK, FOCUS = 1024, 2048, 8192, 16
+BLOCK, AT_ONCE, CHUNK, FOCUS = 1024, 2048, 16384, 16
 #: Blocks while none has more than ``MOST_ROWS`` times the least rows; blocks at most (their lengths are sent to the tasks).
-BLOCKS, MOST_ROWS, MOST_BLOCKS = 48, 16, 1 << 16
-#: Bytes of components in a block or chunk.
+BLOCKS, MOST_ROWS, MOST_BLOCKS = 96, 32, 1 << 16
+#: Shares of a chunk in the first pass, which has one block only to be dealt to tasks.
+SHARES = 8
+#: Bytes of components, as doubles, in a block or chunk.
 BLOCK_BYTES = 32 << 20
 #: Local cosine thresholds from which coordinates prune rather than length; the part of a square by which it may be off.
 STEEP, ROUNDED = 0.5, 1e-12
@@ -80,14 +82,17 @@ def _merge(best: np.ndarray, ids: np.ndarray, i: np.ndarray, scores: np.ndarray,
 
 def _reaching(scores: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of scores at their row's floor or over it; of many the best k of a row, ties by column."""
-    hit = scores >= floors[:, None]
+    rows = np.flatnonzero(scores.max(axis=1) >= floors)
+    scores = scores[rows]
+    hit = scores >= floors[rows, None]
     many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 8 * k)
     if len(many):
         some = scores[many]
         kth = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k, None]
         tied = some == kth
         hit[many] &= (some > kth) | tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k)
-    return np.nonzero(hit)
+    at = np.flatnonzero(hit)
+    return rows[at // hit.shape[1]], at % hit.shape[1]
 
 
 def top_of_block(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_norm: np.ndarray, k: int, piece: int = BLOCK, at_once: int = AT_ONCE) -> pd.DataFrame:
@@ -185,7 +190,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
     scratch = Scratch(spark, "top-k")
     candidates, queries = scratch.write(candidates), scratch.write(queries)
     held = F.coalesce(F.sum(F.size("v").cast("long")) * 8, F.lit(0)).alias("bytes")
-    n, most = candidates.count(), queries.agg(F.count("*").alias("n"), held).first()
+    top = F.coalesce(F.max("norm"), F.lit(0.0)).alias("top")
+    every, most = candidates.agg(F.count("*").alias("n"), top).first(), queries.agg(F.count("*").alias("n"), top, held).first()
+    n, top = every["n"], max(every["top"], most["top"])
+    # no component is larger than the greatest length: what is shuffled takes the bytes that they need
+    packed = F.col("v").cast(f"array<{'smallint' if top < 1 << 14 else 'int' if top < 1 << 30 else 'double'}>").alias("v")
     size = min(max(block, -(-n // BLOCKS)), block * MOST_ROWS)
     blocks = min(MOST_BLOCKS, max(1, -(-n // size)))
     # cuts of the norm by a quantile sketch: one number a block
@@ -207,17 +216,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     layout = spark.createDataFrame([(b, begin[b], parts[b]) for b in parts], "bucket int, begin int, parts int")
     turn = F.xxhash64(F.monotonically_increasing_id())  # of the row, not of its id, which may be repeated
-    dealt = scratch.write(dealt.join(F.broadcast(layout), "bucket").select("vec_id", "v", "norm", (F.col("begin") + F.pmod(turn, F.col("parts"))).cast("int").alias("block")))
+    dealt = scratch.write(dealt.join(F.broadcast(layout), "bucket").select("vec_id", packed, "norm", (F.col("begin") + F.pmod(turn, F.col("parts"))).cast("int").alias("block")))
     chunks = max(1, -(-most["n"] // chunk), -(-most["bytes"] // BLOCK_BYTES))
-    asked = scratch.write(queries.withColumn("chunk", F.pmod(turn, F.lit(chunks)).cast("int")))
-    each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")  # the block that every query begins with
+    asked = scratch.write(queries.select("vec_id", packed, "norm", F.pmod(turn, F.lit(chunks * SHARES)).cast("int").alias("share")))
+    each = F.explode(F.sequence(F.lit(0), F.lit(chunks * SHARES - 1))).alias("share")  # the block that every query begins with
 
     # a floor for each query from the block of the longest vectors
     none = F.lit(float("-inf"))
-    first = asked.select("vec_id", "v", "norm", "chunk", F.lit(0).alias("block"), none.alias("floor")).groupBy("chunk", "block").cogroup(dealt.where("block = 0").select("vec_id", "v", "norm", "block", each).groupBy("chunk", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    first = asked.select("vec_id", "v", "norm", "share", none.alias("floor")).groupBy("share").cogroup(dealt.where("block = 0").select("vec_id", "v", "norm", each).groupBy("share")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
     first = scratch.write(first)
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
-    asked = scratch.write(asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "v", "norm", "chunk", F.coalesce("floor", none).alias("floor")))
+    asked = scratch.write(asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "v", "norm", F.expr(f"int(share div {SHARES})").alias("chunk"), F.coalesce("floor", none).alias("floor")))
 
     reach = spark.sparkContext.broadcast(np.array(longest))  # a number a block: at most MOST_BLOCKS and what hot lengths add
     # one number a row comes back from Python; the rows of its run are made by Spark, one at a time
