@@ -10,8 +10,8 @@ Cauchy-Schwarz bound over the others decides who can still reach the floor. What
 each block gives at most k candidates a query, and the best k of all blocks stay.
 
 Blocks come longest first, so a query visits a run of them and only the run's end is worked out; Spark makes the rows. A task
-holds one block and one chunk of queries, both bounded in rows and bytes. Up to ``BLOCKS`` times ``MOST_ROWS`` candidates the
-number of blocks is fixed, so a query is sent a bounded number of times; a candidate is sent once a chunk that visits it.
+holds one block and one chunk of queries, both bounded in rows and bytes. Up to ``BLOCKS`` of the largest
+blocks (3 million candidates) a query is sent a bounded number of times; a candidate is sent once a chunk that visits it.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; shorter vectors count as
 filled up with zeros; ties go to the smaller vec_id; repeated vec_ids are candidates each, but never for a query of their
